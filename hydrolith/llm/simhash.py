@@ -28,16 +28,16 @@ def vote(rows: DataFrame, keys: list[str], terms: str, weighted: bool = False) -
     the fingerprint zero.
     """
     if weighted:
-        flat = rows.select(*keys, F.posexplode_outer(terms).alias("pos", "t")).select(*keys, "pos", F.col("t.h").alias("h"), F.col("t.w").cast("long").alias("w"))
+        flat = rows.select(*keys, F.posexplode_outer(terms).alias("_pos", "_t")).select(*keys, "_pos", F.col("_t.h").alias("_h"), F.col("_t.w").cast("long").alias("_w"))
     else:
-        flat = rows.select(*keys, F.posexplode_outer(terms).alias("pos", "h")).withColumn("w", F.when(F.col("h").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
-    lane = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(PAIR))
-    sums = [F.sum(lane(k) * F.col("w") if weighted else lane(k)).alias(f"v{k}") for k in range(32)]
-    first = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.lit(1)).otherwise(F.lit(0))
-    counted = flat.groupBy(*keys).agg(F.sum(first).alias("copies"), F.coalesce(F.sum("w"), F.lit(0)).alias("weight"), *sums)
+        flat = rows.select(*keys, F.posexplode_outer(terms).alias("_pos", "_h")).withColumn("_w", F.when(F.col("_h").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
+    lane = lambda k: F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(PAIR))
+    sums = [F.sum(lane(k) * F.col("_w") if weighted else lane(k)).alias(f"_v{k}") for k in range(32)]
+    first = F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.lit(1)).otherwise(F.lit(0))
+    counted = flat.groupBy(*keys).agg(F.sum(first).alias("copies"), F.coalesce(F.sum("_w"), F.lit(0)).alias("weight"), *sums)
     bits: list[Column] = []
     for k in range(32):
-        both = F.coalesce(F.col(f"v{k}"), F.lit(0))
+        both = F.coalesce(F.col(f"_v{k}"), F.lit(0))
         for bit, n in ((k, both.bitwiseAND(F.lit(HALF))), (k + 32, F.shiftrightunsigned(both, 32))):
             bits.append(F.when(n * 2 > F.col("weight"), F.lit(signed(bit))).otherwise(F.lit(0)))
     return counted.select(*keys, "copies", "weight", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
