@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import row_hash, table, text_or_empty, words
+from hydrolith.llm.common import cut, row_hash, table, text_or_empty, words
 from hydrolith.llm.simhash import hex16, likeness, signed, vote
 
 #: Stands for a null id in sort orders and join keys.
@@ -39,7 +39,7 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most ``value``, by halving."""
     if not bounds:
         return F.lit(0)
-    b = F.lit(bounds)
+    b = F.lit(bounds).cast("array<bigint>")
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     take = lambda acc, s: acc + F.when(F.coalesce(F.get(b, acc + s - 1) <= value, F.lit(False)), s).otherwise(0)
     return F.aggregate(F.lit(steps), F.lit(0), take)
@@ -54,13 +54,13 @@ def successors(ids: DataFrame) -> DataFrame:
     """
     q = [i / RANGES for i in range(1, RANGES)]
     cuts = ids.agg(F.percentile_approx("k", F.lit(q), F.lit(10 * RANGES))).first()[0] or []
-    r = ids.withColumn("r", range_of(F.col("k"), sorted(set(cuts))))
-    firsts = r.groupBy("r").agg(F.min(F.struct("k", "h")).alias("f"))
-    every = Window.orderBy("r")
-    links = firsts.select("r", F.coalesce(F.lead("f").over(every), F.first("f").over(every)).alias("f"))
-    w = Window.partitionBy("r").orderBy("k", "h")
-    out = r.withColumn("n", F.lead(F.struct("k", "h")).over(w)).join(F.broadcast(links), "r")
-    n = F.coalesce("n", "f")
+    r = ids.withColumn("_r", range_of(F.col("k"), sorted(set(cuts))))
+    firsts = r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("_f"))
+    every = Window.orderBy("_r")
+    links = firsts.select("_r", F.coalesce(F.lead("_f").over(every), F.first("_f").over(every)).alias("_f"))
+    w = Window.partitionBy("_r").orderBy("k", "h")
+    out = r.withColumn("_n", F.lead(F.struct("k", "h")).over(w)).join(F.broadcast(links), "_r")
+    n = F.coalesce("_n", "_f")
     return out.select(*ids.columns, n["k"].alias("nk"), n["h"].alias("nh"))
 
 
@@ -74,7 +74,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     d = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k"), row_hash(F.col("text")).alias("h"), text_or_empty("text").alias("t"))
     n = F.length("t")
-    ids = d.groupBy("k", "h").agg(F.max(n).alias("n"), F.count("*").alias("rows"))
+    ids = cut(d.groupBy("k", "h").agg(F.max(n).alias("n"), F.count("*").alias("rows")))
     order = successors(ids)
     # The beginning that the document before needs, and no more, goes to it.
     wanted = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("pk"), F.col("h").alias("ph"), F.floor(F.col("n") / 4).cast("int").alias("q"))
