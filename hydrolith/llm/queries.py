@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from hydrolith.llm.fingerprints import op3_document_fingerprints
+from hydrolith.llm.mixing import op8_source_mixing
 from hydrolith.llm.neardup import op10_simhash_near_dedup
 from hydrolith.llm.packing import op1_best_fit_packing
 from hydrolith.llm.quality import op5_quality_rules
+from hydrolith.llm.rows import op9_token_rows
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_quality_rules": op5_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_token_rows": op9_token_rows,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
