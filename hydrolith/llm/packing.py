@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.llm.common import cut, small_batches, table
-from hydrolith.llm.tokens import VOCABULARY, WordIds
+from hydrolith.llm.tokens import VOCABULARY, word_ids
 
 CAPACITY = 4096
 #: Parts of a length that are ranked apart, so that a frequent one is no hot key.
@@ -193,10 +193,10 @@ def _joined(path: tuple, tail: list[Run], made: int) -> list[Run]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    ids_of = WordIds(vocabulary)
+    ids_of = word_ids(vocabulary)
     for b in batches:
         rows = []
-        for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist()), strict=True):
+        for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text")), strict=True):
             for n, at in enumerate(range(0, len(ids), capacity)):
                 part = ids[at : at + capacity]
                 rows.append((doc, n, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))

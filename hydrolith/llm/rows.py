@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolith.llm.common import small_batches, table
-from hydrolith.llm.tokens import VOCABULARY, WordIds
+from hydrolith.llm.tokens import VOCABULARY, word_ids
 
 ROW = 2048
 PAD = 0
@@ -91,7 +91,7 @@ def best_fit_rows(lengths: list[int], row: int) -> list[list[int]]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], row: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    ids_of, shard, made = WordIds(vocabulary), TaskContext.get().partitionId(), 0
+    ids_of, shard, made = word_ids(vocabulary), TaskContext.get().partitionId(), 0
     held: list[tuple[int | None, int, int, np.ndarray]] = []
     total = 0
 
@@ -115,7 +115,7 @@ def _rows(batches: Iterator[pa.RecordBatch], row: int, vocabulary: str) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 256], strict=True), ARROW, strict=True)], schema=ARROW)
 
     for b in batches:
-        for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist()), strict=True):
+        for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text")), strict=True):
             for piece, at in enumerate(range(0, len(ids), row)):
                 held.append((doc, piece, at, ids[at : at + row]))
             total += len(ids)
