@@ -50,18 +50,18 @@ def successors(ids: DataFrame) -> DataFrame:
 
     ``ids`` has one row per pair. The order is cut into ranges at approximate
     quantiles of k, so no task sorts more than a range; the first pairs of the
-    ranges (``RANGES`` rows at most) link one range to the next.
+    ranges (``RANGES`` rows at most, read by the driver) link one to the next.
     """
     q = [i / RANGES for i in range(1, RANGES)]
     cuts = ids.agg(F.percentile_approx("k", F.lit(q), F.lit(10 * RANGES))).first()[0] or []
     r = ids.withColumn("_r", range_of(F.col("k"), sorted(set(cuts))))
-    firsts = r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("_f"))
-    every = Window.orderBy("_r")
-    links = firsts.select("_r", F.coalesce(F.lead("_f").over(every), F.first("_f").over(every)).alias("_f"))
+    firsts = r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("f")).collect()
+    begins = [(x["_r"], x["f"]["k"], x["f"]["h"]) for x in sorted(firsts, key=lambda x: x["_r"])]
+    after = [(x[0], y[1], y[2]) for x, y in zip(begins, begins[1:] + begins[:1], strict=True)]
+    links = ids.sparkSession.createDataFrame(after, "_r int, _k long, _h long")
     w = Window.partitionBy("_r").orderBy("k", "h")
     out = r.withColumn("_n", F.lead(F.struct("k", "h")).over(w)).join(F.broadcast(links), "_r")
-    n = F.coalesce("_n", "_f")
-    return out.select(*ids.columns, n["k"].alias("nk"), n["h"].alias("nh"))
+    return out.select(*ids.columns, F.coalesce("_n.k", "_k").alias("nk"), F.coalesce("_n.h", "_h").alias("nh"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
