@@ -8,9 +8,11 @@ from hydrolith.llm.neardup import op10_simhash_near_dedup
 from hydrolith.llm.packing import op1_best_fit_packing
 from hydrolith.llm.quality import op5_quality_rules
 from hydrolith.llm.rows import op9_token_rows
+from hydrolith.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op8_source_mixing": op8_source_mixing,
