@@ -54,7 +54,8 @@ def successors(ids: DataFrame) -> DataFrame:
     """
     q = [i / RANGES for i in range(1, RANGES)]
     cuts = ids.agg(F.percentile_approx("k", F.lit(q), F.lit(10 * RANGES))).first()[0] or []
-    r = ids.withColumn("_r", range_of(F.col("k"), sorted(set(cuts))))
+    # Stored, so that no join infers filters from the halving.
+    r = cut(ids.withColumn("_r", range_of(F.col("k"), sorted(set(cuts)))))
     firsts = r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("f")).collect()
     begins = [(x["_r"], x["f"]["k"], x["f"]["h"]) for x in sorted(firsts, key=lambda x: x["_r"])]
     after = [(x[0], y[1], y[2]) for x, y in zip(begins, begins[1:] + begins[:1], strict=True)]

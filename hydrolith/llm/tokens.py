@@ -36,7 +36,7 @@ class WordIds:
     text's ids are its words' ids in order; each word is encoded once. The
     store is emptied when it holds ``most`` words, which bounds its memory."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 600_000):
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -94,6 +94,8 @@ class WordIds:
         total = int(after[-1]) if len(after) else 0
         ids = self.flat[np.repeat(self.starts[place] - after + n, n) + np.arange(total)]
         at = np.r_[0, after][ends]
+        del texts, words, coded
+        pa.default_memory_pool().release_unused()
         return [np.r_[ids[a:b], np.uint32(END)] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
