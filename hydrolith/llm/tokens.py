@@ -36,7 +36,7 @@ class WordIds:
     text's ids are its words' ids in order; each word is encoded once. The
     store is emptied when it holds ``most`` words, which bounds its memory."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 300_000):
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
