@@ -54,15 +54,18 @@ def successors(ids: DataFrame) -> DataFrame:
     """
     q = [i / RANGES for i in range(1, RANGES)]
     cuts = ids.agg(F.percentile_approx("k", F.lit(q), F.lit(10 * RANGES))).first()[0] or []
-    # Stored, so that no join infers filters from the halving.
-    r = cut(ids.withColumn("_r", range_of(F.col("k"), sorted(set(cuts)))))
-    firsts = r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("f")).collect()
-    begins = [(x["_r"], x["f"]["k"], x["f"]["h"]) for x in sorted(firsts, key=lambda x: x["_r"])]
-    after = [(x[0], y[1], y[2]) for x, y in zip(begins, begins[1:] + begins[:1], strict=True)]
-    links = ids.sparkSession.createDataFrame(after, "_r int, _k long, _h long")
+    bounds = sorted(set(cuts))
+    r = ids.withColumn("_r", range_of(F.col("k"), bounds))
+    firsts = {x["_r"]: x["f"] for x in r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("f")).collect()}
+    # The first pair of the next range that has one, for each range by number.
+    after, nxt = [(None, None)] * (len(bounds) + 1), firsts[min(firsts)] if firsts else (None, None)
+    for i in range(len(bounds), -1, -1):
+        after[i] = nxt
+        nxt = firsts.get(i, nxt)
+    k, h = (F.lit([x[j] for x in after]).cast("array<bigint>") for j in (0, 1))
     w = Window.partitionBy("_r").orderBy("k", "h")
-    out = r.withColumn("_n", F.lead(F.struct("k", "h")).over(w)).join(F.broadcast(links), "_r")
-    return out.select(*ids.columns, F.coalesce("_n.k", "_k").alias("nk"), F.coalesce("_n.h", "_h").alias("nh"))
+    out = r.withColumn("_n", F.lead(F.struct("k", "h")).over(w))
+    return out.select(*ids.columns, F.coalesce("_n.k", F.get(k, F.col("_r"))).alias("nk"), F.coalesce("_n.h", F.get(h, F.col("_r"))).alias("nh"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
