@@ -7,7 +7,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from hydrolith.llm.batches import coded_words, give_back
 
 #: Vocabulary file, named in the tokenizers' package; a parameter everywhere.
 VOCABULARY = "word_bpe_49k.json"
@@ -77,25 +78,20 @@ class WordIds:
 
     def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each text and ``END``; a null text has only ``END``."""
-        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
-        coded = words.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
+        own, index, ends = coded_words(texts)
         new = [w for w in own if w not in self.place]
         if len(self.place) + len(new) > self.most:
             self._clear()
             new = [w for w in own if w]
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        place = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))[index]
         n = self.lengths[place]
         after = np.cumsum(n)
         total = int(after[-1]) if len(after) else 0
         ids = self.flat[np.repeat(self.starts[place] - after + n, n) + np.arange(total)]
         at = np.r_[0, after][ends]
-        del texts, words, coded
-        pa.default_memory_pool().release_unused()
+        give_back()
         return [np.r_[ids[a:b], np.uint32(END)] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 

@@ -18,18 +18,19 @@ has one size whatever the vocabulary. The classifier is fitted on at most
 from __future__ import annotations
 
 import math
-import re
+import string
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.common import small_batches, table
+from hydrolith.llm.batches import coded_words, give_back
+from hydrolith.llm.common import cut, small_batches, table
 
 BUCKETS = 1 << 18
 TRAIN_DOCS = 40_000
@@ -41,7 +42,8 @@ DRIFT = -1.0
 LEAST, MOST = -3.0, 6.0
 #: Segments that chance gives this often in a clean text are not significant.
 E_VALUE = 0.05
-EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+#: Marks that are taken off both ends of a word.
+MARKS = string.punctuation + "«»„“”‘’…–—¡¿\t\r\x0b\x0c"
 
 
 def fold(doc_id: Column) -> Column:
@@ -49,12 +51,16 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(HELD_OUT)), F.lit(1)).cast("int")
 
 
-def features(word: str) -> list[int]:
-    """Cells of the word's first four and five letters and of the word."""
-    w = EDGE.sub("", word).lower()
-    if not w:
-        return []
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in ("4" + w[:4], "5" + w[:5], "w" + w)]
+def cells(words: list[str]) -> np.ndarray:
+    """(words, 3) cells of a word's first four and five letters and of the word
+    without marks around it, in lower case; -1 if nothing is left of it."""
+    out = np.full((len(words), 3), -1, np.int64)
+    for i, word in enumerate(words):
+        w = word.strip(MARKS).lower()
+        if w:
+            b = w.encode("utf-8", "surrogatepass")
+            out[i] = zlib.crc32(b"4" + w[:4].encode("utf-8", "surrogatepass")), zlib.crc32(b"5" + w[:5].encode("utf-8", "surrogatepass")), zlib.crc32(b"w" + b)
+    return np.where(out >= 0, out % BUCKETS, -1)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -92,37 +98,21 @@ class Model:
     scale: float = 1.0  # lambda
     log_k: float = 0.0
     curve: tuple[float, float] = (-4.0, 1.0)
-    known: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def score_of(self, word: str, half: int | None) -> float:
-        """Log-odds of a word; ``half`` leaves that half's counts out."""
-        own = self.known.setdefault(half, {})
-        s = own.get(word)
-        if s is None:
-            keep = [h for h in (0, 1) if h != half]
-            n = self.docs[keep].sum(0)
-            base = math.log((n[1] + 0.5) / (n[0] + 0.5))
-            share = (n[1] + 0.5) / (n.sum() + 1.0)
-            for cell in features(word):
-                c = self.counts[keep, :, cell].sum(0)
-                share = (c[1] + PRIOR * share) / (c[0] + c[1] + PRIOR)
-            share = min(max(share, 1e-6), 1 - 1e-6)
-            s = min(max(math.log(share / (1 - share)) - base + DRIFT, LEAST), MOST)
-            if len(own) > 500_000:
-                own.clear()
-            own[word] = s
-        return s
-
-    def scores(self, text: str | None, half: int | None = None) -> np.ndarray:
-        words = (text or "").split()
-        own = self.known.setdefault(half, {})
-        try:
-            return np.fromiter(map(own.__getitem__, words), float, len(words))
-        except KeyError:
-            return np.fromiter((self.score_of(w, half) for w in words), float, len(words))
+
+    def log_odds(self, words: list[str], half: int | None = None) -> np.ndarray:
+        """Drifted log-odds of words; ``half`` leaves that half's counts out. A
+        word of marks alone has 0."""
+        keep = [h for h in (0, 1) if h != half]
+        n = self.docs[keep].sum(0)
+        base = math.log((n[1] + 0.5) / (n[0] + 0.5))
+        at = cells(words)
+        share = np.full(len(words), (n[1] + 0.5) / (n.sum() + 1.0))
+        for level in range(3):
+            c = self.counts[keep].sum(0)[:, at[:, level]] if half is None else self.counts[1 - half][:, at[:, level]]
+            share = (c[1] + PRIOR * share) / (c[0] + c[1] + PRIOR)
+        share = np.clip(share, 1e-6, 1 - 1e-6)
+        s = np.clip(np.log(share / (1 - share)) - base + DRIFT, LEAST, MOST)
+        return np.where(at[:, 0] >= 0, s, 0.0)
 
     def evidence(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
         """Sum over significant segments of minus the log of their E-value (or
@@ -141,24 +131,54 @@ class Model:
         return 1.0 / (1.0 + math.exp(-min(max(a + b * squeezed, -40.0), 40.0)))
 
 
+class Scorer:
+    """Scores of texts; a word's is computed once while the store has room."""
+
+    def __init__(self, model: Model, half: int | None = None, most: int = 400_000):
+        self.model, self.half, self.most = model, half, most
+        if half is None:  # one table instead of two halves
+            self.model = Model(model.counts.sum(0, keepdims=True).repeat(2, 0) / 2, model.docs, model.scale, model.log_k, model.curve)
+        self.place: dict[str, int] = {}
+        self.values = np.zeros(0)
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        own, index, ends = coded_words(texts)
+        new = [w for w in own if w not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self.place, self.values, new = {}, np.zeros(0), own
+        if new:
+            self.place.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+            self.values = np.r_[self.values, self.model.log_odds(new, self.half)]
+        s = self.values[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))][index]
+        give_back()
+        return [s[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def scored(scorers: list[Scorer], b: pa.RecordBatch) -> list[np.ndarray]:
+    """Scores of labelled texts, each by the counts of the other half."""
+    half = b.column("half").to_numpy()
+    out: list[np.ndarray] = [np.zeros(0)] * len(half)
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        for i, s in zip(own.tolist(), scorers[h](b.column("text").take(pa.array(own))), strict=True):
+            out[i] = s
+    return out
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, list[int]] = {}
-    counts = np.zeros((4, BUCKETS), np.int32)
-    docs = np.zeros(4, np.int64)
+    counts, docs = np.zeros(4 * BUCKETS, np.int64), np.zeros(4, np.int64)
     for b in batches:
-        for text, y, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
-            cells: set[int] = set()
-            for w in set((text or "").split()):
-                f = seen.get(w)
-                if f is None:
-                    f = seen[w] = features(w)
-                cells.update(f)
-            docs[2 * half + y] += 1
-            counts[2 * half + y, list(cells)] += 1
-            if len(seen) > 500_000:
-                seen.clear()
-    kind, cell = np.nonzero(counts)
-    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.r_[kind, np.arange(4)], pa.int32()), "cell": pa.array(np.r_[cell, np.full(4, -1)], pa.int32()), "n": pa.array(np.r_[counts[kind, cell], docs], pa.int64())})
+        kind = 2 * b.column("half").to_numpy().astype(np.int64) + b.column("toxic").to_numpy()
+        docs += np.bincount(kind, minlength=4)
+        own, index, ends = coded_words(b.column("text"))
+        of = np.repeat(np.arange(len(kind)), np.diff(ends))
+        pair = np.unique(of * len(own) + index)  # a word once in a document
+        doc, at = pair // max(len(own), 1), cells(own)[pair % max(len(own), 1)]
+        hit = np.unique((doc[:, None] * BUCKETS + at)[at >= 0])
+        counts += np.bincount(kind[hit // BUCKETS] * BUCKETS + hit % BUCKETS, minlength=4 * BUCKETS)
+    (place,) = np.nonzero(counts)
+    n = np.r_[counts[place], docs]
+    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.r_[place // BUCKETS, np.arange(4)], pa.int32()), "cell": pa.array(np.r_[place % BUCKETS, np.full(4, -1)], pa.int32()), "n": pa.array(n, pa.int64())})
 
 
 def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
@@ -176,7 +196,7 @@ def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Data
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Without labels of both classes every score is 0.5 or less and constant."""
     small_batches(docs.sparkSession)
-    train = training(docs, labels, most)
+    train = cut(training(docs, labels, most))
     # At most 4 * (BUCKETS + 1) rows, whatever the documents.
     rows = train.mapInArrow(_counts, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts, n = np.zeros((4, BUCKETS), np.float32), np.zeros(4)
@@ -188,16 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         model.curve = (-1.0, 0.0)
         return model
 
-    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clean tokens' scores by tenths, and each clean text's best segment."""
+        scorers = [Scorer(model, h) for h in (0, 1)]
         for b in batches:
-            hist = np.zeros(200, np.int64)
-            tops = []
-            for text, y, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
-                if y == 0:
-                    s = model.scores(text, half)
-                    hist += np.bincount(np.rint((s + 10) * 10).astype(int), minlength=200)[:200]
-                    tops.append((len(s), max((x[2] for x in segments(s)), default=0.0)))
+            b = b.filter(pc.equal(b.column("toxic"), 0))
+            each = scored(scorers, b)
+            hist = np.bincount(np.rint((np.concatenate([*each, np.zeros(0)]) + 10) * 10).astype(int), minlength=200)[:200]
+            tops = [(len(s), max((x[2] for x in segments(s)), default=0.0)) for s in each]
             yield pa.RecordBatch.from_pydict({
                 "cell": pa.array([*range(200), *[-1] * len(tops)], pa.int32()),
                 "n": pa.array([*hist.tolist(), *[t[0] for t in tops]], pa.int64()),
@@ -215,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         model.log_k = float(np.average(gap, weights=tops["n"]) - 0.5772)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(model, h) for h in (0, 1)]
         for b in batches:
-            x = [model.evidence(model.scores(t, h))[0] for t, h in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True)]
+            x = [model.evidence(s)[0] for s in scored(scorers, b)]
             yield pa.RecordBatch.from_pydict({"x": pa.array(np.rint(np.sign(x) * np.sqrt(np.abs(x)) * 10).astype(int), pa.int64()), "y": b.column("toxic")})
 
     curve = train.mapInArrow(weighed, "x long, y int").groupBy("x", "y").count().toPandas()
@@ -257,21 +276,21 @@ RESULT = "doc_id long, score double, evidence double, n_segments int, segments s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, evidence, n_segments and segments (begin:end in words of
-    each significant one). A row for each row; null and empty texts get the
+    """doc_id, score, evidence, n_segments and segments (begin:end of
+    each, in words between spaces or line feeds significant one). A row for each row; null and empty texts get the
     score of no evidence; equal texts get equal scores."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, scorer = shared.value, Scorer(shared.value)
         for b in batches:
             rows = []
-            for text in b.column("text").to_pylist():
-                e, good = m.evidence(m.scores(text))
+            for s in scorer(b.column("text")):
+                e, good = m.evidence(s)
                 rows.append((m.probability(e), e, len(good), ",".join(f"{x}:{y}" for x, y, _ in good)))
-            p, e, n, s = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array(e, pa.float64()), pa.array(n, pa.int32()), pa.array(s, pa.string())], names=["doc_id", "score", "evidence", "n_segments", "segments"])
+            p, e, n, g = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array(e, pa.float64()), pa.array(n, pa.int32()), pa.array(g, pa.string())], names=["doc_id", "score", "evidence", "n_segments", "segments"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
@@ -282,9 +301,9 @@ def kept(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, scorer = shared.value, Scorer(shared.value)
         for b in batches:
-            good = [m.probability(m.evidence(m.scores(t))[0]) < limit for t in b.column("text").to_pylist()]
+            good = [m.probability(m.evidence(s)[0]) < limit for s in scorer(b.column("text"))]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
