@@ -6,6 +6,7 @@ from hydrolith.llm.fingerprints import op3_document_fingerprints
 from hydrolith.llm.mixing import op8_source_mixing
 from hydrolith.llm.neardup import op10_simhash_near_dedup
 from hydrolith.llm.packing import op1_best_fit_packing
+from hydrolith.llm.pii import op7_pii
 from hydrolith.llm.quality import op5_quality_rules
 from hydrolith.llm.rows import op9_token_rows
 from hydrolith.llm.toxicity import op2_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_quality_rules": op5_quality_rules,
+    "op7_pii": op7_pii,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_rows": op9_token_rows,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
