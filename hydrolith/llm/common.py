@@ -37,12 +37,17 @@ def row_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster see, as its settings name it;
+    a local one only if none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return named or (current.get() if current.isDefined() else tempfile.mkdtemp(prefix="hydrolith-"))
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; sets a local one only if none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hydrolith-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

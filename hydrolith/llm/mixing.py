@@ -156,9 +156,9 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     source of size 0 has target 0. An empty table gives no rows.
     """
     of_block, sources, few = draws(cut(sized(docs)), shards=shards)
-    d = drawn(keyed(docs), of_block, sources, few).withColumn("_d", F.explode("draws"))
+    d = drawn(keyed(docs).select("_s", "_o", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), of_block, sources, few).withColumn("_d", F.explode("draws"))
     pos = F.xxhash64(F.lit(SEED + 2), "_o", F.col("_d.epoch"))
-    return d.withColumns({"_shard": F.col("_d.shard"), "_pos": pos}).repartition(shards, "_shard").sortWithinPartitions("_shard", "_pos").select(*[F.col(c) for c in docs.columns])
+    return d.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartition(shards, "shard").sortWithinPartitions("shard", "pos").select("row.*")
 
 
 def op8_source_mixing(spark, sf_dir):

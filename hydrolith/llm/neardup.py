@@ -139,9 +139,8 @@ def deduplicated(docs: DataFrame, size: int = 3, most: int = BITS) -> DataFrame:
     """The rows of ``docs`` with the least id of each group, one for each id."""
     keep = near_duplicates(docs, size, most).filter("k = component").groupBy("k").agg(F.min("h").alias("h"))
     k = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    own = docs.withColumns({"_k": k, "_h": row_hash(F.col("text"))})
-    kept = own.join(keep.toDF("_k", "_h"), ["_k", "_h"]).dropDuplicates(["_k", "_h"])
-    return kept.select(*docs.columns)
+    own = docs.select(k.alias("k"), row_hash(F.col("text")).alias("h"), F.struct("*").alias("row"))
+    return own.join(keep, ["k", "h"]).dropDuplicates(["k", "h"]).select("row.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

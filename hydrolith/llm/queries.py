@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hydrolith.llm.chat import op6_chat_formatting
+from hydrolith.llm.extract import op4_html_extraction
 from hydrolith.llm.fingerprints import op3_document_fingerprints
 from hydrolith.llm.mixing import op8_source_mixing
 from hydrolith.llm.neardup import op10_simhash_near_dedup
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_pii": op7_pii,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_rows": op9_token_rows,
