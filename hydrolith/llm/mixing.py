@@ -76,11 +76,10 @@ def n_words(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds _s (the source as a key that is never null) and _o (a hash order)."""
-    return docs.withColumns({
-        "_s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
-        "_o": F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), row_hash(F.col("text"))),
-    })
+    """_s (the source as a key that is never null), _o (a hash order), row."""
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), row_hash(F.col("text")))
+    return docs.select(source.alias("_s"), order.alias("_o"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
 
 
 def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool]:
@@ -145,7 +144,7 @@ def drawn(rows: DataFrame, of_block: DataFrame, sources: DataFrame, few: bool) -
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return keyed(docs).select("doc_id", "_s", "_o", n_words(F.col("text")).alias("size"))
+    return keyed(docs).select("row.doc_id", "_s", "_o", n_words(F.col("row.text")).alias("size"))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -156,7 +155,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     source of size 0 has target 0. An empty table gives no rows.
     """
     of_block, sources, few = draws(cut(sized(docs)), shards=shards)
-    d = drawn(keyed(docs).select("_s", "_o", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), of_block, sources, few).withColumn("_d", F.explode("draws"))
+    d = drawn(keyed(docs), of_block, sources, few).withColumn("_d", F.explode("draws"))
     pos = F.xxhash64(F.lit(SEED + 2), "_o", F.col("_d.epoch"))
     return d.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartition(shards, "shard").sortWithinPartitions("shard", "pos").select("row.*")
 
