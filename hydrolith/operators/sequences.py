@@ -89,7 +89,7 @@ def interpolated(df: DataFrame, keys: list[str], time_s: str, value: str) -> Dat
     a = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     b = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     df = df.withColumns({"_a": a, "_b": b})
-    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(time_s) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
+    between = F.col("_a.v") + F.try_divide((F.col("_b.v") - F.col("_a.v")) * (F.col(time_s) - F.col("_a.t")), F.col("_b.t") - F.col("_a.t"))
     return df.withColumn("filled", F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), between)).drop("_k", "_a", "_b")
 
 

@@ -25,10 +25,10 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").selectExpr(*_split(_CELL))
+    return load(spark, sf_dir, "lineitem").selectExpr(*split_columns(_CELL))
 
 
-def _split(columns: str) -> list[str]:
+def split_columns(columns: str) -> list[str]:
     """Splits a select list at the commas outside parentheses."""
     out, depth, piece = [], 0, ""
     for c in columns:
