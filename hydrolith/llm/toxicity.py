@@ -197,12 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Without labels of both classes every score is 0.5 or less and constant."""
     small_batches(docs.sparkSession)
     train = cut(training(docs, labels, most))
-    # At most 4 * (BUCKETS + 1) rows, whatever the documents.
-    rows = train.mapInArrow(_counts, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
+    # At most 4 * (BUCKETS + 1) rows of 16 bytes, whatever the documents.
+    rows = train.mapInArrow(_counts, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    kind, cell, count = (rows.column(c).to_numpy() for c in ("kind", "cell", "n"))
     counts, n = np.zeros((4, BUCKETS), np.float32), np.zeros(4)
-    own = rows["cell"] >= 0
-    counts[rows["kind"][own], rows["cell"][own]] = rows["n"][own]
-    n[rows["kind"][~own]] = rows["n"][~own]
+    own = cell >= 0
+    counts[kind[own], cell[own]] = count[own]
+    n[kind[~own]] = count[~own]
     model = Model(counts.reshape(2, 2, BUCKETS), n.reshape(2, 2))
     if n.reshape(2, 2).sum(0).min() == 0:
         model.curve = (-1.0, 0.0)
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
             })
 
     clean = train.mapInArrow(statistics, "cell int, n long, top double")
-    bounded = clean.groupBy("cell", F.when(F.col("cell") < 0, F.floor(F.log2(F.col("n") + 1) * 2)).alias("size"), F.when(F.col("cell") < 0, F.round("top", 1)).alias("top")).agg(F.sum(F.when(F.col("cell") >= 0, F.col("n")).otherwise(1)).alias("n"), F.avg("n").alias("long")).toPandas()
+    bounded = clean.groupBy("cell", F.when(F.col("cell") < 0, F.floor(F.log2(F.col("n") + 1) * 2)).alias("size"), F.when(F.col("cell") < 0, F.round("top", 1)).alias("top")).agg(F.sum(F.when(F.col("cell") >= 0, F.col("n")).otherwise(1)).alias("n"), F.avg("n").alias("long")).toArrow().to_pandas()
     hist = bounded[bounded["cell"] >= 0]
     value, weight = hist["cell"].to_numpy() / 10 - 10, hist["n"].to_numpy(float)
     model.scale = karlin_scale(value, weight / max(weight.sum(), 1))
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
             x = [model.evidence(s)[0] for s in scored(scorers, b)]
             yield pa.RecordBatch.from_pydict({"x": pa.array(np.rint(np.sign(x) * np.sqrt(np.abs(x)) * 10).astype(int), pa.int64()), "y": b.column("toxic")})
 
-    curve = train.mapInArrow(weighed, "x long, y int").groupBy("x", "y").count().toPandas()
+    curve = train.mapInArrow(weighed, "x long, y int").groupBy("x", "y").count().toArrow().to_pandas()
     model.curve = logistic(curve["x"].to_numpy() / 10, curve["y"].to_numpy(float), curve["count"].to_numpy(float))
     return model
 
