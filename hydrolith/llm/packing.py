@@ -154,14 +154,12 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
         if todo is None:
             spent += 1
             left = {s: n for s, n in left.items() if n}
-            if not left:
-                continue
             tail, n = best_fit(left, capacity)  # an incumbent below this node
             if made + n < used:
                 used, runs = made + n, _joined(path, tail, made)
                 if used <= least:
                     break
-            if waste > (used - 1) * capacity - total or made + waste_bound(left, capacity) >= used:
+            if not left or waste > (used - 1) * capacity - total or made + waste_bound(left, capacity) >= used:
                 continue
             big = max(left)
             rest = dict(left)
