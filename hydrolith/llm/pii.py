@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hydrolith.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 12
+LONGEST = 20
 #: Log-odds by which a span must beat the best reading without it.
 MARGIN = 1.0
 
@@ -78,7 +78,8 @@ def base_spans(text: str) -> list[Span]:
 
 # The field: tokens, candidates, features.
 
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
+#: Groups of an IPv6 address are one token each.
+TOKEN = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{1,4}(?=:[0-9a-fA-F])|(?<=:)[0-9a-fA-F]{1,4}(?![0-9A-Za-z])|[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
 TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]|\sat\s\w+\sdot\s", re.IGNORECASE)
 AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
@@ -97,12 +98,16 @@ CUES = {
 }
 #: Words whose numbers are no personal data.
 PLAIN = {"version", "isbn", "page", "pages", "chapter", "order", "no", "in", "since", "year", "room", "section", "total", "eur", "usd"}
-NAMES = ["bias", "shape", "luhn", "digits", "cue", "plain", "glued", "spaced", "tokens", "quad", "groups"]
+#: What follows a span that has been cut too early.
+GOES_ON = re.compile(r"(?:\s?[\[({]?\s?(?:dot|\.)\s?[\])}]?\s?|:|[ -])(?:[0-9]|[a-z]{2,4}\b)", re.IGNORECASE)
+NAMES = ["bias", "shape", "luhn", "digits", "cue", "plain", "glued", "spaced", "tokens", "quad", "groups", "dashed", "led", "goes_on"]
 SIZE = len(NAMES) * len(KINDS)
 
 
-def features(kind: str, span: str, before: str, left: str, right: str, tokens: int) -> np.ndarray:
-    """Features of a whole candidate: ``before`` is the words to its left."""
+def features(kind: str, span: str, before: list[str], left: str, after: str, tokens: int) -> np.ndarray:
+    """Features of a whole candidate: ``before`` is the words to its left,
+    ``left`` the sign before it and ``after`` some text behind it."""
+    right = after[:1]
     digits = "".join(c for c in span if "0" <= c <= "9")
     words = {w.lower() for w in before}
     lo, hi = {"email": (0, 99), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}[kind]
@@ -119,6 +124,9 @@ def features(kind: str, span: str, before: str, left: str, right: str, tokens: i
         tokens / LONGEST,
         float(all(int(p) <= 255 for p in re.findall(r"[0-9]+", span)[:8] if len(p) < 9)),
         float(len(re.findall(r"[0-9]+", span)) in (3, 4)),
+        float("-" in span),
+        float(span[0] in "(0+"),
+        float(bool(GOES_ON.match(after))),
     )
     return x
 
@@ -139,7 +147,7 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str,
                 near = kind != "email" and j - i <= 8 and span[0].isdigit() and span[-1].isdigit() and sum(c.isdigit() for c in span) >= 6
                 if shaped or near:
                     before = [text[p:q] for p, q in tokens[max(0, i - 3) : i]]
-                    out.append((i, j, kind, features(kind, span, before, text[a - 1 : a], text[b : b + 1], j - i)))
+                    out.append((i, j, kind, features(kind, span, before, text[a - 1 : a] if a else "", text[b : b + 12], j - i)))
     return tokens, out
 
 
