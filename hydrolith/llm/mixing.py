@@ -25,7 +25,11 @@ from hydrolith.llm.common import GAP, WHITE, cut, row_hash, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 20240607
-SHARDS = 64
+#: Words that an output shard has about, and the shards at least and at most.
+SHARD_WORDS = 2_000_000
+SHARDS = (64, 16_384)
+#: Cells of the driver's table of shards and sources at most.
+TREE_CELLS = 20_000_000
 BLOCKS = 4096
 #: Documents that a block has at least, while a source has more than one block.
 BLOCK_DOCS = 32
@@ -82,9 +86,18 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return docs.select(source.alias("_s"), order.alias("_o"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
 
 
-def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool]:
-    """From a stored frame (_s, _o, size): the draws, the sources, and whether
-    the draws are few enough to broadcast.
+def shards_for(words: int, sources: int) -> int:
+    """A power of two of shards of about ``SHARD_WORDS``, within bounds."""
+    least, most = SHARDS
+    n = least
+    while n < most and n * SHARD_WORDS < words and 2 * n * max(sources, 1) <= TREE_CELLS:
+        n *= 2
+    return n
+
+
+def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool, int]:
+    """From a stored frame (_s, _o, size): the draws, the sources, whether the
+    draws are few enough to broadcast, and how many shards there are.
 
     Draws: one row for each block, with an array of (epoch, shard, upto); of
     the block's documents those with _o <= upto are drawn.
@@ -117,6 +130,7 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SHA
     })
     taken = cut(passed.filter("epoch < passes OR before < rest"))
 
+    shards = shards or shards_for(sum(size.values()), len(found))
     quota = {r["_s"]: r["n"] for r in taken.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     tree = split_tree([quota.get(r[0], 0) for r in rows], shards, seed)
     ends = spark.createDataFrame([(r[0], list(accumulate(int(x) for x in tree[:, i]))) for i, r in enumerate(rows)], "_s string, ends array<long>")
@@ -131,7 +145,7 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SHA
         "upto": F.when(F.col("partial") & (F.col("epoch") == F.col("passes")), F.col("cut")).otherwise(whole),
     })
     of_block = placed.filter("upto IS NOT NULL").groupBy("_s", "block").agg(F.collect_list(F.struct("epoch", "shard", "upto")).alias("draws"))
-    return of_block, sources, sum(quota.values()) <= BROADCAST_ROWS
+    return of_block, sources, sum(quota.values()) <= BROADCAST_ROWS, shards
 
 
 def drawn(rows: DataFrame, of_block: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
@@ -147,20 +161,20 @@ def sized(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("row.doc_id", "_s", "_o", n_words(F.col("row.text")).alias("size"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs``, as many rows as a document is
     drawn times (none to three), dealt to shards and shuffled inside them.
 
     Null and empty texts have size 0. Repeated rows are drawn together. A
     source of size 0 has target 0. An empty table gives no rows.
     """
-    of_block, sources, few = draws(cut(sized(docs)), shards=shards)
+    of_block, sources, few, n = draws(cut(sized(docs)), shards=shards)
     d = drawn(keyed(docs), of_block, sources, few).withColumn("_d", F.explode("draws"))
     pos = F.xxhash64(F.lit(SEED + 2), "_o", F.col("_d.epoch"))
-    return d.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartition(shards, "shard").sortWithinPartitions("shard", "pos").select("row.*")
+    return d.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartitionById(n, "shard").sortWithinPartitions("shard", "pos").select("row.*")
 
 
 def op8_source_mixing(spark, sf_dir):
     s = cut(sized(table(spark, sf_dir, "documents")))
-    d = drawn(s, *draws(s))
+    d = drawn(s, *draws(s)[:3])
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda x: x["shard"]).alias("shards"))
