@@ -127,3 +127,17 @@ def quality(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
+
+
+_STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
+#: The same rows for DuckDB.
+SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' '))) AS g, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM u), p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at_word FROM c WHERE n > 1), r AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS stop,
+len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS shouted, len(list_filter(w, lambda x: x = '|')) AS bars FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+q AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, word_chars / NULLIF(n_words, 0) AS mean, n_symbols / NULLIF(n_words, 0) AS symbol_ratio, stop / NULLIF(n_words, 0) AS stop_ratio,
+(len(l) - len(list_distinct(l))) / NULLIF(len(l), 0) AS dup_line_ratio, shouted / NULLIF(n_words, 0) AS shouted_ratio, bars / NULLIF(n_words, 0) AS bar_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND mean BETWEEN 2 AND 14 AND symbol_ratio <= 0.25 AND stop_ratio >= 0.02 AND dup_line_ratio <= 0.3 AND shouted_ratio <= 0.3 AND bar_ratio <= 0.1 AS kept,
+symbol_ratio, stop_ratio, dup_line_ratio, shouted_ratio, bar_ratio FROM q"""

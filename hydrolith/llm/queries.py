@@ -9,6 +9,7 @@ from hydrolith.llm.mixing import op8_source_mixing
 from hydrolith.llm.neardup import op10_simhash_near_dedup
 from hydrolith.llm.packing import op1_best_fit_packing
 from hydrolith.llm.pii import op7_pii
+from hydrolith.llm.quality import SQL as QUALITY_SQL
 from hydrolith.llm.quality import op5_quality_rules
 from hydrolith.llm.rows import op9_token_rows
 from hydrolith.llm.toxicity import op2_toxicity
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL}
