@@ -165,3 +165,14 @@ def test_states_against_enumeration(spark):
         cost = lambda s: sum(math.log(q if z else 1 - q) for z, q in zip(s, p, strict=True)) + sum(math.log(0.9 if a == b else 0.1) for a, b in itertools.pairwise(s))  # noqa: B023, E731
         best = max(cost(s) for s in itertools.product((0, 1), repeat=6))
         assert cost([got[k][i] for i in range(6)]) == pytest.approx(best)
+
+
+def test_robust_slope(spark):
+    """A line with two wild values keeps its slope."""
+    from hydrolith.operators.robust import robust_slope
+
+    y = [2.0 * i + 0.01 * (i % 3) for i in range(11)]
+    y[3], y[8] = 500.0, None
+    d = spark.createDataFrame([(1, float(i), v) for i, v in enumerate(y)] + [(2, 0.0, 1.0), (2, 1.0, 2.0)], "ray int, km double, phase double")
+    got = {(r.ray, r.km): r.slope for r in robust_slope(d, ["ray"], "km", "phase", 5).collect()}
+    assert got[1, 5.0] == pytest.approx(2.0, abs=0.02) and got[2, 0.0] is None
