@@ -40,7 +40,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login comment comments commentlist disqus respond replies discussion share sharing social related recommended "
-    "recommendations popular trending sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar topbar copyright".split()
+    "recommendations popular trending sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar topbar copyright "
+    "adbox adslot adsbygoogle cookiebar cookiebanner cookieconsent disqus mainmenu navmenu sidenav subnav".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main body text".split())
 
