@@ -85,8 +85,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     heads = d.join(wanted, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.left("t", "q").alias("head")).groupBy("k", "h").agg(F.max("head").alias("head"))
     both = d.join(heads, ["k", "h"]).withColumn("e", F.concat(F.substring("t", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head")))
     texts = both.select("k", "h", F.sha2(F.col("e").cast("binary"), 256).alias("sha"), F.posexplode(F.array("t", "e")).alias("which", "x"))
-    found = fingerprint(texts, ["k", "h", "which", "sha"], "x").groupBy("k", "h").agg(
-        F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("g")
+    # Stored (about 100 bytes a document), as it is joined with itself below.
+    found = cut(
+        fingerprint(texts, ["k", "h", "which", "sha"], "x").groupBy("k", "h").agg(
+            F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("g")
+        )
     )
     known = order.join(found, ["k", "h"])
     after = found.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("f").alias("nf"))
