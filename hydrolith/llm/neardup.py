@@ -119,25 +119,29 @@ def linked(fingerprints: DataFrame, most: int = BITS, blocks: int = BLOCKS) -> D
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = BITS) -> DataFrame:
-    """k (the id; NO_ID for null), h (the text's hash), copies, fp, component.
+    """k (the id; NO_ID for null), h (the text's hash), copies, fp, root, component.
 
-    One row for each pair of id and text, with how many rows have it. Null and
-    blank texts have the fingerprint zero and are linked like any other.
+    One row for each pair of id and text, with how many rows have it. A group
+    is all rows of one ``root`` (its least fingerprint); ``component`` is the
+    least id in it, NO_ID if none has an id. An id that stands on texts of two
+    groups can name both. Null and blank texts have the fingerprint zero and
+    are linked like any other.
     """
     d = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k"), row_hash(F.col("text")).alias("h"), "text")
     voted = vote(shingle_hashes(d, ["k", "h"], "text", size), ["k", "h"], "terms")
     rows = cut(voted.select("k", "h", "copies", F.col("fingerprint").alias("fp")))
-    distinct = cut(rows.groupBy("fp").agg(F.min("k").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.when(F.col("k") != NO_ID, F.col("k"))).alias("least")))
     roots = components(linked(distinct, most)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(least, "root").select("fp", "component")
+    least = rooted.groupBy("root").agg(F.coalesce(F.min("least"), F.lit(NO_ID)).alias("component"))
+    of = rooted.join(least, "root").select("fp", "root", "component")
     return rows.join(of, "fp")
 
 
 def deduplicated(docs: DataFrame, size: int = 3, most: int = BITS) -> DataFrame:
-    """The rows of ``docs`` with the least id of each group, one for each id."""
-    keep = near_duplicates(docs, size, most).filter("k = component").groupBy("k").agg(F.min("h").alias("h"))
+    """One row of ``docs`` for each group: of its least id (null if none has an
+    id), and of that id's texts in the group the one of the least hash."""
+    keep = near_duplicates(docs, size, most).filter("k = component").groupBy("root", "k").agg(F.min("h").alias("h")).drop("root")
     k = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     own = docs.select(k.alias("k"), row_hash(F.col("text")).alias("h"), F.struct("*").alias("row"))
     return own.join(keep, ["k", "h"]).dropDuplicates(["k", "h"]).select("row.*")

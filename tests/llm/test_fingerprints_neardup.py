@@ -99,3 +99,15 @@ def test_chains_and_trie(spark):
     got = {c.node: c.root for c in components(neardup.linked(df)).collect()}
     assert len({got[signed(v)] for v in chain}) == 1
     assert not any(signed(v) in got for v in other)
+
+
+def test_one_document_of_each_group(spark):
+    """Null ids in different groups and one id on two texts lose no group."""
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ash", "birch", "cedar", "dogwood", "elm"))
+    made = [(None, a), (None, b), (7, b), (9, b), (5, c), (5, d), (6, d), (None, e), (None, e), (8, a), (8, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(8, a), (7, b), (5, c), (5, d), (None, e), (8, None)], key=str)
+    n = {(r.k, r.h): r for r in neardup.near_duplicates(docs).collect()}
+    assert sorted(r.component for r in n.values()) == sorted([8, 8, 7, 7, 7, 5, 5, 5, neardup.NO_ID, 8])
+    assert len({r.root for r in n.values()}) == 6
