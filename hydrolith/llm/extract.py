@@ -11,6 +11,7 @@ each page of the host.
 Elements say what they are, too: menus, footers, forms and the like weigh 0 and
 plain paragraphs inside an article weigh 1, whatever the tree has. So a page that
 is alone on its host is cleaned, and copies of an article do not make it noise.
+An article, or what names itself so, is the page's only if it holds most of it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEAST = 0.4
 PAGES = 4
 #: Share of a block's characters inside links that makes it a menu.
 LINKED = 0.6
+#: Share of a page's text that the containers of its article hold.
+MOST = 0.5
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
 #: Nodes of all hosts together up to which the noisy ones are broadcast (about 20 bytes each).
@@ -96,14 +99,21 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
 
 def main_blocks(found: list[Block], noisy: frozenset[int] | set[int]) -> list[str]:
-    """The texts of the blocks that stay, in order. A page without an article
-    that the tree would empty (a copy of its neighbours) keeps its blocks."""
+    """The texts of the blocks that stay, in order.
+
+    A kind of container is taken for the page's article only if it holds
+    ``MOST`` of the text that neither the tree nor its links make noise: a
+    byline or a teaser in one does not stand for the page. A page that the tree
+    would empty (a copy of its neighbours) keeps its blocks."""
     own = [b for b in found if not b.noise]
+    kept = [b for b in own if flows(b) or node_id(b.path) not in noisy]
+    said = [b for b in kept if b.linked < LINKED]
+    least = MOST * sum(len(b.text) for b in said)
     for part in (ARTICLE, MAIN, CUE):
-        if any(b.within & part for b in own):
-            inside = [b for b in own if b.within & part]
-            return [b.text for b in inside if flows(b) or node_id(b.path) not in noisy]
-    return [b.text for b in own if b.linked < LINKED and node_id(b.path) not in noisy] or [b.text for b in own]
+        inside = [b for b in said if b.within & part]
+        if inside and sum(len(b.text) for b in inside) >= least:
+            return [b.text for b in kept if b.within & part]
+    return [b.text for b in said] or [b.text for b in own]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,18 @@ def test_broken_markup():
     assert len(extract.main_blocks(blocks("<div>" * 5000 + "deep"), set())) == 1
 
 
+def test_small_containers_do_not_stand_for_the_page():
+    """A byline or a teaser in a container that names itself the article."""
+    body = "The body of the page, which is much longer than what stands beside it."
+    meta = f"<div class=entry-meta>By X</div><div class=wrap><p>{body}</p></div>"
+    assert extract.main_blocks(blocks(meta), set()) == ["By X", body]
+    teaser = f"<div class=page><p>{body}</p></div><article><h2>Next story</h2></article>"
+    assert extract.main_blocks(blocks(teaser), set()) == [body, "Next story"]
+    nested = f"<main><article><p>Teaser</p></article><p>{body}</p></main><div>Made by us</div>"
+    assert extract.main_blocks(blocks(nested), set()) == ["Teaser", body]
+    assert extract.main_blocks(blocks(f"<article><p>{body}</p></article><div>Made by us</div>"), set()) == [body]
+
+
 def test_tree_removes_what_a_host_repeats(spark):
     """Pages without telling tags: the same menu on all pages goes, what each
     page has of its own stays, and another host is not touched."""
