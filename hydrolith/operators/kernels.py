@@ -7,6 +7,8 @@ frames of a group and returns long rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -200,23 +202,22 @@ def separated(rows: DataFrame, keys: list[str], time_s: str, score: str, region:
     """For each key at most ``most`` rows, best score first, no two of one
     region or within ``gap_s`` of each other.
 
-    Only the best row of each region and slot can be picked, so rows are
-    thinned to these before a key's are gathered."""
-    slot = F.floor(F.col(time_s) / F.lit(gap_s))
-    pick = F.max_by(F.struct(time_s, score, tie), F.struct(score, (-F.col(tie)).alias("_t")))
-    best = rows.groupBy(*keys, region, slot.alias("_s")).agg(pick.alias("_r")).select(*keys, region, "_r.*")
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple] = []
-        for r in d.sort_values([score, tie], ascending=[False, True]).itertuples(index=False):
-            row = r._asdict()
-            if len(taken) < most and all(row[region] != x[region] and abs(row[time_s] - x[time_s]) >= gap_s for x in taken):
-                taken.append(row)
-        out = pd.DataFrame(taken)
-        return out.assign(rank=np.arange(1, len(out) + 1))[[*keys, region, time_s, score, tie, "rank"]]
-
-    types = dict(rows.dtypes)
-    return best.groupBy(*keys).applyInPandas(run, ", ".join([f"`{c}` {types[c]}" for c in (*keys, region, time_s, score, tie)] + ["rank int"]))
+    A round takes the best row of each key that none of the key's picks forbids,
+    by an aggregate over all rows; a key's picks are one row of ``most`` at most.
+    Rows without a time are left out, rows without a score come last."""
+    cols = [region, time_s, score, tie]
+    own = rows.filter(F.col(time_s).isNotNull()).select(*keys, F.struct(*cols).alias("_r"))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    order = F.struct(F.nanvl(F.col(f"_r.{score}").cast("double"), F.lit(None).cast("double")), -F.col(f"_r.{tie}"))
+    near = lambda x: x[region].eqNullSafe(F.col(f"_r.{region}")) | (F.abs(x[time_s] - F.col(f"_r.{time_s}")) < F.lit(gap_s))
+    taken = own.groupBy(*keys).agg(F.max_by("_r", order).alias("_n")).select(*keys, F.array("_n").alias("_p"))
+    for _ in range(most - 1):
+        joined = own.join(taken.select(*named, "_p"), same)
+        best = joined.groupBy(*keys).agg(F.first("_p").alias("_p"), F.max_by("_r", F.when(~F.exists("_p", near), order)).alias("_n"))
+        taken = best.select(*keys, F.when(F.col("_n").isNull(), F.col("_p")).otherwise(F.concat("_p", F.array("_n"))).alias("_p"))
+    ranked = taken.select(*keys, F.posexplode("_p").alias("_i", "_r"))
+    return ranked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols], (F.col("_i") + 1).alias("rank"))
 
 
 def crops(grids: DataFrame, keys: list[str], size: int, count: int, seed: int = 5) -> DataFrame:

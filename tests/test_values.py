@@ -176,3 +176,23 @@ def test_robust_slope(spark):
     d = spark.createDataFrame([(1, float(i), v) for i, v in enumerate(y)] + [(2, 0.0, 1.0), (2, 1.0, 2.0)], "ray int, km double, phase double")
     got = {(r.ray, r.km): r.slope for r in robust_slope(d, ["ray"], "km", "phase", 5).collect()}
     assert got[1, 5.0] == pytest.approx(2.0, abs=0.02) and got[2, 0.0] is None
+
+
+def test_separated_is_the_greedy_choice(spark):
+    """Against all candidates in order, one by one."""
+    from hydrolith.operators import kernels
+
+    def greedy(rows, gap, most):
+        out = []
+        for r in sorted(rows, key=lambda r: (-r[3], r[4])):
+            if len(out) < most and all(r[1] != x[1] and abs(r[2] - x[2]) >= gap for x in out):
+                out.append(r)
+        return [(*r, i + 1) for i, r in enumerate(out)]
+
+    g = np.random.default_rng(4)
+    made = [(0, "A", 86000, 10.0, 1), (0, "B", 90000, 9.0, 2), (0, "B", 172700, 8.0, 3)]
+    made += [(k, "ABCDEF"[g.integers(6)], int(g.integers(0, 600_000)), float(g.integers(0, 40)), 100 * k + i) for k in range(1, 9) for i in range(60)]
+    df = spark.createDataFrame(made, "month long, radar string, t long, value double, scan_id long")
+    got = sorted(tuple(r) for r in kernels.separated(df, ["month"], "t", "value", "radar", "scan_id", 86400, 5).collect())
+    assert got == sorted(x for k in range(9) for x in greedy([r for r in made if r[0] == k], 86400, 5))
+    assert [r[1:3] for r in got if r[0] == 0] == [("A", 86000), ("B", 172700)]
