@@ -127,21 +127,45 @@ def paired_difference(records: DataFrame, record: list[str], candidate: str, ref
     return p.filter(F.col("candidate").isNotNull() & F.col("reference").isNotNull()).withColumn("difference", F.col("candidate") - F.col("reference"))
 
 
-def block_bootstrap(values: DataFrame, keys: list[str], case: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Mean of case means and its 2.5 and 97.5 percentiles when cases are drawn
-    again. A draw gives each case a Poisson(1) number of copies from a hash of
-    draw and case, so it is an aggregation and needs no gathering; the draws of
-    a key, ``draws`` rows, make the interval."""
-    per_case = values.groupBy(*keys, case).agg(F.avg("value").alias("v"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", *keys, case), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    steps, total, p = [], 0.0, float(np.exp(-1.0))
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    copies = sum([F.when(u > s, 1).otherwise(0) for s in steps], F.lit(0))
-    drawn = per_case.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", copies)
-    means = drawn.groupBy(*keys, "draw").agg(ratio(F.sum(F.col("v") * F.col("_k")), F.sum("_k")).alias("m"))
+#: Drawn issues that a case holds at once.
+DRAWN = 1_000_000
+
+
+def block_bootstrap(values: DataFrame, keys: list[str], case: str, issue: str, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """Mean of case means of issue means, and its 2.5 and 97.5 percentiles when
+    cases are drawn again, and for each drawn case its issues with putting back.
+
+    A draw takes a Poisson(1) number of copies of a case; each copy draws as
+    many issues as the case has. The generator of a case is seeded by its hash,
+    so draws are the same wherever they run; a task hands on sums of draws."""
+    per_issue = values.filter(F.col("value").isNotNull()).groupBy(*keys, case, issue).agg(F.avg("value").alias("v"))
+    of_case = F.transform(F.array_sort(F.collect_list(F.struct(F.col(issue).alias("i"), "v"))), lambda x: x["v"])
+    per_case = per_issue.groupBy(*keys, case).agg(of_case.alias("vs"), F.avg("v").alias("v"))
+    hashed = per_case.select(*keys, F.xxhash64(F.lit(seed), *keys, case).alias("_h"), "vs")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for _, group in d.groupby(keys, dropna=False, sort=False):
+                total, mass = np.zeros(draws), np.zeros(draws)
+                for h, v in zip(group["_h"].tolist(), group["vs"], strict=True):
+                    r = np.random.default_rng(h % (1 << 64))
+                    copies = r.poisson(1.0, draws)
+                    mass += copies
+                    if len(v) == 1:
+                        total += copies * v[0]
+                        continue
+                    of = np.repeat(np.arange(draws), copies)
+                    step = max(1, DRAWN // len(v))
+                    means = [v[r.integers(0, len(v), (min(step, len(of) - k), len(v)))].mean(1) for k in range(0, len(of), step)]
+                    total += np.bincount(of, np.concatenate(means), draws) if means else 0.0
+                out = pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "s": total, "w": mass})
+                for k, name in enumerate(keys):
+                    out.insert(k, name, group[name].iloc[0])
+                yield out
+
+    types = dict(hashed.dtypes)
+    sums = hashed.mapInPandas(drawn, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "draw int, s double, w double"]))
+    means = sums.groupBy(*keys, "draw").agg(ratio(F.sum("s"), F.sum("w")).alias("m"))
     ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return per_case.groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("*").alias("cases")).join(ends, keys)
 
@@ -163,12 +187,12 @@ def pool(events: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat(np.array(sums) / np.array(masses), counts)
 
 
-def isotonic(samples: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+def isotonic(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Calibration curve of each key: x and y, nondecreasing.
 
-    Samples are summed at each probability rounded to ``digits`` first, so the
-    pooling of a key sees 10**digits + 1 rows at most, whatever the samples."""
-    sums = samples.filter(F.col("p").isNotNull()).groupBy(*keys, F.round("p", digits).alias("x")).agg(F.sum(F.col("event").cast("double")).alias("e"), F.count("*").cast("double").alias("w"))
+    Samples are summed at each different probability first, so the pooling of a
+    key sees as many rows as it has different probabilities."""
+    sums = samples.filter(F.col("p").isNotNull()).groupBy(*keys, F.col("p").cast("double").alias("x")).agg(F.sum(F.col("event").cast("double")).alias("e"), F.count("*").cast("double").alias("w"))
 
     def fit(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("x")

@@ -213,7 +213,7 @@ def pava_isotonic(spark, sf_dir):
 
 @query("block_bootstrap_ci")
 def block_bootstrap_ci(spark, sf_dir):
-    return ver.block_bootstrap(records(spark, sf_dir).filter("value IS NOT NULL"), ["algorithm"], "issue")
+    return ver.block_bootstrap(records(spark, sf_dir).filter("value IS NOT NULL"), ["algorithm"], "issue", "lead")
 
 
 @query("radial_spectrum")

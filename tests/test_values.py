@@ -196,3 +196,23 @@ def test_separated_is_the_greedy_choice(spark):
     got = sorted(tuple(r) for r in kernels.separated(df, ["month"], "t", "value", "radar", "scan_id", 86400, 5).collect())
     assert got == sorted(x for k in range(9) for x in greedy([r for r in made if r[0] == k], 86400, 5))
     assert [r[1:3] for r in got if r[0] == 0] == [("A", 86000), ("B", 172700)]
+
+
+def test_bootstrap_draws_cases_and_issues(spark):
+    """Against resampling with numpy: one case varies by its issues, too."""
+    g = np.random.default_rng(5)
+    cases = {"a": {0: g.normal(0, 1, 12)}, "b": {c: g.normal(c / 4, 2, 5) for c in range(40)}}
+    rows = [(k, c, i, float(v)) for k, of in cases.items() for c, vs in of.items() for i, v in enumerate(vs)] + [("b", 0, 0, None)]
+    df = spark.createDataFrame(rows, "k string, c long, i long, value double")
+    got = {r.k: r for r in ver.block_bootstrap(df, ["k"], "c", "i").collect()}
+    for k, of in cases.items():
+        vs = list(of.values())
+        draws = [np.mean([g.choice(vs[c], len(vs[c])).mean() for c in g.integers(0, len(vs), len(vs))]) for _ in range(2000)]
+        low, high = np.percentile(draws, [2.5, 97.5])
+        assert got[k].mean == pytest.approx(np.mean([v.mean() for v in vs])) and got[k].cases == len(vs)
+        assert abs(got[k].low - low) < 0.15 * (high - low) and abs(got[k].high - high) < 0.15 * (high - low)
+
+
+def test_isotonic_keeps_different_probabilities_apart(spark):
+    df = spark.createDataFrame([("k", 1 / 3, 1), ("k", 0.3333, 0), ("k", 0.3333, 0)], "k string, p double, event int")
+    assert sorted((r.x, r.y, r.w) for r in ver.isotonic(df, ["k"]).collect()) == [(0.3333, 0.0, 2.0), (1 / 3, 1.0, 1.0)]
