@@ -87,7 +87,8 @@ def translation(grids: DataFrame, keys: list[str]) -> DataFrame:
 
 def motion(previous: np.ndarray, current: np.ndarray, window: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Dense motion (dy, dx) by least squares of gradients in a window, on top
-    of the grids' common translation; that alone where gradients are flat."""
+    of the grids' common translation, at most 2 cells a step from it; that alone
+    where gradients are flat. A simplified Lucas-Kanade: no pyramid."""
     dy, dx, _ = shift_of(previous, current)
     a = np.roll(np.nan_to_num(previous), (dy, dx), (0, 1))
     b = np.nan_to_num(current)
@@ -149,7 +150,8 @@ def advected(grids: DataFrame, keys: list[str], leads_min: list[int], step_min:
 
 def perturbed(grids: DataFrame, keys: list[str], leads_min: list[int], members: int, step_min: int = 6, seed: int = 11) -> DataFrame:
     """Ensemble forecast: each member carries the grid by perturbed motion and
-    adds noise with the grid's own spectrum, which grows with the lead."""
+    adds noise with the grid's own spectrum, which grows with the lead. It is not
+    STEPS: no cascade, no autoregressive steps, no matching."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         a, b = _grids(d)
