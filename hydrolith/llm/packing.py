@@ -3,9 +3,9 @@
 A sequence holds whole pieces, so only the lengths matter, and a length is at
 most the capacity: the whole corpus is described by one count for each length
 (4096 numbers). The search runs on these counts. It takes the largest piece
-left, enumerates the undominated fillings of the room beside it, applies each
-to as many sequences as the counts allow, and prunes by waste against the best
-packing known, which is best-fit decreasing's at first. The plan gives runs of
+left, enumerates the undominated fillings of the room beside it, the fullest
+first, and prunes by waste against the best packing known, which is best-fit
+decreasing's at first. The plan gives runs of
 ranks within a length to runs of sequences; every piece finds its place by its
 own rank, wherever it is stored.
 """
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,15 @@ from hydrolith.llm.tokens import VOCABULARY, word_ids
 CAPACITY = 4096
 #: Parts of a length that are ranked apart, so that a frequent one is no hot key.
 PARTS = 1024
-#: Nodes that the search expands at most before it settles for its best.
-NODES = 4000
+#: Nodes and choices of lengths that the search takes at most before it settles
+#: for its best (one to five seconds).
+STEPS = 1_000_000
+#: Choices for one room after which the reachable sums are worth a table.
+REACH_AFTER = 64
+#: Depths from one waste bound to the next; waste alone is judged at each.
+BOUND_EVERY = 16
+#: Share of the pieces that are left when best fit gives the next incumbent.
+INCUMBENT_EVERY = 0.9
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -37,23 +45,19 @@ PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())]
 Run = tuple[int, int, int, int, int, int]
 
 
-def waste_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: total length, and pieces that exclude
-    each other (over half; then with each least length that fits beside none)."""
-    sizes = sorted(counts)
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    n = np.zeros(capacity + 1, np.int64)
-    for s in sizes:
-        n[s] = counts[s]
-    cn, cs = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
-    for k in [0, *(s for s in sizes if 2 * s <= capacity)]:
-        big = int(cn[capacity] - cn[capacity - k])
-        half = capacity // 2
-        mid_n, mid_s = int(cn[capacity - k] - cn[half]), int(cs[capacity - k] - cs[half])
-        low = int(cs[half] - (cs[k - 1] if k else 0))
-        best = max(best, big + mid_n + max(0, -(-(low - (mid_n * capacity - mid_s)) // capacity)))
-    return best
+def waste_bound(n: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs, from counts by length: the total, and
+    pieces that exclude each other (for each k up to a half: those over the rest
+    beside k, those over a half, and what of the small ones exceeds their rooms)."""
+    half = capacity // 2
+    cn = np.cumsum(n)
+    cs = np.cumsum(n * np.arange(capacity + 1))
+    least = -(-int(cs[capacity]) // capacity)
+    k = np.arange(half + 1)
+    mid_n, mid_s = cn[capacity - k] - cn[half], cs[capacity - k] - cs[half]
+    below = np.concatenate(([0], cs[:half]))
+    over = (cs[half] - below) - (mid_n * capacity - mid_s)
+    return max(least, int((cn[capacity] - cn[half] + np.maximum(0, -(-over // capacity))).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
@@ -97,89 +101,209 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     return runs, used
 
 
-def fillings(counts: dict[int, int], room: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: the best single length,
-    pairs and triples that leave less, each made maximal by best fit. A filling
-    is dominated if a length left out fits in place of smaller ones in it."""
-    sizes = sorted(s for s, n in counts.items() if n and s <= room)
-    if not sizes:
-        return [()]
-
-    def top(limit: int, used: tuple[int, ...]) -> int | None:
-        i = bisect_left(sizes, limit + 1) - 1
-        while i >= 0 and counts[sizes[i]] <= used.count(sizes[i]):
-            i -= 1
-        return sizes[i] if i >= 0 else None
-
-    def filled(start: tuple[int, ...]) -> tuple[int, ...]:
-        left = room - sum(start)
-        while (s := top(left, start)) is not None:
-            start, left = (*start, s), left - s
-        return start
-
-    seen = {tuple(sorted(filled(()), reverse=True))}
-    step = max(1, len(sizes) // 400)
-    for s in sizes[::-step]:
-        seen.add(tuple(sorted(filled((s,)), reverse=True)))
-        if len(seen) > 8 * most and any(sum(x) == room for x in seen):
-            break
-    for s in sizes[:: -max(1, len(sizes) // 40)]:
-        for u in sizes[:: -max(1, len(sizes) // 40)]:
-            if s >= u and s + u <= room and (s != u or counts[s] > 1):
-                seen.add(tuple(sorted(filled((s, u)), reverse=True)))
-
-    def dominated(x: tuple[int, ...]) -> bool:
-        spare = room - sum(x)
-        return spare > 0 and any((t := top(s + spare, x)) is not None and t > s for s in x)
-
-    good = [x for x in seen if not dominated(x)] or list(seen)
-    return sorted(good, key=lambda x: (room - sum(x), len(x), tuple(-v for v in x)))[:most]
-
-
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[Run], int]:
-    """The plan and its number of sequences. Deterministic."""
-    counts = {int(s): int(n) for s, n in counts.items() if n > 0}
+def bits(present: np.ndarray) -> int:
+    """A number with a bit for each length that is present."""
+    return int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
+
+
+def smeared(x: int, low: int, high: int) -> int:
+    """The union of ``x`` shifted down by low, low + 1, ..., high."""
+    if high < low:
+        return 0
+    x >>= low
+    width, want = 1, high - low + 1
+    while width < want:
+        step = min(width, want - width)
+        x |= x >> step
+        width += step
+    return x
+
+
+class Budget:
+    """Steps that the search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise StopSearch
+
+
+class StopSearch(Exception):
+    """The steps are used up."""
+
+
+def fillings(n: np.ndarray, room: int, waste: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that leave ``waste`` at most, one by
+    one, the fullest first and of these the fewest pieces first.
+
+    A filling is dominated if a length left out fits in place of a group of its
+    pieces (of one smaller piece, of several whose sum is no larger, or of none)
+    within the room it leaves: what a packing does with the longer one it can
+    do with the group. Lengths go in from the longest; a choice after which
+    every filling would be dominated is cut off by one mask of bits.
+    """
+    n = n[: room + 1]
+    have = bits(n > 0)
+    least = (have & -have).bit_length() - 1 if have else room + 1
+    longest = have.bit_length() - 1
+    count = n.tolist()
+    below: list[int] = []
+    lengths: list[int] = []
+    tried = 0
+
+    def sums() -> None:
+        """below[i]: the sums that the i shortest lengths reach."""
+        reach, full = 1, (1 << (room + 1)) - 1
+        below.append(reach)
+        for s in np.flatnonzero(n).tolist():
+            lengths.append(s)
+            k, most = 1, min(count[s], room // s)
+            while most > 0:
+                k = min(k, most)
+                reach |= (reach << (k * s)) & full
+                most, k = most - k, 2 * k
+            below.append(reach)
+
+    def down(left: int, top: int, made: tuple[int, ...], groups: frozenset[int], spare: int, free: int, pieces: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of ``left`` by exactly ``pieces`` lengths up to ``top``;
+        ``groups`` are the sums of the groups among ``made`` that matter."""
+        nonlocal tried
+        tried += 1
+        budget.spend()
+        if tried > REACH_AFTER and not lengths:
+            sums()
+        bad, near = smeared(free, 1, spare), smeared(free, 0, spare)
+        for g in groups:
+            bad |= near >> g
+        cand = have & ~bad & ((1 << (min(top, left) + 1)) - 1)
+        if pieces == 2:  # both halves of a pair at once
+            cand &= flipped >> (room - left)
+        while cand:
+            s = cand.bit_length() - 1
+            cand ^= 1 << s
+            budget.spend()
+            if s * pieces < left:
+                return
+            rest, own = left - s, made.count(s)
+            if count[s] <= own or rest < least * (pieces - 1) or lengths and not below[bisect_left(lengths, s) + 1] >> rest & 1:
+                continue
+            more = frozenset(g for g in {*groups, s, *(g + s for g in groups)} if g + least <= longest)
+            now = free & ~(1 << s) if count[s] == own + 1 else free
+            if pieces > 2:
+                yield from down(rest, s, (*made, s), more, spare, now, pieces - 1)
+            elif count[rest] > made.count(rest) + (rest == s):
+                end = now & ~(1 << rest) if count[rest] == made.count(rest) + 1 + (rest == s) else now
+                swap, group = smeared(now, 1, spare), smeared(now, 0, spare)
+                if not (end & small or swap >> rest & 1 or any(group >> (g + rest) & 1 for g in more)):
+                    yield (*made, s, rest)
+
+    #: Bit room - s for each length s, to meet pairs.
+    flipped = bits(n[::-1] > 0)
+    for spare in range(max(0, room - int((n * np.arange(len(n))).sum())), min(waste, room) + 1):
+        want, small = room - spare, (2 << spare) - 1
+        budget.spend()
+        if not want:
+            if not have:
+                yield ()
+            return
+        if count[want]:
+            if not (smeared(have, 1, spare) >> want & 1 or (have & ~(1 << want) if count[want] == 1 else have) & small):
+                yield (want,)
+            if not spare:
+                return  # an exact piece stands for every other filling
+        for pieces in range(2, want // least + 1):
+            if pieces > 2 and lengths and not below[-1] >> want & 1:
+                break
+            yield from down(want, want, (), frozenset(), spare, have, pieces)
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[Run], int, bool]:
+    """The plan, its number of sequences and whether none can have fewer.
+
+    Depth first. A node is the counts that are left. Its largest length gets an
+    undominated filling, first as often as the counts allow, later once (once
+    alone would reach every packing; often makes the way short). A node is cut
+    off if its waste or the waste bound of its rest cannot beat the incumbent, or
+    if it was met before with no more sequences. Incumbents are best-fit
+    decreasing's: at the root, and wherever a tenth of the pieces has gone since
+    the last on the way. Ends when the incumbent meets the bound, when no node is
+    left (both prove it least), or after ``steps`` nodes and choices of lengths.
+    Deterministic.
+    """
+    counts = {int(s): int(k) for s, k in counts.items() if k > 0}
     if not counts:
-        return [], 0
+        return [], 0, True
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("a length is outside [1, capacity]")
-    least = waste_bound(counts, capacity)
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    total = int((n * np.arange(capacity + 1)).sum())
+    least = waste_bound(n, capacity)
     runs, used = best_fit(counts, capacity)
-    total = sum(s * n for s, n in counts.items())
-    spent = 0
-    # Depth first; a frame: counts left, sequences and waste so far, its fillings.
-    stack = [(dict(counts), 0, 0, None, ())]
-    while stack and used > least and spent < nodes:
-        left, made, waste, todo, path = stack.pop()
-        if todo is None:
-            spent += 1
-            left = {s: n for s, n in left.items() if n}
-            tail, n = best_fit(left, capacity)  # an incumbent below this node
-            if made + n < used:
-                used, runs = made + n, _joined(path, tail, made)
-                if used <= least:
-                    break
-            if not left or waste > (used - 1) * capacity - total or made + waste_bound(left, capacity) >= used:
+    budget, met = Budget(steps), {}
+
+    def branches(left: np.ndarray, made: int, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        big = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[big] -= 1
+        once = []
+        for x in fillings(rest, capacity - big, (used - 1) * capacity - total - waste, budget):
+            whole = (big, *x)
+            times = min(int(left[s]) // whole.count(s) for s in set(whole))
+            yield whole, times
+            if times > 1:
+                once.append(whole)
+        for whole in once:
+            yield whole, 1
+
+    #: A frame: counts left, sequences and waste so far, pieces at the last incumbent, branches, the path to it.
+    stack = [(n, 0, 0, int(n.sum()), branches(n, 0, 0), None)]
+    try:
+        while stack and used > least:
+            left, made, waste, last, todo, path = stack[-1]
+            step = next(todo, None)
+            if step is None:
+                stack.pop()
                 continue
-            big = max(left)
-            rest = dict(left)
-            rest[big] -= 1
-            todo = [(big, *x) for x in fillings(rest, capacity - big)]
-        if not todo:
-            continue
-        x, todo = todo[0], todo[1:]
-        stack.append((left, made, waste, todo, path))
-        need = {s: x.count(s) for s in x}
-        times = min(left[s] // k for s, k in need.items())
-        stack.append(({s: n - times * need.get(s, 0) for s, n in left.items()}, made + times, waste + times * (capacity - sum(x)), None, (*path, (x, times))))
-    return runs, used
-
-
-def _joined(path: tuple, tail: list[Run], made: int) -> list[Run]:
+            budget.spend()
+            x, times = step
+            after = left.copy()
+            for s in x:
+                after[s] -= times
+            made, waste, path = made + times, waste + times * (capacity - sum(x)), (path, x, times)
+            if waste > (used - 1) * capacity - total:
+                continue
+            if 2 * x[0] > capacity and len(stack) % BOUND_EVERY == 0 and made + waste_bound(after, capacity) >= used:
+                continue
+            key = xxhash.xxh3_128_digest(after.tobytes())
+            if met.get(key, made + 1) <= made:
+                continue
+            met[key] = made
+            pieces_left = int(after.sum())
+            if pieces_left <= INCUMBENT_EVERY * last:
+                last = pieces_left
+                tail, more = best_fit({int(s): int(after[s]) for s in np.flatnonzero(after)}, capacity)
+                if made + more < used:
+                    used, runs = made + more, _joined(path, tail, made)
+            if pieces_left:
+                stack.append((after, made, waste, last, branches(after, made, waste), path))
+    except StopSearch:
+        return runs, used, False
+    return runs, used, True
+
+
+def _joined(path: tuple | None, tail: list[Run], made: int) -> list[Run]:
     """Runs of the fillings on a path, then those of a packing of the rest."""
+    steps = []
+    while path:
+        path, x, times = path
+        steps.append((x, times))
     ranks: dict[int, int] = {}
     runs, first = [], 0
-    for x, times in path:
+    for x, times in reversed(steps):
         offset = 0
         for s in sorted(set(x), reverse=True):
             k = x.count(s)
@@ -237,7 +361,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counted = cut(counted.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     # One row for each length: ``capacity`` rows at most.
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = complete(counts, capacity)
+    runs, _, _ = complete(counts, capacity)
     own = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = p.join(counted.drop("n"), ["length", "_b"]).withColumn("_rank", F.row_number().over(own) - 1 + F.col("_before"))
 

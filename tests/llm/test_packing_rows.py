@@ -1,7 +1,7 @@
 """Packing against exhaustive search; token rows as an exact round trip."""
 
 import zlib
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 from hypothesis import given, settings
@@ -39,16 +39,16 @@ def placed(runs, counts):
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=7))
 def test_as_few_as_exhaustive(lengths):
     counts = {s: lengths.count(s) for s in set(lengths)}
-    runs, used = packing.complete(counts, 20)
-    assert used == least_bins(lengths, 20)
+    runs, used, least = packing.complete(counts, 20)
+    assert used == least_bins(lengths, 20) and least
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_places_are_gapless(counts):
-    runs, used = packing.complete(counts, 64)
+    runs, used, _ = packing.complete(counts, 64)
     bins = placed(runs, counts)
-    assert len(bins) == used >= packing.waste_bound(counts, 64)
+    assert len(bins) == used >= packing.waste_bound(table(counts, 64), 64)
     for parts in bins.values():
         at = 0
         for o, s in sorted(parts):
@@ -57,9 +57,59 @@ def test_places_are_gapless(counts):
         assert at <= 64
 
 
+def table(counts: dict[int, int], capacity: int) -> np.ndarray:
+    n = np.zeros(capacity + 1, np.int64)
+    for s, k in counts.items():
+        n[s] = k
+    return n
+
+
+def undominated(pieces: list[int], room: int) -> set[tuple[int, ...]]:
+    """By the definition: no piece left out fits for a group of those within."""
+    found = set()
+    for k in range(len(pieces) + 1):
+        for own in combinations(range(len(pieces)), k):
+            spare = room - sum(pieces[i] for i in own)
+            if spare < 0:
+                continue
+            out = [pieces[i] for i in range(len(pieces)) if i not in own]
+            groups = [[pieces[i] for i in g] for n in range(len(own) + 1) for g in combinations(own, n)]
+            if not any(sum(g) <= t <= sum(g) + spare and g != [t] for g in groups for t in out):
+                found.add(tuple(sorted((pieces[i] for i in own), reverse=True)))
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 25), max_size=8), st.integers(0, 40))
+def test_fillings_are_the_undominated(pieces, room):
+    counts = {s: pieces.count(s) for s in set(pieces)}
+    n = table(counts, max([*pieces, room]))
+    n = np.pad(n, (0, max(0, room + 1 - len(n))))
+    got = list(packing.fillings(n, room, room, packing.Budget(10**9)))
+    assert len(got) == len(set(got)) and [sum(x) for x in got] == sorted((sum(x) for x in got), reverse=True)
+    assert set(got) == undominated([s for s in pieces if s <= room], room)
+
+
 def test_search_beats_best_fit():
-    counts = {6: 2, 5: 2, 4: 3, 3: 2, 2: 2}
-    assert packing.complete(counts, 12)[1] <= packing.best_fit(counts, 12)[1]
+    """Best fit needs a sequence more here, and on drawn lengths as well."""
+    counts = {4: 1, 6: 1, 7: 2, 9: 1, 11: 2, 12: 1}
+    assert packing.best_fit(counts, 23)[1] == 4 and packing.complete(counts, 23)[1:] == (3, True)
+    rng = np.random.default_rng(1)
+    won = 0
+    for _ in range(10):
+        lengths, k = np.unique(np.minimum(rng.lognormal(6.4, 1, 20_000).astype(int) + 1, 4096), return_counts=True)
+        counts = dict(zip(lengths.tolist(), k.tolist(), strict=True))
+        runs, used, least = packing.complete(counts)
+        won += used < packing.best_fit(counts, 4096)[1]
+        assert len(placed(runs, counts)) == used
+    assert won
+
+
+def test_search_stops_by_its_steps():
+    lengths, k = np.unique(np.random.default_rng(1).integers(1000, 2001, 3000), return_counts=True)
+    counts = dict(zip(lengths.tolist(), k.tolist(), strict=True))
+    first = packing.complete(counts, steps=5000)
+    assert not first[2] and first == packing.complete(counts, steps=5000)
 
 
 def test_ids_equal_the_tokenizers(spark):
