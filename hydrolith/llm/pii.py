@@ -15,6 +15,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from hydrolith.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 20
+#: Characters that the field reads on either side of a trigger, and how many more
+#: at most to the next white space.
+AROUND, FURTHER = 48, 64
 #: Log-odds by which a span must beat the best reading without it.
 MARGIN = 1.0
 
@@ -78,9 +82,13 @@ def base_spans(text: str) -> list[Span]:
 
 # The field: tokens, candidates, features.
 
+HEX = frozenset("0123456789abcdefABCDEF")
 #: Groups of an IPv6 address are one token each.
 TOKEN = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{1,4}(?=:[0-9a-fA-F])|(?<=:)[0-9a-fA-F]{1,4}(?![0-9A-Za-z])|[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
+SPACE = re.compile(r"\s")
 TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]|\sat\s\w+\sdot\s", re.IGNORECASE)
+#: Every text that has a trigger has this (Arrow's white space is ASCII's).
+MAYBE = r"(?s)[0-9@]|[\[({].?at.?[\])}]|dot"
 AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 SHAPES = {
@@ -100,14 +108,16 @@ CUES = {
 PLAIN = {"version", "isbn", "page", "pages", "chapter", "order", "no", "in", "since", "year", "room", "section", "total", "eur", "usd"}
 #: What follows a span that has been cut too early.
 GOES_ON = re.compile(r"(?:\s?[\[({]?\s?(?:dot|\.)\s?[\])}]?\s?|:|[ -])(?:[0-9]|[a-z]{2,4}\b)", re.IGNORECASE)
-NAMES = ["bias", "shape", "luhn", "digits", "cue", "plain", "glued", "spaced", "tokens", "quad", "groups", "dashed", "led", "goes_on"]
+#: What comes before a span that begins too late.
+BEGAN = re.compile(r"(?:\+|\b00)[0-9]{1,3}[ .-]?\Z")
+NAMES = ["bias", "shape", "luhn", "digits", "cue", "plain", "glued", "spaced", "tokens", "quad", "groups", "dashed", "led", "goes_on", "began"]
 SIZE = len(NAMES) * len(KINDS)
 
 
-def features(kind: str, span: str, before: list[str], left: str, after: str, tokens: int) -> np.ndarray:
+def features(kind: str, span: str, before: list[str], ahead: str, after: str, tokens: int) -> np.ndarray:
     """Features of a whole candidate: ``before`` is the words to its left,
-    ``left`` the sign before it and ``after`` some text behind it."""
-    right = after[:1]
+    ``ahead`` some text before it and ``after`` some behind it."""
+    left, right = ahead[-1:], after[:1]
     digits = "".join(c for c in span if "0" <= c <= "9")
     words = {w.lower() for w in before}
     lo, hi = {"email": (0, 99), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}[kind]
@@ -127,6 +137,7 @@ def features(kind: str, span: str, before: list[str], left: str, after: str, tok
         float("-" in span),
         float(span[0] in "(0+"),
         float(bool(GOES_ON.match(after))),
+        float(bool(BEGAN.search(ahead))),
     )
     return x
 
@@ -135,19 +146,29 @@ def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str,
     """Tokens and candidates (first token, past the last, kind, features). Only
     candidates of the right shape, or nearly, are listed; all else is plain."""
     tokens = [m.span() for m in TOKEN.finditer(text)]
+    # How many signs or words of an address, and how many digits, come before each token.
+    ats, digits = [0], [0]
+    for a, b in tokens:
+        t = text[a:b]
+        ats.append(ats[-1] + (t == "@" or t.lower() == "at"))
+        digits.append(digits[-1] + sum("0" <= c <= "9" for c in t))
     out = []
     for i, (a, _) in enumerate(tokens):
+        first = text[a]
+        opens = first in "(+" or first in HEX
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             b = tokens[j - 1][1]
-            span = text[a:b]
-            if "\n" in span or j - i < 3 and not any(c.isdigit() for c in span):
+            if "\n" in text[tokens[j - 2][1] if j - i > 1 else a : b]:
+                break
+            address, number = ats[j] > ats[i], opens and text[b - 1] in HEX and digits[j] > digits[i]
+            if not (address or number):
                 continue
+            span = text[a:b]
+            near = j - i <= 8 and first.isdigit() and span[-1].isdigit() and sum(c.isdigit() for c in span) >= 6
             for kind in KINDS:
-                shaped = SHAPES[kind].fullmatch(span)
-                near = kind != "email" and j - i <= 8 and span[0].isdigit() and span[-1].isdigit() and sum(c.isdigit() for c in span) >= 6
-                if shaped or near:
+                if (address if kind == "email" else number) and (kind != "email" and near or SHAPES[kind].fullmatch(span)):
                     before = [text[p:q] for p, q in tokens[max(0, i - 3) : i]]
-                    out.append((i, j, kind, features(kind, span, before, text[a - 1 : a] if a else "", text[b : b + 12], j - i)))
+                    out.append((i, j, kind, features(kind, span, before, text[max(0, a - 6) : a], text[b : b + 12], j - i)))
     return tokens, out
 
 
@@ -214,7 +235,7 @@ def made_up(seed: int) -> tuple[str, list[Span]]:
         "email": lambda: word() + r.choice(["", "." + word(), num(2)]) + at + word() + dot + r.choice(["com", "org", "example" + dot + "net"]),
         "ip": lambda: r.choice([".", "[.]", "."]).join(str(r.randint(0, 255)) for _ in range(4)) if r.random() < 0.8 else ":".join(f"{r.randint(1, 65535):x}" for _ in range(8)),
         "card": card,
-        "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(3)} {num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"00{num(2)} {num(3)} {num(4)}"]),
+        "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(3)} {num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}", f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(4)}"]),
     }
     bad = [
         lambda: r.choice(["version ", "v"]) + ".".join(str(r.randint(0, 20)) for _ in range(3)), lambda: f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", lambda: f"{r.randint(1, 99)}:{num(2)}",
@@ -258,26 +279,40 @@ def weights(sentences: int = 800, rounds: int = 12) -> np.ndarray:
     return w
 
 
-def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
-    """Spans of the field that touch no base span."""
-    regions: list[list[int]] = []
+def regions(text: str) -> list[tuple[int, int]]:
+    """The stretches around triggers, apart from each other and in order: each
+    reaches ``AROUND`` characters either way and on to the next white space,
+    ``FURTHER`` more at most; stretches that meet are one."""
+    out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 48), min(len(text), m.end() + 48)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
+        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if out and a <= out[-1][1] and b <= out[-1][1]:
+            continue
+        left = [x.end() for x in SPACE.finditer(text, max(0, a - FURTHER), a)]
+        right = SPACE.search(text, b, min(len(text), b + FURTHER))
+        a = left[-1] if left else max(0, a - FURTHER)
+        b = right.start() if right else min(len(text), b + FURTHER)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            regions.append([a, b])
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
+    """Spans of the field that touch no base span, in order, each once."""
     out = []
-    for a, b in regions:
-        a = text.rfind(" ", 0, a) + 1
-        b = len(text) if (end := text.find(" ", b)) < 0 else end
-        part = text[a:b]
-        tokens, cand = lattice(part)
+    taken, at = sorted((a, b) for _, a, b in base), 0
+    for a, b in regions(text):
+        tokens, cand = lattice(text[a:b])
         edges = [(i, j, float(x @ w) - MARGIN) for i, j, _, x in cand]
         for k in best(len(tokens), edges):
             i, j, kind, _ = cand[k]
             lo, hi = a + tokens[i][0], a + tokens[j - 1][1]
-            if all(hi <= s or e <= lo for _, s, e in base):
+            while at < len(taken) and taken[at][1] <= lo:
+                at += 1
+            # Base spans of two kinds may overlap: look on while they can touch.
+            if not any(s < hi and e > lo for s, e in takewhile(lambda t: t[0] < hi, taken[max(0, at - len(KINDS)) :])):
                 out.append((kind, lo, hi))
     return out
 
@@ -294,7 +329,7 @@ NONE = hashlib.sha256(b"").hexdigest()
 def _batches(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[Span], list[Span]]]]]:
     for b in batches:
         text = b.column("text")
-        likely = pc.fill_null(pc.match_substring_regex(text, r"[0-9@]|[\[({]\s?at\s?[\])}]|\sdot\s", ignore_case=True), False).to_pylist()
+        likely = pc.fill_null(pc.match_substring_regex(text, MAYBE, ignore_case=True), False).to_pylist()
         found = []
         for i, yes in enumerate(likely):
             if yes:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -133,3 +134,33 @@ def test_mix_has_each_draw(spark):
     for r in QUERIES["op8_source_mixing"](spark, sf).collect():
         assert mixed[r.doc_id] == len(r.shards)
         assert r.size == 0 or r.taken == r.size * len(r.shards)
+
+
+def test_added_spans_come_once():
+    w = pii.weights()
+    line = "a(at)b.example.org"
+    for text in ("\n".join([line] * 3), " ".join([line] * 3), " ".join([line] * 3)):
+        assert [text[a:b] for _, a, b in pii.added_spans(text, [], w)] == [line] * 3
+    assert [x[0] for x in pii.added_spans("write foo at bar dot org", [], w)] == ["email"]
+    # Regions are apart and in order, and no longer than what they read around a trigger.
+    text = "x" * 1000 + "@" + "y" * 1000 + "7" + "z" * 1000
+    found = pii.regions(text)
+    assert [b - a for a, b in found] == [2 * (pii.AROUND + pii.FURTHER) + 1] * 2 and found[0][1] <= found[1][0]
+
+
+def test_field_takes_linear_time():
+    w = pii.weights()
+    lines = lambda n: "\n".join(f"会員{i}番(foo{i}(at)bar.example.org)電話0301234{i:05d}" for i in range(n))
+    took = {}
+    for n in (1000, 4000):
+        begun = time.process_time()
+        spans = pii.added_spans(lines(n), [], w)
+        took[n] = time.process_time() - begun
+        assert len(spans) == len(set(spans)) >= n
+    assert took[4000] < 8 * took[1000]
+
+
+def test_whole_phone_is_found():
+    text = "Des +1 (826) 555-4081 190.137.223.4"
+    base = pii.base_spans(text)
+    assert [text[a:b] for k, a, b in pii.added_spans(text, base, pii.weights())] == ["+1 (826) 555-4081"]
