@@ -6,7 +6,8 @@ last word also alone); a term weighs its code points, 16 at most.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections import Counter
+from itertools import accumulate, combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,12 @@ from hydrolith.llm.simhash import hex16, likeness, signed, vote
 
 #: Stands for a null id in sort orders and join keys.
 NO_ID = -(1 << 63)
-#: Ranges of ids that are ordered apart.
-RANGES = 1024
+#: Ids that are ordered together, and ranges at least.
+RANGE_ROWS, MIN_RANGES = 4_000_000, 256
+#: The search: bits that may differ, and blocks of its tables.
+RADIUS, RADIUS_BLOCKS = 2, 5
+#: Documents whose id this divides are the search's queries.
+QUERY_EVERY = 20
 
 
 def terms(words_col: str) -> Column:
@@ -45,21 +50,40 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), take)
 
 
+def ranges_of(ids: DataFrame) -> tuple[Column, int]:
+    """The number of the range that a row (k, h) of ``ids`` falls into, in order,
+    and how many ranges there are: one for each ``RANGE_ROWS`` rows, by
+    approximate quantiles of k. An id that fills ranges alone (as null does) is
+    parted by the leading bits of h."""
+    n = ids.count()
+    many = max(MIN_RANGES, -(-n // RANGE_ROWS))
+    cuts = ids.agg(F.percentile_approx("k", F.lit([i / many for i in range(1, many)]), F.lit(10 * many))).first()[0] or []
+    often = Counter(cuts)
+    hot = {k: (often[k] + 1).bit_length() for k in often if often[k] > 1}
+    bounds = sorted({*cuts, *(k + 1 for k in hot if k + 1 < 1 << 63)})
+    # Range i begins at bounds[i - 1]; that of a hot id holds no other.
+    bits = [0, *(hot.get(k, 0) for k in bounds)]
+    first = list(accumulate((1 << x for x in bits), initial=0))
+    at = range_of(F.col("k"), bounds)
+    table = lambda x: F.lit(x).cast("array<bigint>")
+    own = F.get(table(bits), at).cast("int")
+    part = F.when(own > 0, F.call_function("shiftrightunsigned", F.col("h").bitwiseXOR(F.lit(NO_ID)), 64 - own)).otherwise(F.lit(0).cast("long"))
+    return F.get(table(first[:-1]), at) + part, first[-1]
+
+
 def successors(ids: DataFrame) -> DataFrame:
     """(k, h) with the next pair (nk, nh) in order; the first follows the last.
 
-    ``ids`` has one row per pair. The order is cut into ranges at approximate
-    quantiles of k, so no task sorts more than a range; the first pairs of the
-    ranges (``RANGES`` rows at most, read by the driver) link one to the next.
+    ``ids`` has one row per pair. No task sorts more than a range, and the
+    first pairs of the ranges (a row for each, read by the driver) link one to
+    the next.
     """
-    q = [i / RANGES for i in range(1, RANGES)]
-    cuts = ids.agg(F.percentile_approx("k", F.lit(q), F.lit(10 * RANGES))).first()[0] or []
-    bounds = sorted(set(cuts))
-    r = ids.withColumn("_r", range_of(F.col("k"), bounds))
+    number, many = ranges_of(ids)
+    r = ids.withColumn("_r", number.cast("int"))
     firsts = {x["_r"]: x["f"] for x in r.groupBy("_r").agg(F.min(F.struct("k", "h")).alias("f")).collect()}
     # The first pair of the next range that has one, for each range by number.
-    after, nxt = [(None, None)] * (len(bounds) + 1), firsts[min(firsts)] if firsts else (None, None)
-    for i in range(len(bounds), -1, -1):
+    after, nxt = [(None, None)] * many, firsts[min(firsts)] if firsts else (None, None)
+    for i in range(many - 1, -1, -1):
         after[i] = nxt
         nxt = firsts.get(i, nxt)
     k, h = (F.lit([x[j] for x in after]).cast("array<bigint>") for j in (0, 1))
@@ -91,7 +115,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("g")
         )
     )
-    known = order.join(found, ["k", "h"])
+    known = order.join(found, ["k", "h"]).join(near(found.join(order.select("k", "h", "rows"), ["k", "h"])), ["k", "h"], "left")
     after = found.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("f").alias("nf"))
     return known.join(after, ["nk", "nh"]).withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
 
@@ -109,7 +133,8 @@ def find_within(queries: DataFrame, corpus: DataFrame, radius: int = 3, blocks:
     """Pairs (query, fingerprint, bits): distinct fingerprints of ``corpus``
     within ``radius`` bits of distinct ones of ``queries``.
 
-    Both frames have a long ``fingerprint``; nulls are left out. Each table
+    Both frames have a long ``fingerprint``; nulls are left out. Other columns of
+    ``corpus`` come along, and its fingerprints must then be distinct. Each table
     permutes one choice of blocks to the front as the join key; a pair counts
     in the first table that it meets in, so no pair comes twice. More blocks
     make longer keys: take them so that 2**(bits of a key) exceeds the corpus.
@@ -119,14 +144,28 @@ def find_within(queries: DataFrame, corpus: DataFrame, radius: int = 3, blocks:
     masks = block_masks(radius, blocks)
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks)])
 
+    more = [c for c in corpus.columns if c != "fingerprint"]
+
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        one = df.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct()
-        return one.select(name, F.explode(tables).alias("x")).select(name, F.col("x.t").alias("t"), F.col(name).bitwiseAND(F.col("x.m")).alias("key"))
+        one = df.select(F.col("fingerprint").alias(name), *(more if name == "fingerprint" else ())).filter(F.col(name).isNotNull())
+        one = one if more and name == "fingerprint" else one.distinct()
+        return one.withColumn("x", F.explode(tables)).select("*", F.col("x.t").alias("t"), F.col(name).bitwiseAND(F.col("x.m")).alias("key")).drop("x")
 
     x = F.col("query").bitwiseXOR(F.col("fingerprint"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
     pairs = keyed(queries, "query").join(keyed(corpus, "fingerprint"), ["t", "key"])
-    return pairs.filter((F.bit_count(x) <= radius) & (first == F.col("t"))).select("query", "fingerprint", F.bit_count(x).alias("bits"))
+    return pairs.filter((F.bit_count(x) <= radius) & (first == F.col("t"))).select("query", "fingerprint", F.bit_count(x).alias("bits"), *more)
+
+
+def near(known: DataFrame) -> DataFrame:
+    """k, h and ``n_within``, for ids that ``QUERY_EVERY`` divides: how many other
+    documents have a fingerprint within ``RADIUS`` bits. ``known`` has k, h, f and
+    rows. Equal fingerprints are searched once, so copies make no pairs."""
+    asks = known.filter((F.pmod("k", F.lit(QUERY_EVERY)) == 0) & (F.col("k") != NO_ID)).select("k", "h", "f")
+    each = known.groupBy(F.col("f").alias("fingerprint")).agg(F.sum("rows").alias("_n"))
+    found = find_within(asks.select(F.col("f").alias("fingerprint")), each, RADIUS, RADIUS_BLOCKS)
+    total = found.groupBy(F.col("query").alias("f")).agg((F.sum("_n") - 1).alias("n_within"))
+    return asks.join(total, "f").select("k", "h", "n_within")
 
 
 def op3_document_fingerprints(spark, sf_dir):
@@ -139,7 +178,8 @@ def op3_document_fingerprints(spark, sf_dir):
         hex16(F.col("g")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("g")).alias("near_edited"),
         likeness(F.col("f"), F.col("nf")).alias("near_next"),
+        "n_within",
     )
 
 
-__all__ = ["block_masks", "edited_fingerprints", "find_within", "fingerprint", "op3_document_fingerprints", "range_of", "signed", "successors", "terms"]
+__all__ = ["block_masks", "edited_fingerprints", "find_within", "fingerprint", "op3_document_fingerprints", "near", "range_of", "ranges_of", "signed", "successors", "terms"]

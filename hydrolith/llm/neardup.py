@@ -25,6 +25,8 @@ from hydrolith.llm.simhash import hex16, vote
 
 BITS = 2
 BLOCKS = 6
+#: Node pairs of a trie that are taken down together (about 33 bytes each, and their children).
+FRONTIER = 1_000_000
 
 
 def shingle_hashes(docs: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
@@ -40,21 +42,35 @@ def shingle_hashes(docs: DataFrame, keys: list[str], text: str, size: int) -> Da
     return w.select(*keys, F.when(n >= size, inner).when(n > 0, whole).alias("terms"))
 
 
-def trie_pairs(values: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(values: np.ndarray, group: np.ndarray, most: int, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of distinct values of one group that differ in ``most`` bits
     at most. ``values`` (uint64) are sorted within ``group``, which is sorted.
 
     A node is a range of the sorted values; a level splits it by its next bit.
+    Node pairs go down level by level; over ``frontier`` of them part, and one
+    part waits, so that a dense group costs time but no more memory.
     """
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     end = np.r_[start[1:], len(values)]
     many = end - start > 1
     a0, a1 = start[many], end[many]
-    b0, b1, err = a0, a1, np.zeros(len(a0), np.int8)
-    for bit in range(63, -1, -1):
+    waiting = [(63, a0, a1, a0, a1, np.zeros(len(a0), np.int8))]
+    upto: list[np.ndarray | None] = [None] * 64
+    while waiting:
+        bit, a0, a1, b0, b1, err = waiting.pop()
         if not len(a0):
-            break
-        ones = np.r_[0, np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
+            continue
+        if len(a0) > frontier:
+            half = len(a0) // 2
+            waiting += [(bit, *(x[part] for x in (a0, a1, b0, b1, err))) for part in (slice(None, half), slice(half, None))]
+            continue
+        if bit < 0:
+            different = a0 != b0
+            yield a0[different], b0[different]
+            continue
+        ones = upto[bit]
+        if ones is None:
+            ones = upto[bit] = np.r_[0, np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)]
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         own = a0 == b0
         parts = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1)]
@@ -62,25 +78,28 @@ def trie_pairs(values: np.ndarray, group: np.ndarray, most: int) -> tuple[np.nda
         parts.append((am[other], a1[other], b0[other], bm[other], err[other] + 1))
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*parts, strict=True))
         live = (a1 > a0) & (b1 > b0) & (err <= most) & ~((a0 == b0) & (a1 - a0 == 1))
-        a0, a1, b0, b1, err = (x[live] for x in (a0, a1, b0, b1, err))
-    different = a0 != b0
-    return a0[different], b0[different]
+        waiting.append((bit - 1, *(x[live] for x in (a0, a1, b0, b1, err))))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs, those that join two parts: links enough for components."""
-    up: dict[int, int] = {}
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of the pairs of indices below n, those that join two parts: links enough
+    for components. Pairs within one part are left out all at once."""
+    up = np.arange(n)
 
     def root(x: int) -> int:
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = x = up.setdefault(p, p)
+        while (p := int(up[x])) != x:
+            up[x] = x = int(up[p])
         return x
 
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (r := root(x)) != (s := root(y)):
-            up[max(r, s)] = min(r, s)
-            out.append((x, y))
+    for a, b in pairs:
+        while ((higher := up[up]) != up).any():
+            up[:] = higher
+        apart = up[a] != up[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            if (r := root(x)) != (s := root(y)):
+                up[max(r, s)] = min(r, s)
+                out.append((x, y))
     return out
 
 
@@ -89,9 +108,9 @@ def _join(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
         p = p.assign(f=p["fp"].to_numpy().view(np.uint64)).sort_values(["t", "key", "f"], kind="stable")
         t, key, f = p["t"].to_numpy(), p["key"].to_numpy(), p["f"].to_numpy()
         group = np.cumsum(np.r_[False, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-        a, b = trie_pairs(f, group, most)
+        joined = np.array(forest(len(f), trie_pairs(f, group, most)), np.int64).reshape(-1, 2)
         signed = f.view(np.int64)
-        return pd.DataFrame(forest(signed[a], signed[b]), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame({"a": signed[joined[:, 0]], "b": signed[joined[:, 1]]})
 
     rest: list[pd.DataFrame] = []
     for p in batches:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from hydrolith.llm import fingerprints, neardup
@@ -111,3 +112,39 @@ def test_one_document_of_each_group(spark):
     n = {(r.k, r.h): r for r in neardup.near_duplicates(docs).collect()}
     assert sorted(r.component for r in n.values()) == sorted([8, 8, 7, 7, 7, 5, 5, 5, neardup.NO_ID, 8])
     assert len({r.root for r in n.values()}) == 6
+
+
+def test_successors_of_hot_ids(spark, monkeypatch):
+    """An id that fills many ranges is parted by its hashes; the order holds."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    monkeypatch.setattr(fingerprints, "MIN_RANGES", 4)
+    r = random.Random(4)
+    pairs = {(r.choice([fingerprints.NO_ID, 7, r.randrange(1000), (1 << 63) - 1]), r.getrandbits(64) - (1 << 63)) for _ in range(600)}
+    ids = spark.createDataFrame(sorted(pairs), "k long, h long").repartition(3)
+    number, many = fingerprints.ranges_of(ids)
+    sizes = ids.groupBy(number.alias("r")).count().collect()
+    assert max(x["count"] for x in sizes) < 60 and many < 400
+    order = sorted(pairs)
+    got = {(x.k, x.h): (x.nk, x.nh) for x in fingerprints.successors(ids).collect()}
+    assert got == {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}
+
+
+def test_search_counts_all_within(spark):
+    got = {x.doc_id: x for x in QUERIES["op3_document_fingerprints"](spark, SF).collect()}
+    f = {k: int(x.fingerprint, 16) for k, x in got.items()}
+    for k, x in got.items():
+        want = sum((f[k] ^ v).bit_count() <= fingerprints.RADIUS for v in f.values()) - 1 if k % 20 == 0 else None
+        assert x.n_within == want
+
+
+def test_trie_in_parts():
+    """A small frontier gives the same pairs."""
+    r = np.random.default_rng(3)
+    center = np.uint64(r.integers(1 << 62))
+    flips = (np.uint64(1) << r.integers(0, 20, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 20, 300).astype(np.uint64))
+    v = np.unique(center ^ flips)
+    group = np.zeros(len(v), np.int64)
+    pairs = lambda n: {(min(x, y), max(x, y)) for a, b in neardup.trie_pairs(v, group, 2, n) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if int(v[i] ^ v[j]).bit_count() <= 2}
+    assert pairs(50) == pairs(10**6) == want
+    assert len(neardup.forest(len(v), neardup.trie_pairs(v, group, 2, 50))) == len(v) - 1
