@@ -18,6 +18,23 @@ def coded_words(texts: pa.Array | list[str | None]) -> tuple[list[str], np.ndarr
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
 
 
+#: White space that parts words for a reader, beside space and line feed.
+OTHER_GAPS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def read_words(texts: pa.Array | list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``coded_words``, but words are parted by any white space, and none is
+    empty."""
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    if pc.any(pc.match_substring_regex(texts, f"[{OTHER_GAPS}]")).as_py():
+        texts = pc.replace_substring_regex(texts, f"[{OTHER_GAPS}]", " ")
+    own, index, ends = coded_words(texts)
+    if "" in own:
+        full = index != own.index("")
+        index, ends = index[full], np.r_[0, np.cumsum(full)][ends]
+    return own, index, ends
+
+
 def give_back() -> None:
     """Arrow keeps freed memory; executors count it."""
     pa.default_memory_pool().release_unused()

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrolith.llm.batches import coded_words, give_back
+from hydrolith.llm.batches import give_back, read_words
 from hydrolith.llm.common import cut, small_batches, table
 
 BUCKETS = 1 << 18
@@ -43,7 +43,7 @@ LEAST, MOST = -3.0, 6.0
 #: Segments that chance gives this often in a clean text are not significant.
 E_VALUE = 0.05
 #: Marks that are taken off both ends of a word.
-MARKS = string.punctuation + "«»„“”‘’…–—¡¿\t\r\x0b\x0c"
+MARKS = string.punctuation + "«»„“”‘’…–—¡¿"
 
 
 def fold(doc_id: Column) -> Column:
@@ -142,7 +142,7 @@ class Scorer:
         self.values = np.zeros(0)
 
     def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
-        own, index, ends = coded_words(texts)
+        own, index, ends = read_words(texts)
         new = [w for w in own if w not in self.place]
         if len(self.place) + len(new) > self.most:
             self.place, self.values, new = {}, np.zeros(0), own
@@ -170,7 +170,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kind = 2 * b.column("half").to_numpy().astype(np.int64) + b.column("toxic").to_numpy()
         docs += np.bincount(kind, minlength=4)
-        own, index, ends = coded_words(b.column("text"))
+        own, index, ends = read_words(b.column("text"))
         of = np.repeat(np.arange(len(kind)), np.diff(ends))
         pair = np.unique(of * len(own) + index)  # a word once in a document
         doc, at = pair // max(len(own), 1), cells(own)[pair % max(len(own), 1)]
@@ -277,9 +277,11 @@ RESULT = "doc_id long, score double, evidence double, n_segments int, segments s
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, evidence, n_segments and segments (begin:end of
-    each, in words between spaces or line feeds significant one). A row for each row; null and empty texts get the
-    score of no evidence; equal texts get equal scores."""
+    """doc_id, score, evidence, n_segments and segments.
+
+    ``segments`` has begin:end of each significant segment, counted in the words
+    of the text that white space parts. A row for each row; null and empty texts
+    get the score of no evidence; equal texts get equal scores."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
