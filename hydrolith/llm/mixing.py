@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric tree.
 
-A source's documents fall into blocks by hash, 4096 at most, so that blocks and
-not documents are counted. A source's target gives whole passes over its blocks
+A source's documents fall into blocks by hash, about as many at most as the root
+of all documents, so that blocks and not documents are counted. A source's target gives whole passes over its blocks
 and a part of one more pass in a permuted order. A tree over the output shards
 then splits the exact quotas: at each node the left half draws its blocks
 without replacement from the node's blocks of all sources. The leaves' counts
@@ -14,9 +14,8 @@ error) and never a document.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +29,7 @@ SHARD_WORDS = 2_000_000
 SHARDS = (64, 16_384)
 #: Cells of the driver's table of shards and sources at most.
 TREE_CELLS = 20_000_000
+#: Blocks of a source: so many, or the root of all documents, at most.
 BLOCKS = 4096
 #: Documents that a block has at least, while a source has more than one block.
 BLOCK_DOCS = 32
@@ -95,6 +95,15 @@ def shards_for(words: int, sources: int) -> int:
     return n
 
 
+def blocks_for(docs: int) -> int:
+    """A power of two: with n documents neither the blocks of a source nor the
+    documents of a block are many more than the root of n."""
+    n = BLOCKS
+    while n * n < docs:
+        n *= 2
+    return n
+
+
 def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool, int]:
     """From a stored frame (_s, _o, size): the draws, the sources, whether the
     draws are few enough to broadcast, and how many shards there are.
@@ -103,7 +112,8 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | Non
     the block's documents those with _o <= upto are drawn.
     """
     spark = sized.sparkSession
-    fine = F.pmod("_o", F.lit(BLOCKS))
+    most = blocks_for(sized.count())
+    fine = F.pmod("_o", F.lit(most))
     counted = cut(sized.groupBy("_s", fine.alias("_f")).agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     found = counted.groupBy("_s").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -116,7 +126,7 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | Non
         z, t = r["size"], target[name(r["_s"])]
         passes = min(int(cap), int(t // z)) if z else 0
         blocks = 1
-        while blocks < BLOCKS and blocks * 2 * BLOCK_DOCS <= r["n"]:
+        while blocks < most and blocks * 2 * BLOCK_DOCS <= r["n"]:
             blocks *= 2
         rows.append((r["_s"], z, t, blocks, passes, max(0.0, t - passes * z)))
     sources = spark.createDataFrame(rows, "_s string, source_size long, target double, blocks int, passes int, rest double")
@@ -133,7 +143,10 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | Non
     shards = shards or shards_for(sum(size.values()), len(found))
     quota = {r["_s"]: r["n"] for r in taken.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     tree = split_tree([quota.get(r[0], 0) for r in rows], shards, seed)
-    ends = spark.createDataFrame([(r[0], list(accumulate(int(x) for x in tree[:, i]))) for i, r in enumerate(rows)], "_s string, ends array<long>")
+    # One Arrow table of shards times sources longs, no Python numbers.
+    flat = pa.array(np.ascontiguousarray(np.cumsum(tree, axis=0).T).reshape(-1))
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * shards)
+    ends = spark.createDataFrame(pa.table({"_s": pa.array([r[0] for r in rows], pa.string()), "ends": pa.ListArray.from_arrays(offsets, flat)}))
 
     last = taken.filter("epoch = passes AND before + size > rest").select("_s", "blocks", "block", (F.col("rest") - F.col("before")).alias("need"))
     within = Window.partitionBy("_s").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
@@ -151,7 +164,7 @@ def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | Non
 def drawn(rows: DataFrame, of_block: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """Adds to rows with _s and _o their source's figures and ``draws``."""
     r = rows.join(F.broadcast(sources.select("_s", "source_size", "target", "blocks")), "_s")
-    r = r.withColumn("block", F.pmod(F.pmod("_o", F.lit(BLOCKS)), "blocks"))
+    r = r.withColumn("block", F.pmod("_o", "blocks"))
     r = r.join(F.broadcast(of_block) if few else of_block, ["_s", "block"], "left")
     mine = F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,upto:bigint>>")), lambda d: F.col("_o") <= d["upto"])
     return r.withColumn("draws", mine)
