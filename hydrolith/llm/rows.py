@@ -119,7 +119,7 @@ def _rows(batches: Iterator[pa.RecordBatch], row: int, vocabulary: str) -> Itera
             for piece, at in enumerate(range(0, len(ids), row)):
                 held.append((doc, piece, at, ids[at : at + row]))
             total += len(ids)
-        if total >= BLOCK_IDS:
+        if total >= BLOCK_IDS or len(held) >= BLOCK_IDS // 8:
             yield from flush(False)
     if held:
         yield from flush(True)
@@ -133,7 +133,9 @@ def token_rows(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY) ->
     ``segment_ends`` are the cumulative lengths from 0; ``doc_ids``, ``pieces``
     and ``starts`` name the segments. Only documents longer than a row are cut,
     and their pieces hold all their ids. Null and empty texts are one end id.
-    Repeated rows are packed each on its own; null ids stay null.
+    Repeated rows are packed each on its own; null ids stay null. A task packs
+    its own documents, so which share a row depends on the input's partitions;
+    the ids of a document do not.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _rows(it, row, vocabulary), SCHEMA)
