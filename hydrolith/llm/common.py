@@ -38,11 +38,22 @@ def row_hash(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see, as its settings name it;
-    a local one only if none is named, as in tests."""
+    """The folder that all machines of the cluster see, as its settings name it.
+    Where none is named: a local one if driver and executors are one process,
+    else an error, as a folder of one machine would lose data."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return named or (current.get() if current.isDefined() else tempfile.mkdtemp(prefix="hydrolith-"))
+    if named or current.isDefined():
+        return named or current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="hydrolith-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours in the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -58,5 +69,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: keep Arrow batches to this many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Texts can be long: keep Arrow batches to this many rows at most. The setting
+    is read when a plan runs, so it stays; a smaller one of the caller's holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
