@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolith.llm.common import shared_dir, table
+from hydrolith.llm.common import remove, shared_dir, table
 from hydrolith.llm.mixing import mix
 from hydrolith.llm.neardup import deduplicated
 from hydrolith.llm.packing import pack
@@ -63,11 +63,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; stages lie in the shared folder."""
+    """Applies the stages to ``documents``. Each lies in the shared folder until
+    the next one has been written; the last is left for the caller to read."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
