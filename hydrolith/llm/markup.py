@@ -14,7 +14,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-NAMED = re.compile(r"\b(?:class|id|role|itemprop|hidden|style)\b", re.IGNORECASE)
+TELLING = re.compile(r"\b(?:class|id|role|itemprop|hidden|style)\b", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: ASCII white space that is no space; a no-break space is text.
 GAPS = re.compile(r"[\t-\r]")
@@ -41,30 +41,46 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login comment comments commentlist disqus respond replies discussion share sharing social related recommended "
     "recommendations popular trending sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar topbar copyright "
-    "adbox adslot adsbygoogle cookiebar cookiebanner cookieconsent disqus mainmenu navmenu sidenav subnav".split()
+    "adbox adslot adsbygoogle cookiebar cookiebanner cookieconsent mainmenu navmenu sidenav subnav".split()
+)
+#: Words that say where or how such a part stands, not what it is.
+FRAME_WORDS = frozenset(
+    "box bar block list section area wrap wrapper container slot unit inner outer item items left right top bottom main site page global primary secondary header "
+    "head body text content links link button buttons icon icons form panel module row column col sticky fixed inline small large posts post entry article articles story "
+    "stories news more mobile desktop thread group holder zone region".split()
 )
 MAIN_WORDS = frozenset("content article post entry story main body text".split())
+#: Elements that hold others; what they call themselves counts anywhere.
+HOLDERS = frozenset("div section ul ol dl table tbody tr td figure center fieldset details address".split())
+#: Elements of an article's own text.
+FLOW = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption header hgroup #".split())
 
 ARTICLE, MAIN, CUE = 4, 2, 1
 DEEPEST = 512
 
+#: What an element says of its importance, and how much that counts beside the tree's.
+Prior = tuple[float, float]
+NEUTRAL: Prior = (1.0, 0.0)
+NOISE: Prior = (0.0, 0.8)
+NAMED: Prior = (0.0, 0.7)
+OWN: Prior = (1.0, 0.5)
+
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "within", "block", "cut", "children")
+    """A block element of a page, or an inline one while it is open."""
 
-    def __init__(self, tag: str, path: str, noise: bool, within: int, block: bool, cut: bool):
-        self.tag, self.path, self.noise, self.within, self.block = tag, path, noise, within, block
+    __slots__ = ("tag", "key", "parent", "prior", "within", "block", "cut", "items")
+
+    def __init__(self, tag: str, key: str, parent: Element | None, prior: Prior, within: int, block: bool, cut: bool):
+        self.tag, self.key, self.parent, self.prior, self.within, self.block = tag, key, parent, prior, within, block
         self.cut = cut  # noise inside a line of text
-        self.children: list[str] = []
+        self.items: list[Element | Block] = []
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Block:
     text: str
-    path: str
-    style: str
-    noise: bool
-    within: int
+    parent: Element
     linked: float
 
 
@@ -77,32 +93,50 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)}
 
 
+def named_noise(attrs: dict[str, str], within: int) -> bool:
+    """Whether a class or the id says noise and nothing else: each of its words
+    is a noise or a frame word, and one is a noise word."""
+    for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
+        words = {w.lower() for w in TOKEN.findall(name) if len(w) > 1}
+        if words <= NOISE_WORDS | FRAME_WORDS and (words & NOISE_WORDS or words == {"header"} and not within):
+            return True
+    return False
+
+
 @lru_cache(20_000)
-def _kind(tag: str, named: str, path: str, noise: bool, within: int, cut: bool) -> tuple[str, str, bool, int, bool, bool]:
-    """What an element is, by its tag, its attributes and what it stands in."""
+def _kind(tag: str, named: str, within: int, cut: bool) -> tuple[str, Prior, int, bool]:
+    """What an element is, by its tag, its attributes and what it stands in:
+    its key, its prior, the containers it is in, whether its line is cut."""
     attrs = _attributes(named)
     words = {w.lower() for w in TOKEN.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else set()
     role = attrs.get("role", "").lower()
+    noisy = bool(attrs) and named_noise(attrs, within)
+    outer = within
     if tag == "article" or "articlebody" in attrs.get("itemprop", "").lower():
         within |= ARTICLE
     if tag == "main" or role == "main":
         within |= MAIN
-    if tag in ("div", "section", "td") and words & MAIN_WORDS and not words & NOISE_WORDS:
+    if tag in ("div", "section", "td") and words & MAIN_WORDS and not noisy:
         within |= CUE
-    cued = bool(words & NOISE_WORDS or words & {"header"} and not within) and tag not in ("html", "body", "main")
-    own = tag in NOISE_TAGS or role in NOISE_ROLES or cued or tag == "header" and not within & (ARTICLE | MAIN)
     hidden = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    # A page whose body is one form, or wrapped in a header, still has its article.
-    opened = tag in ("article", "main") and noise and path.rsplit(">", 1)[-1].split(".")[0] in ("form", "header")
+    said = tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and not within & (ARTICLE | MAIN)
     key = tag + "".join(f".{w}" for w in sorted(words)) if words else tag
-    block = tag in BLOCK
-    return tag, f"{path}>{key}" if block else path, own or hidden or noise and not opened, within, block, not block and (own or hidden or cut)
-
-
-def blocks(page: str) -> list[Block]:
-    """All blocks with text, in page order; scripts, styles and comments give
-    none. Tags that are not closed end where a browser would end them."""
-    root = Element("", "", False, 0, True, False)
+    if tag not in BLOCK:
+        return key, NEUTRAL, within, said or hidden or cut
+    if said or hidden or noisy and tag in HOLDERS:
+        prior = NOISE
+    elif noisy and not outer and tag not in ("html", "body", "main", "article"):
+        prior = NAMED
+    else:
+        prior = OWN if within and tag in FLOW else NEUTRAL
+    return key, prior, within, False
+
+
+def blocks(page: str) -> tuple[Element, list[Block]]:
+    """The page's root and all blocks with text, in page order; scripts, styles
+    and comments give none. Tags that are not closed end where a browser would
+    end them."""
+    root = Element("", "", None, NEUTRAL, 0, True, False)
     stack = [root]
     out: list[Block] = []
     pieces: list[str] = []
@@ -121,7 +155,8 @@ def blocks(page: str) -> list[Block]:
             text = text.strip(" ")
             if text:
                 at = next(e for e in reversed(stack) if e.block)
-                out.append(Block(text, at.path, ",".join(dict.fromkeys(at.children)), at.noise, at.within, linked / chars if chars else 0.0))
+                out.append(Block(text, at, linked / chars if chars else 0.0))
+                at.items.append(out[-1])
         pieces, chars, linked = [], 0, 0
 
     def close(i: int) -> None:
@@ -188,9 +223,17 @@ def blocks(page: str) -> list[Block]:
         if len(stack) > DEEPEST:  # as browsers do: deeper elements stand beside each other
             close(len(stack) - 1)
         top = stack[-1]
-        top.children.append(tag)
-        named = attrs_raw if attrs_raw and NAMED.search(attrs_raw) else ""
-        stack.append(Element(*_kind(tag, named, top.path, top.noise, top.within, top.cut)))
+        key, prior, within, cut = _kind(tag, attrs_raw if attrs_raw and TELLING.search(attrs_raw) else "", top.within, top.cut)
+        over = top if top.block else top.parent
+        new = Element(tag, key, over, prior, within, tag in BLOCK, cut)
+        stack.append(new)
+        if new.block:
+            over.items.append(new)
+            if tag in ("article", "main"):  # a body that is one form, or wrapped in a header, still has its article
+                while over is not None:
+                    if over.tag in ("form", "header"):
+                        over.prior = NEUTRAL
+                    over = over.parent
         links += tag == "a"
     flush()
-    return out
+    return root, out

@@ -1,17 +1,23 @@
 """Toxicity on held-out labels (some labels of junk texts are noise), page
 extraction, role repair."""
 
+import html
 import itertools
+import math
 import random
+import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hydrolith.llm import chat, extract, toxicity
-from hydrolith.llm.markup import blocks
+from hydrolith.llm.markup import Block, blocks, node_id
 from hydrolith.llm.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
+
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]), max_size=24))
@@ -54,31 +60,36 @@ PAGE = """<!doctype html><html><head><title>T</title><script>if (a < b) document
 <div class="cookie-notice">We use cookies</div><header><a href=/>Site</a></header><nav><ul><li>Home<li>About</ul></nav>
 <main><article><h1>A &amp; B</h1><p>First <b>bold</b>
  line<p>Second&nbsp;one &lt;x&gt;<div class="ad-box">Buy</div><blockquote>Quote</blockquote><table><tr><td>c1<td>c2</table>
-<section id="comments"><p>Nice!</p></section></article><aside>More</aside></main><form><label>Mail</label><input></form><footer>(c)</footer></body></html>"""
+<p class='share-price'>Up<p id='alert-level'>High<div class='notice-of-award'>Won</div>one<span class='tag social'>two</span> three<section id="comments"><p>Nice!</p></section></article><aside>More</aside></main><form><label>Mail</label><input></form><footer>(c)</footer></body></html>"""
+
+
+def texts(page):
+    """With no tree."""
+    return extract.main_blocks(page, {})[0]
 
 
 def test_article_of_a_page():
-    assert extract.main_blocks(blocks(PAGE), set()) == ["A & B", "First bold line", "Second one <x>", "Quote", "c1", "c2"]
+    assert texts(PAGE) == ["A & B", "First bold line", "Second one <x>", "Quote", "c1", "c2", "Up", "High", "Won", "onetwo three"]
 
 
 def test_broken_markup():
-    assert extract.main_blocks(blocks("<p>a<p>b<ul><li>c<li>d"), set()) == ["a", "b", "c", "d"]
-    assert extract.main_blocks(blocks("<article><p>x <!-- open"), set()) == ["x"]
-    assert extract.main_blocks(blocks("a < b & c > d"), set()) == ["a < b & c > d"]
-    assert extract.main_blocks(blocks("<form><article><p>in a form</article></form>"), set()) == ["in a form"]
-    assert len(extract.main_blocks(blocks("<div>" * 5000 + "deep"), set())) == 1
+    assert texts("<p>a<p>b<ul><li>c<li>d") == ["a", "b", "c", "d"]
+    assert texts("<article><p>x <!-- open") == ["x"]
+    assert texts("a < b & c > d") == ["a < b & c > d"]
+    assert texts("<form><article><p>in a form</article></form>") == ["in a form"]
+    assert len(texts("<div>" * 5000 + "deep")) == 1
 
 
 def test_small_containers_do_not_stand_for_the_page():
     """A byline or a teaser in a container that names itself the article."""
     body = "The body of the page, which is much longer than what stands beside it."
     meta = f"<div class=entry-meta>By X</div><div class=wrap><p>{body}</p></div>"
-    assert extract.main_blocks(blocks(meta), set()) == ["By X", body]
+    assert texts(meta) == ["By X", body]
     teaser = f"<div class=page><p>{body}</p></div><article><h2>Next story</h2></article>"
-    assert extract.main_blocks(blocks(teaser), set()) == [body, "Next story"]
+    assert texts(teaser) == [body, "Next story"]
     nested = f"<main><article><p>Teaser</p></article><p>{body}</p></main><div>Made by us</div>"
-    assert extract.main_blocks(blocks(nested), set()) == ["Teaser", body]
-    assert extract.main_blocks(blocks(f"<article><p>{body}</p></article><div>Made by us</div>"), set()) == [body]
+    assert texts(nested) == ["Teaser", body]
+    assert texts(f"<article><p>{body}</p></article><div>Made by us</div>") == [body]
 
 
 def test_tree_removes_what_a_host_repeats(spark):
@@ -93,10 +104,95 @@ def test_tree_removes_what_a_host_repeats(spark):
     assert got[100].count("\n") == 2
 
 
-def test_tree_importance_by_hand(spark):
-    rows = [(f"<div>same</div><p>own {i}</p>", "h") for i in range(8)]
-    t = {(round(r.presentation, 6), round(r.content, 6)): r.pages for r in extract.site_tree(spark.createDataFrame(rows, "html string, host string")).collect()}
-    assert t == {(0.0, 0.0): 8, (0.0, 1.0): 8}
+def merged(pages):
+    """The style tree of a host's pages, merged and scored recursively: a dict of
+    node to (pages, composite, top)."""
+    out = {}
+
+    def score(node, held):
+        """``held`` has, for each page, the elements or texts that are this node."""
+        m = len(held)
+        if all(isinstance(x, Block) for own in held for x in own):
+            on: dict[str, int] = {}
+            for own in held:
+                for t in {x.text for x in own}:
+                    on[t] = on.get(t, 0) + 1
+            value = 1 - sum(math.log(k, m) for k in on.values()) / len(on) if m >= extract.PAGES else 1.0
+            if m >= extract.PAGES:
+                out[node] = (m, value, value)
+            return value, value
+        styles: dict[tuple, list] = {}
+        for own in held:
+            by: dict[tuple, list] = {}
+            for x in own:
+                runs = tuple(k for k, _ in itertools.groupby("#" if isinstance(i, Block) else i.key for i in x.items))
+                by.setdefault(runs, []).append(x)
+            for runs, xs in by.items():
+                styles.setdefault(runs, []).append(xs)
+        if m < extract.PAGES:
+            return 1.0, 1.0
+        total = sum(map(len, styles.values()))
+        entropy = -sum(len(p) / total * math.log(len(p) / total, m) for p in styles.values())
+        below, top = 0.0, 0.0
+        for runs, on_pages in styles.items():
+            name = node_id(f"{node} {' '.join(runs)}")
+            values = []
+            for at in range(1, len(runs) + 1):
+                child = []
+                for xs in on_pages:
+                    found = []
+                    for x in xs:
+                        groups = [list(g) for _, g in itertools.groupby(x.items, key=lambda i: "#" if isinstance(i, Block) else i.key)]
+                        found += groups[at - 1]
+                    child.append(found)
+                c, t = score(node_id(f"{name} {at}"), child)
+                values.append(c if len(on_pages) >= extract.PAGES else 1.0)
+                top = max(top, t if len(on_pages) >= extract.PAGES else 1.0)
+            if not runs or len(on_pages) < extract.PAGES:
+                values, top = ([1.0] if runs or len(on_pages) < extract.PAGES else [0.0]), max(top, 1.0 if len(on_pages) < extract.PAGES else 0.0)
+            below += len(on_pages) / total * sum(values) / len(values)
+        part = extract.GAMMA ** len(styles)
+        out[node] = (m, (1 - part) * entropy + part * below, top)
+        return out[node][1:]
+
+    score(node_id(""), [[blocks(p)[0]] for p in pages])
+    return out
+
+
+def test_tree_equals_recursive_merge(spark):
+    """Composites of a whole host of the table, and of odd pages."""
+    own = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("url LIKE '%blog.tionsh.example.com%'").collect()]
+    odd = [f"<div>same</div><p>own {i}</p>{'<ul><li>a<li>b</ul>' if i % 3 else ''}{'<p>x' * (i % 2)}<div class=c7><p>Subscribe</p></div>" for i in range(9)]
+    rows = [(h, "a") for h in own] + [(h, "b") for h in odd]
+    got = extract.site_tree(spark.createDataFrame(rows, "html string, host string").repartition(3)).collect()
+    for host, pages in (("a", own), ("b", odd)):
+        want = merged(pages)
+        assert len(pages) > 8 and {r.node for r in got if r.host == host} == set(want)
+        for r in got:
+            if r.host == host:
+                assert (r.pages, r.composite, r.top) == pytest.approx(want[r.node], abs=1e-9)
+
+
+def test_boilerplate_without_a_name_goes(spark):
+    """A part inside the article that says nothing of itself, by the tree alone;
+    both ways of meeting the nodes agree."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Text {i} of its own.</p><div class=c7><p>Subscribe to our letter</p></div></article></body>"
+    rows = [(i, f"https://h{i % 2}.example/{i}", page(i)) for i in range(20)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for few in (extract.BROADCAST_NODES, 0):
+        got = {r.page_id: r for r in extract.extract(p, few).collect()}
+        assert all(r.text == f"Title {i}\nText {i} of its own." and r.n_tree == 1 for i, r in got.items())
+    assert texts(page(1)).count("Subscribe to our letter") == 1
+
+
+def test_articles_of_the_table(spark):
+    """Every page of the table has one article: its blocks come out, all of them."""
+    tag = re.compile(r"<[^>]*>")
+    for r in QUERIES["op4_html_extraction"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        parts = re.split(r"</?(?:p|h1)>", inner)
+        lines = [" ".join(x for x in re.split(r"[ \t\r\n\f\v]+", html.unescape(tag.sub(" " if "<br>" in part else "", part))) if x) for part in parts]
+        assert r.text.replace(" ", "") == "\n".join(x for x in lines if x).replace(" ", "")
 
 
 def cheapest(roles, costs):
