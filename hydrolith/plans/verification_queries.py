@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from hydrolith.functions import basic as bs
 from hydrolith.operators import kernels, verification as ver
 from hydrolith.plans.registry import load, query
+from hydrolith.plans.sequence_queries import GATES_SQL
+from hydrolith.plans.views import SCANS_SQL
 
 #: A case with observation and forecast at a cell of a small grid.
 _PAIR = """c, y, x, CASE WHEN (p + s) % 13 = 0 THEN NULL ELSE CAST(p % 30 AS DOUBLE) END AS observed, CASE WHEN (p * 3 + s) % 17 = 0 THEN NULL ELSE CAST((p + s % 9) % 30 AS DOUBLE) END AS forecast"""
@@ -221,7 +223,13 @@ def radial_spectrum(spark, sf_dir):
     return ver.radial_spectrum(pairs(spark, sf_dir).select("c", "y", "x", F.col("observed").alias("value")), ["c"])
 
 
-@query("polar_labels")
+@query(
+    "polar_labels",
+    """WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey % 8 AS sweep, l_orderkey % 90 AS ray, l_partkey % 60 AS gate FROM lineitem), k AS (SELECT sweep, ray, gate, ray * 60 + gate AS id FROM g),
+    n AS (SELECT sweep, id AS a, unnest([(ray + 1) % 90 * 60 + gate, (ray + 89) % 90 * 60 + gate, CASE WHEN gate < 59 THEN id + 1 END, CASE WHEN gate > 0 THEN id - 1 END]) AS b FROM k), e AS (SELECT n.sweep, a, b FROM n JOIN k ON k.sweep = n.sweep AND k.id = n.b),
+    l(sweep, id, least) USING KEY (sweep, id) AS (SELECT sweep, id, id FROM k UNION SELECT e.sweep, e.b, min(l.least) FROM l JOIN e ON e.sweep = l.sweep AND e.a = l.id JOIN recurring.l AS n ON n.sweep = e.sweep AND n.id = e.b WHERE l.least < n.least GROUP BY 1, 2)
+    SELECT sweep, k.ray, k.gate, dense_rank() OVER (PARTITION BY sweep ORDER BY least) AS label, count(*) OVER (PARTITION BY sweep, least) AS size FROM l JOIN k USING (sweep, id)""",
+)
 def polar_labels(spark, sf_dir):
     """Connected echoes of each sweep, around the circle."""
     g = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("sweep"), (F.col("l_orderkey") % 90).alias("ray"), (F.col("l_partkey") % 60).alias("gate")).distinct()
@@ -254,14 +262,29 @@ def persistence_baseline(spark, sf_dir):
     return pairs(spark, sf_dir).select("c", "y", "x", F.explode(F.array(*[F.lit(i) for i in (6, 12, 18)])).alias("lead_min"), F.col("observed").alias("rate"))
 
 
-@query("viterbi_states")
+@query(
+    "viterbi_states",
+    f"""WITH RECURSIVE g AS (SELECT ray, gate, row_number() OVER (PARTITION BY ray ORDER BY gate) AS i, greatest(0.001::DOUBLE, least(0.999::DOUBLE, coalesce(partial, 0.5::DOUBLE))) AS p FROM ({GATES_SQL})),
+    v AS (SELECT ray, 0::BIGINT AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, []::INTEGER[] AS pa, []::INTEGER[] AS pb FROM g GROUP BY 1
+     UNION ALL SELECT v.ray, g.i, greatest(a + ln(0.9::DOUBLE), b + ln(1 - 0.9::DOUBLE)) + ln(1 - p), greatest(b + ln(0.9::DOUBLE), a + ln(1 - 0.9::DOUBLE)) + ln(p), list_append(CASE WHEN a + ln(0.9::DOUBLE) >= b + ln(1 - 0.9::DOUBLE) THEN pa ELSE pb END, 0), list_append(CASE WHEN b + ln(0.9::DOUBLE) >= a + ln(1 - 0.9::DOUBLE) THEN pb ELSE pa END, 1)
+     FROM v JOIN g ON g.ray = v.ray AND g.i = v.i + 1), w AS (SELECT ray, arg_max(CASE WHEN b > a THEN pb ELSE pa END, i) AS path FROM v GROUP BY 1)
+    SELECT ray, gate, path[i] AS state FROM g JOIN w USING (ray)""",
+)
 def viterbi_states(spark, sf_dir):
     from hydrolith.plans.sequence_queries import gates
 
     return kernels.ray_states(gates(spark, sf_dir), ["ray"], "gate", "partial")
 
 
-@query("greedy_holdout")
+@query(
+    "greedy_holdout",
+    f"""WITH RECURSIVE s AS (SELECT t // 864000 AS month, radar, t, value, scan_id FROM ({SCANS_SQL})),
+    p AS (SELECT DISTINCT month, 0 AS i, []::STRUCT(radar BIGINT, t BIGINT, value DOUBLE, scan_id BIGINT)[] AS picks FROM s
+     UNION ALL SELECT p.month, p.i + 1, list_append(any_value(p.picks), arg_max(struct_pack(radar := s.radar, t := s.t, value := s.value, scan_id := s.scan_id), struct_pack(v := s.value, k := -s.scan_id))) FROM p JOIN s ON s.month = p.month
+     WHERE p.i < 5 AND len(list_filter(p.picks, lambda x: x.radar = s.radar OR abs(x.t - s.t) < 86400)) = 0 GROUP BY p.month, p.i),
+    f AS (SELECT month, arg_max(picks, i) AS picks FROM p GROUP BY 1), u AS (SELECT month, unnest(picks) AS x, unnest(range(1, len(picks) + 1)) AS k FROM f)
+    SELECT month, x.radar AS radar, x.t AS t, x.value AS value, x.scan_id AS scan_id, CAST(k AS INTEGER) AS rank FROM u""",
+)
 def greedy_holdout(spark, sf_dir):
     from hydrolith.plans.views import scans
 

@@ -39,12 +39,12 @@ def cycles(scans: DataFrame, time: str, key: str, step_s: int = 360, most_s: int
     """Scans of each cycle, closed when the watermark has passed it.
 
     A cycle takes the times that round to it: a window that begins half a step
-    before it."""
+    before it. Its sources are counted exactly; a network has few."""
     half = step_s // 2
     s = scans.withWatermark(time, late)
     w = F.window(time, f"{step_s} seconds", startTime=f"{half} seconds")
     offset = F.unix_timestamp(time) - F.unix_timestamp(w["start"]) - half
-    return s.withColumn("_d", F.abs(offset)).filter(F.col("_d") <= most_s).groupBy(w.alias("w")).agg(F.count("*").alias("scans"), F.approx_count_distinct(key).alias("sources")).select(
+    return s.withColumn("_d", F.abs(offset)).filter(F.col("_d") <= most_s).groupBy(w.alias("w")).agg(F.count("*").alias("scans"), F.size(F.collect_set(key)).cast("long").alias("sources")).select(
         F.timestamp_seconds(F.unix_timestamp("w.start") + half).alias("cycle"), "scans", "sources"
     )
 
@@ -53,14 +53,16 @@ STATE = "sources array<string>, fired boolean"
 FIRED = "cycle timestamp, sources int, reason string"
 
 
-def waterline_stream(arrivals: DataFrame, p: Waterline = Waterline()) -> DataFrame:
+def waterline_stream(arrivals: DataFrame, p: Waterline = Waterline(), keep_s: float = 86_400.0) -> DataFrame:
     """Fires each cycle once: when all sources are there and the earliest delay
     is over, or when the longest wait is. ``arrivals`` has cycle and arrived
     (timestamps) and source.
 
-    The state of a cycle is the set of its sources (as many as the network
-    has); its timer is processing time, and it goes once it has fired and the
-    longest wait is over.
+    The state of a cycle is the set of its sources (as many as the network has)
+    until it fires, and then a mark that it has; it goes when the cycle is
+    ``keep_s`` old. What arrives for a cycle that is older is left out, so a cycle
+    cannot fire again however late its sources are, and one that waits for all of
+    them does not stay for ever. The timer is processing time.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,27 +73,37 @@ def waterline_stream(arrivals: DataFrame, p: Waterline = Waterline()) -> DataFra
             for f in frames:
                 sources |= set(f["source"].dropna())
         age = now - cycle.timestamp()
+        if age >= keep_s:
+            if state.exists:
+                state.remove()
+            return
         complete = len(sources) >= p.expected
         reason = "all_radars_arrived" if complete and age >= p.earliest_s else "maximum_wait_elapsed" if not p.require_all and sources and age >= p.most_s else None
         if reason and not fired:
             fired = True
             yield pd.DataFrame({"cycle": [cycle], "sources": [len(sources)], "reason": [reason]})
-        if fired and age >= p.most_s:
-            state.remove()
-            return
-        state.update((sorted(sources), fired))
-        wait = (p.earliest_s if complete and not fired else p.most_s) - age
-        state.setTimeoutDuration(max(1000, int(wait * 1000)))
+        state.update(([] if fired else sorted(sources), fired))
+        # The next moment at which something can happen.
+        later = [t for t in (p.earliest_s if complete else None, None if p.require_all else p.most_s) if t is not None and t > age and not fired]
+        state.setTimeoutDuration(max(1000, int((min([*later, keep_s]) - age) * 1000)))
 
     return arrivals.groupBy("cycle").applyInPandasWithState(run, FIRED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def merge_once(batch: DataFrame, path: str, key: str) -> None:
+def merge_once(batch: DataFrame, path: str, key: str, part: str | None = None) -> None:
     """For ``foreachBatch``: appends the rows whose id the table does not have
-    yet, so a batch that is delivered again changes nothing."""
+    yet, so a batch that is delivered again changes nothing.
+
+    With ``part`` (such as the day of the event, which an id always has the same)
+    the table is partitioned by it and only the batch's parts are read again: as
+    many values as the batch spans."""
     spark = batch.sparkSession
     new = batch.dropDuplicates([key])
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+        known = spark.read.parquet(path)
+        if part:
+            known = known.filter(F.col(part).isin([r[0] for r in new.select(part).distinct().collect()]))
+        new = new.join(known.select(key), key, "left_anti")
+    w = new.write.mode("append")
+    (w.partitionBy(part) if part else w).parquet(path)

@@ -106,8 +106,8 @@ def test_streams(spark, tmp_path):
 
 
 def test_waterline_stream(spark, tmp_path):
-    old, new = dt.datetime(2026, 1, 1), dt.datetime.now() + dt.timedelta(hours=1)
-    rows = [(old, r) for r in "abcd"] + [(old + dt.timedelta(hours=1), "a"), (new, "a")]
+    old, new = dt.datetime.now() - dt.timedelta(hours=3), dt.datetime.now() + dt.timedelta(hours=1)
+    rows = [(old, r) for r in "abcd"] + [(old + dt.timedelta(hours=1), "a"), (new, "a"), (old - dt.timedelta(days=2), "a")]
     spark.createDataFrame(rows, "cycle timestamp, source string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("cycle timestamp, source string").parquet(str(tmp_path / "in"))
     got = sorted((r.sources, r.reason) for r in run(cycles.waterline_stream(stream, Waterline()), "fired").collect())
@@ -120,3 +120,87 @@ def test_merge_once(spark, tmp_path):
     cycles.merge_once(a, path, "event_id")
     cycles.merge_once(a, path, "event_id")
     assert spark.read.parquet(path).count() == 2
+
+
+class FakeState:
+    """What a group's state offers, for one cycle and a clock of the test's."""
+
+    def __init__(self):
+        self.value, self.now, self.hasTimedOut, self.wait = None, 0.0, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):
+        return int(self.now * 1000)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms / 1000
+
+
+def fires(spark, monkeypatch, steps, p):
+    """Drives the stream's own function: steps are (seconds after the cycle,
+    sources or None for the timer)."""
+    import pandas as pd
+    held = {}
+    kind = type(spark.range(1).groupBy("id"))
+    monkeypatch.setattr(kind, "applyInPandasWithState", lambda self, f, *a: held.update(f=f))
+    cycles.waterline_stream(spark.createDataFrame([], "cycle timestamp, source string"), p)
+    cycle, state, out = pd.Timestamp("2026-01-01", tz="UTC"), FakeState(), []
+    for at, sources in steps:
+        state.now, state.hasTimedOut = cycle.timestamp() + at, sources is None
+        frames = iter([] if sources is None else [pd.DataFrame({"cycle": [cycle] * len(sources), "source": list(sources)})])
+        out += [(at, *f[["sources", "reason"]].iloc[0]) for f in held["f"]((cycle,), frames, state)]
+    return out, state
+
+
+def test_waterline_fires_once(spark, monkeypatch):
+    p = Waterline()
+    got, state = fires(spark, monkeypatch, [(40, "abcd"), (241, None), (300, "e"), (90_000, "f")], p)
+    assert got == [(40, 4, "all_radars_arrived")] and state.value is None
+    got, state = fires(spark, monkeypatch, [(60, "ab"), (180, None), (240, None), (250, "cd")], p)
+    assert got == [(240, 2, "maximum_wait_elapsed")] and state.value == ([], True)
+    import dataclasses
+
+    every = dataclasses.replace(p, require_all=True)
+    got, state = fires(spark, monkeypatch, [(60, "abc"), (1200, None)], every)
+    assert got == [] and state.wait > 80_000
+    assert fires(spark, monkeypatch, [(60, "abc"), (1200, "d")], every)[0] == [(1200, 4, "all_radars_arrived")]
+
+
+def test_merge_once_by_day(spark, tmp_path):
+    path = str(tmp_path / "inbox")
+    rows = spark.createDataFrame([("x", 1, "d1"), ("y", 2, "d2"), ("x", 1, "d1")], "event_id string, v int, day string")
+    cycles.merge_once(rows, path, "event_id", "day")
+    cycles.merge_once(rows.union(spark.createDataFrame([("z", 3, "d2")], rows.schema)), path, "event_id", "day")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_contracts(spark, tmp_path):
+    import pytest
+
+    from hydrolith.sources import contracts
+
+    c = contracts.CONTRACTS["analysis_cell"]
+    good = spark.createDataFrame([(1, 0, 0, 2.5, True), (1, 0, 1, None, False)], "analysis long, y long, x long, value double, valid boolean")
+    path = str(tmp_path / "cells")
+    contracts.store(good, path, c)
+    # Stored apart: a cached frame would answer for the folder as it is later.
+    digests = spark.createDataFrame(contracts.file_digests(spark, path).collect())
+    assert digests.count() > 0
+    got = contracts.read_verified(spark, path, digests, ["x", "value"], "value IS NOT NULL").collect()
+    assert [(r.x, r.value) for r in got] == [(0, 2.5)]
+    with pytest.raises(ValueError, match="broken rules"):
+        contracts.store(good.union(good), str(tmp_path / "twice"), c)
+    with pytest.raises(ValueError, match="columns missing"):
+        contracts.store(good.drop("value"), str(tmp_path / "less"), c)
+    good.write.mode("append").parquet(f"{path}/analysis=2")
+    with pytest.raises(ValueError, match="not the file"):
+        contracts.read_verified(spark, path, digests, ["x"])
+    assert {r.rule: r.rows for r in contracts.violations(good.limit(0), c).collect()} == {"key_is_not_null": 0, "key_is_unique": 0, "missing_is_null": 0, "not_negative": 0}
