@@ -143,13 +143,13 @@ def fillings(n: np.ndarray, room: int, waste: int, budget: Budget) -> Iterator[t
     pieces (of one smaller piece, of several whose sum is no larger, or of none)
     within the room it leaves: what a packing does with the longer one it can
     do with the group. Lengths go in from the longest; a choice after which
-    every filling would be dominated is cut off by one mask of bits.
+    every filling would be dominated is cut off by one mask of bits. ``n`` is not
+    copied: whoever asks for the next filling has put it back as it was.
     """
-    n = n[: room + 1]
+    count = n = n[: room + 1]
     have = bits(n > 0)
     least = (have & -have).bit_length() - 1 if have else room + 1
     longest = have.bit_length() - 1
-    count = n.tolist()
     below: list[int] = []
     lengths: list[int] = []
     tried = 0
@@ -160,7 +160,7 @@ def fillings(n: np.ndarray, room: int, waste: int, budget: Budget) -> Iterator[t
         below.append(reach)
         for s in np.flatnonzero(n).tolist():
             lengths.append(s)
-            k, most = 1, min(count[s], room // s)
+            k, most = 1, min(int(count[s]), room // s)
             while most > 0:
                 k = min(k, most)
                 reach |= (reach << (k * s)) & full
@@ -217,7 +217,11 @@ def fillings(n: np.ndarray, room: int, waste: int, budget: Budget) -> Iterator[t
         for pieces in range(2, want // least + 1):
             if pieces > 2 and lengths and not below[-1] >> want & 1:
                 break
-            yield from down(want, want, (), frozenset(), spare, have, pieces)
+            for x in down(want, want, (), frozenset(), spare, have, pieces):
+                below.clear()  # a node that waits keeps no table
+                lengths.clear()
+                tried = 0
+                yield x
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[Run], int, bool]:
@@ -245,12 +249,18 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEP
     runs, used = best_fit(counts, capacity)
     budget, met = Budget(steps), {}
 
-    def branches(left: np.ndarray, made: int, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    left = n  # one array of counts: a step takes from it and is put back
+
+    def branches(waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
         big = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[big] -= 1
+        found = fillings(left, capacity - big, (used - 1) * capacity - total - waste, budget)
         once = []
-        for x in fillings(rest, capacity - big, (used - 1) * capacity - total - waste, budget):
+        while True:
+            left[big] -= 1
+            x = next(found, None)
+            left[big] += 1
+            if x is None:
+                break
             whole = (big, *x)
             times = min(int(left[s]) // whole.count(s) for s in set(whole))
             yield whole, times
@@ -259,37 +269,45 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEP
         for whole in once:
             yield whole, 1
 
-    #: A frame: counts left, sequences and waste so far, pieces at the last incumbent, branches, the path to it.
-    stack = [(n, 0, 0, int(n.sum()), branches(n, 0, 0), None)]
+    def put_back(x: tuple[int, ...], times: int) -> None:
+        for s in x:
+            left[s] += times
+
+    #: A frame: sequences and waste so far, pieces at the last incumbent, branches, the path to it.
+    stack = [(0, 0, int(n.sum()), branches(0), None)]
     try:
         while stack and used > least:
-            left, made, waste, last, todo, path = stack[-1]
+            made, waste, last, todo, path = stack[-1]
             step = next(todo, None)
             if step is None:
                 stack.pop()
+                if path:
+                    put_back(*path[1:])
                 continue
             budget.spend()
             x, times = step
-            after = left.copy()
-            for s in x:
-                after[s] -= times
             made, waste, path = made + times, waste + times * (capacity - sum(x)), (path, x, times)
             if waste > (used - 1) * capacity - total:
                 continue
-            if 2 * x[0] > capacity and len(stack) % BOUND_EVERY == 0 and made + waste_bound(after, capacity) >= used:
+            put_back(x, -times)
+            if 2 * x[0] > capacity and len(stack) % BOUND_EVERY == 0 and made + waste_bound(left, capacity) >= used:
+                put_back(x, times)
                 continue
-            key = xxhash.xxh3_128_digest(after.tobytes())
+            key = xxhash.xxh3_128_digest(left.tobytes())
             if met.get(key, made + 1) <= made:
+                put_back(x, times)
                 continue
             met[key] = made
-            pieces_left = int(after.sum())
+            pieces_left = int(left.sum())
             if pieces_left <= INCUMBENT_EVERY * last:
                 last = pieces_left
-                tail, more = best_fit({int(s): int(after[s]) for s in np.flatnonzero(after)}, capacity)
+                tail, more = best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)
                 if made + more < used:
                     used, runs = made + more, _joined(path, tail, made)
             if pieces_left:
-                stack.append((after, made, waste, last, branches(after, made, waste), path))
+                stack.append((made, waste, last, branches(waste), path))
+            else:
+                put_back(x, times)
     except StopSearch:
         return runs, used, False
     return runs, used, True
