@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrolith.operators import ranks
+
 
 def newest(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The row of each key that is last by ``order`` (a total order)."""
@@ -79,9 +81,11 @@ def measured(value: str) -> Column:
     return F.when((v >= 0) & ~F.isnan(v) & (v != float("inf")), v)
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The measurement at rank ceil(n q)."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN {value} >= 0 AND NOT isnan({value}) AND {value} != double('Infinity') THEN {value} END)")
+def runtimes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """samples, p50, p95 (at rank ceil(n q)) and maximum of the measurements."""
+    ok = df.withColumn(value, measured(value))
+    top = ok.groupBy(*keys).agg(F.max(value).alias("maximum"))
+    return ranks.met(ranks.nearest_ranks(ok, keys, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed("n", "samples"), top, keys)
 
 
 def run_state(mode: Column, n: dict[str, Column]) -> Column:

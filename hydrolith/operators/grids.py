@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hydrolith.functions import physics as ph
 from hydrolith.functions.basic import has_any, has_none, ratio, set_flags
+from hydrolith.operators import ranks
 from hydrolith.profiles import REJECT, Health, Hybrid, Mosaic, NowcastInput, Qc, Qpe, flag
 
 
@@ -172,12 +173,14 @@ def qpe(cells: DataFrame, p: Qpe = Qpe()) -> DataFrame:
 
 
 def field_summary(cells: DataFrame, keys: list[str], value: str = "rate") -> DataFrame:
-    """Counts, mean, maximum and interpolated 95th percentile of a field."""
+    """Counts, mean, maximum and interpolated 95th percentile of a field, exact
+    for keys of any size."""
     v = F.col(value)
-    return cells.groupBy(*keys).agg(
+    figures = cells.groupBy(*keys).agg(
         F.count("*").alias("cells"), F.count(v).alias("valid_cells"), F.count_if(v.isNull()).alias("missing_cells"), F.count_if(v == 0).alias("dry_cells"),
-        F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.max(v), F.lit(0.0)).alias("maximum"), F.coalesce(F.percentile(v, F.lit(0.95)), F.lit(0.0)).alias("p95"),
+        F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.max(v), F.lit(0.0)).alias("maximum"),
     )
+    return ranks.met(figures, ranks.interpolated(cells, keys, value, {"p95": 0.95}).drop("n"), keys).withColumn("p95", F.coalesce("p95", F.lit(0.0)))
 
 
 def area_statistics(cells: DataFrame, window: tuple[int, int, int, int], value: str = "rate") -> DataFrame:

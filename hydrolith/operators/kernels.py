@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,30 +26,47 @@ def _keyed(d: pd.DataFrame, keys: list[str], out: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def run_labels(ray: np.ndarray, first: np.ndarray, last: np.ndarray, rays: int) -> np.ndarray:
+    """Component of each run (sorted by ray, first): the least run that it is
+    linked with. Runs are linked if they share a gate on neighbouring rays."""
+    span = int(last.max()) + 2
+    starts, ends = ray * span + first, ray * span + last
+    # The runs of the next ray that end at my first gate or later and begin at my last or before.
+    base = (ray + 1) % rays * span
+    lo, hi = np.searchsorted(ends, base + first), np.searchsorted(starts, base + last, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(ray)), n)
+    b = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(ray))
+    while True:
+        # Roots take the least root that they touch, then every run jumps to its root.
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def polar_labels(gates: DataFrame, keys: list[str], rays: int) -> DataFrame:
     """Adds ``label`` and ``size`` to the gates (ray, gate) of each sweep:
-    4-connected objects, ray 0 beside the last. Labels are by first member."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.drop_duplicates(["ray", "gate"]).sort_values(["ray", "gate"]).reset_index(drop=True)
-        at = {p: i for i, p in enumerate(zip(d["ray"].tolist(), d["gate"].tolist(), strict=True))}
-        up = list(range(len(d)))
+    4-connected objects, ray 0 beside the last. Labels are by first member.
 
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+    Windows along rays turn gates into runs; a sweep's runs, some hundredths of
+    its gates, are linked by array steps."""
+    w = Window.partitionBy(*keys, "ray").orderBy("gate")
+    own = gates.select(*keys, F.col("ray").cast("long").alias("ray"), F.col("gate").cast("long").alias("gate")).distinct()
+    run = own.withColumn("_r", F.col("gate") - F.row_number().over(w)).groupBy(*keys, "ray", "_r").agg(F.min("gate").alias("first"), F.max("gate").alias("last"))
 
-        for (ray, gate), i in at.items():
-            for other in (((ray + 1) % rays, gate), (ray, gate + 1)):
-                if (j := at.get(other)) is not None and (a := root(i)) != (b := root(j)):
-                    up[max(a, b)] = min(a, b)
-        label = np.array([root(i) for i in range(len(d))])
-        _, label, size = np.unique(label, return_inverse=True, return_counts=True)
-        return _keyed(d, keys, pd.DataFrame({"ray": d["ray"], "gate": d["gate"], "label": label + 1, "size": size[label]}))
+    def label(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["ray", "first"])
+        root = run_labels(d["ray"].to_numpy(), d["first"].to_numpy(), d["last"].to_numpy(), rays)
+        _, at = np.unique(root, return_inverse=True)
+        size = np.bincount(at, d["last"] - d["first"] + 1).astype(np.int64)
+        return _keyed(d, keys, pd.DataFrame({"ray": d["ray"].to_numpy(), "first": d["first"].to_numpy(), "last": d["last"].to_numpy(), "label": at + 1, "size": size[at]}))
 
-    return gates.groupBy(*keys).applyInPandas(run, _schema(gates, keys, "ray long, gate long, label long, size long"))
+    labelled = run.drop("_r").groupBy(*keys).applyInPandas(label, _schema(gates, keys, "ray long, first long, last long, label long, size long"))
+    return labelled.select(*keys, "ray", F.explode(F.sequence("first", "last")).alias("gate"), "label", "size")
 
 
 def _grids(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -171,33 +188,56 @@ def perturbed(grids: DataFrame, keys: list[str], leads_min: list[int], members:
     return grids.groupBy(*keys).applyInPandas(run, _schema(grids, keys, "member int, lead_min int, y long, x long, rate double"))
 
 
+#: Rays that are decided at once.
+RAYS = 512
+
+
+def likeliest(hit: np.ndarray, miss: np.ndarray, size: np.ndarray, stay: float) -> np.ndarray:
+    """Likeliest two-state sequences of many rays at once: ``hit`` and ``miss``
+    (rays, gates) are log probabilities of the evidence in state 1 and 0, with
+    ``size`` gates of each ray. A step over gates, all rays together."""
+    rays, gates = hit.shape
+    same, change = np.log(stay), np.log(1 - stay)
+    kept = np.zeros((2, rays, gates), bool)
+    off, on = np.zeros(rays), np.zeros(rays)
+    for i in range(gates):
+        live = i < size
+        kept[0, :, i], kept[1, :, i] = off + same >= on + change, on + same >= off + change
+        next_off = np.maximum(off + same, on + change) + miss[:, i]
+        next_on = np.maximum(on + same, off + change) + hit[:, i]
+        off, on = np.where(live, next_off, off), np.where(live, next_on, on)
+    out = np.zeros((rays, gates), np.int32)
+    state = (on > off).astype(np.int32)
+    for i in range(gates - 1, -1, -1):
+        live = i < size
+        out[:, i] = state
+        state = np.where(live & ~kept[state, np.arange(rays), i], 1 - state, state)
+    return out
+
+
 def ray_states(gates: DataFrame, keys: list[str], order: str, evidence: str, stay: float = 0.9) -> DataFrame:
     """Likeliest sequence of two states along each ray, from the probability of
-    state 1 at each gate (null: no evidence). A ray's gates are an array in
-    order, folded forward and backward by built-in functions."""
-    a = gates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(evidence).alias("p")))).alias("g"))
-    ls, lc = float(np.log(stay)), float(np.log(1 - stay))
-    p = lambda x: F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.coalesce(x["p"], F.lit(0.5))))
-    start = F.struct(F.lit(0.0).alias("s0"), F.lit(0.0).alias("s1"), F.array().cast("array<struct<b0:int,b1:int>>").alias("back"))
-
-    def step(acc, x):
-        keep0, keep1 = acc["s0"] + F.lit(ls) >= acc["s1"] + F.lit(lc), acc["s1"] + F.lit(ls) >= acc["s0"] + F.lit(lc)
-        return F.struct(
-            (F.greatest(acc["s0"] + F.lit(ls), acc["s1"] + F.lit(lc)) + F.log(F.lit(1.0) - p(x))).alias("s0"),
-            (F.greatest(acc["s1"] + F.lit(ls), acc["s0"] + F.lit(lc)) + F.log(p(x))).alias("s1"),
-            F.concat(acc["back"], F.array(F.struct(F.when(keep0, 0).otherwise(1).alias("b0"), F.when(keep1, 1).otherwise(0).alias("b1")))).alias("back"),
-        )
-
-    f = a.withColumn("f", F.aggregate("g", start, step))
-    last = F.when(F.col("f.s1") > F.col("f.s0"), 1).otherwise(0)
-
-    def back(acc, x):
-        now = F.element_at(acc, 1)
-        return F.concat(F.array(F.when(now == 1, x["b1"]).otherwise(x["b0"])), acc)
-
-    states = F.aggregate(F.reverse(F.col("f.back")), F.array(last), back)
-    zipped = F.arrays_zip(F.col("g.o").alias("o"), F.slice(states, F.lit(2), F.size("g")).alias("s"))
-    return f.select(*keys, F.explode(zipped).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.s").alias("state"))
+    state 1 at each gate (null: no evidence). A ray is one row of arrays in order;
+    a batch of rays is decided at once, in time linear in its gates."""
+    p = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.coalesce(evidence, F.lit(0.5))))
+    row = F.struct(F.col(order).alias("o"), F.log(p).alias("hit"), F.log(F.lit(1.0) - p).alias("miss"))
+    a = gates.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("g"))
+
+    @F.pandas_udf("array<int>")
+    def decided(hit: pd.Series, miss: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(hit), RAYS):
+            some, other = hit.iloc[at : at + RAYS].to_list(), miss.iloc[at : at + RAYS].to_list()
+            size = np.array([len(x) for x in some])
+            both = np.zeros((2, len(size), size.max()))
+            inside = np.arange(size.max()) < size[:, None]
+            both[0][inside], both[1][inside] = np.concatenate(some), np.concatenate(other)
+            states = likeliest(both[0], both[1], size, stay)
+            out += [states[i, :n] for i, n in enumerate(size)]
+        return pd.Series(out, dtype=object)
+
+    zipped = F.arrays_zip(F.col("g.o").alias("o"), decided("g.hit", "g.miss").alias("s"))
+    return a.select(*keys, F.explode(zipped).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.s").alias("state"))
 
 
 def separated(rows: DataFrame, keys: list[str], time_s: str, score: str, region: str, tie: str, gap_s: int, most: int) -> DataFrame:

@@ -136,7 +136,7 @@ def version_retention_plan(spark, sf_dir):
 )
 def nearest_rank_quantiles(spark, sf_dir):
     line = load(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), (F.col("l_quantity") - 3).alias("elapsed"))
-    return line.groupBy("kind").agg(F.count(cat.measured("elapsed")).alias("samples"), cat.nearest_rank("elapsed", 0.5).alias("p50"), cat.nearest_rank("elapsed", 0.95).alias("p95"), F.max(cat.measured("elapsed")).alias("maximum"))
+    return cat.runtimes(line, ["kind"], "elapsed")
 
 
 @query(
