@@ -1,20 +1,26 @@
 """Mixing sources to target weights by a multivariate-hypergeometric tree.
 
 A source's documents fall into blocks by hash, about as many at most as the root
-of all documents, so that blocks and not documents are counted. A source's target gives whole passes over its blocks
-and a part of one more pass in a permuted order. A tree over the output shards
-then splits the exact quotas: at each node the left half draws its blocks
-without replacement from the node's blocks of all sources. The leaves' counts
-cut each source's permuted order into disjoint stretches, one for each shard,
-and a shard orders its documents by hash.
-
-The driver sees one row for each source (``MAX_SOURCES`` at most, else an
-error) and never a document.
+of all documents, so that blocks and not documents are counted. A source's target
+gives whole passes over its blocks and a part of one more pass in a permuted
+order. A tree over the output shards then splits the exact quotas: at each node
+the left half draws its blocks without replacement from the node's blocks of
+all sources. Sources are dealt to ``GROUPS`` groups by hash; the tree splits the
+groups' quotas, and a task deals a group's shares to its sources in a random
+order, which is the same law as a tree over sources. A source's permuted order is
+cut by its shares into disjoint stretches, one for each shard, and a shard orders
+its documents by hash.
+
+The driver sees totals, at most one row for each group, and no source: their
+number is free. Targets rise to the common level by sums over all sources.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,34 +32,39 @@ CAP = 3
 SEED = 20240607
 #: Words that an output shard has about, and the shards at least and at most.
 SHARD_WORDS = 2_000_000
-SHARDS = (64, 16_384)
-#: Cells of the driver's table of shards and sources at most.
-TREE_CELLS = 20_000_000
+SHARDS = (64, 65_536)
+#: Groups of sources: columns of the driver's table of shards.
+GROUPS = 128
 #: Blocks of a source: so many, or the root of all documents, at most.
 BLOCKS = 4096
 #: Documents that a block has at least, while a source has more than one block.
 BLOCK_DOCS = 32
-MAX_SOURCES = 100_000
-#: Rows of the table of draws (about 60 bytes each) up to which it is broadcast.
+#: Rows of the tables of sources and of draws (about 60 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
-    """Shares of the total by repeating weights (sources by code point, null
-    last); what a source would get above ``cap`` times its size is shared again."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = float(sum(sizes.values())), list(order), {}
-    while open_:
-        whole = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / whole > cap * sizes[s]]
-        if not full:
-            return out | {s: left * weight[s] / whole for s in open_}
-        for s in full:
-            out[s] = float(cap * sizes[s])
-        left = max(0.0, left - sum(out[s] for s in full))
-        open_ = [s for s in open_ if s not in out]
-    return out
+def with_targets(sources: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
+    """Adds ``target`` to a stored frame (_s, source_size): shares of the total by
+    repeating weights (sources by code point, null last); what a source would get
+    above ``cap`` times its size is shared again by weight.
+
+    Sources are numbered by a distributed sort. The common level (words for a
+    weight of 1) rises until no source is above its cap; a round is one sum."""
+    spread = sources.orderBy(F.col("_s") == "n", "_s").withColumn("_m", F.monotonically_increasing_id())
+    numbered = cut(spread.withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"))
+    parts = numbered.groupBy("_p").agg(F.count("*").alias("_c"))  # a row for each task of the sort
+    before = parts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_b") + F.col("_k"), F.lit(len(weights))) + 1).cast("int"))
+    w = numbered.join(F.broadcast(before), "_p").withColumn("_w", weight).drop("_p", "_k", "_b")
+    full = lambda level: F.lit(level) * F.col("_w") > F.lit(cap) * F.col("source_size")
+    level, open_ = 0.0, -1
+    while True:
+        over = full(level)
+        r = w.agg(F.count_if(~over).alias("n"), F.sum(F.when(~over, F.col("_w"))).alias("w"), F.sum(F.when(over, F.col("source_size"))).alias("f"), F.sum("source_size").alias("all")).first()
+        if r["n"] in (0, open_):
+            break
+        open_, level = r["n"], max(0.0, r["all"] - cap * (r["f"] or 0)) / r["w"]
+    return w.withColumn("target", F.when(full(level), F.lit(float(cap)) * F.col("source_size")).otherwise(F.lit(level) * F.col("_w"))).drop("_w")
 
 
 def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
@@ -86,11 +97,11 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return docs.select(source.alias("_s"), order.alias("_o"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
 
 
-def shards_for(words: int, sources: int) -> int:
+def shards_for(words: int) -> int:
     """A power of two of shards of about ``SHARD_WORDS``, within bounds."""
     least, most = SHARDS
     n = least
-    while n < most and n * SHARD_WORDS < words and 2 * n * max(sources, 1) <= TREE_CELLS:
+    while n < most and n * SHARD_WORDS < words:
         n *= 2
     return n
 
@@ -104,69 +115,100 @@ def blocks_for(docs: int) -> int:
     return n
 
 
-def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool, int]:
-    """From a stored frame (_s, _o, size): the draws, the sources, whether the
-    draws are few enough to broadcast, and how many shards there are.
+def dealt(quotas: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
+    """From (g, _s, quota) and a group's (g, shard, n): _s, pos and shard, where a
+    source's shards rise with pos from 0. A group is one task, with a row for
+    each block that is taken of its sources."""
 
-    Draws: one row for each block, with an array of (epoch, shard, upto); of
-    the block's documents those with _o <= upto are drawn.
-    """
+    def deal(q: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+        q, n = q.sort_values("_s"), n.sort_values("shard")
+        size = q["quota"].to_numpy()
+        of = np.repeat(np.arange(len(q)), size)
+        shard = np.repeat(n["shard"].to_numpy(), n["n"].to_numpy())
+        if len(q) > 1:
+            shard = np.random.default_rng([seed, int(q["g"].iloc[0])]).permutation(shard)
+            shard = shard[np.lexsort((shard, of))]
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        return pd.DataFrame({"_s": q["_s"].to_numpy()[of], "pos": pos, "shard": shard.astype(np.int32)})
+
+    return quotas.groupBy("g").cogroup(shares.groupBy("g")).applyInPandas(deal, "_s string, pos long, shard int")
+
+
+class Draws(NamedTuple):
+    """``blocks``: one row for each drawn block, with an array ``draws`` of (epoch,
+    shard, upto): of its documents those with _o <= upto are drawn. ``figures``:
+    what a document's source has, by ``on``; ``fine`` is what _f is modulo."""
+
+    blocks: DataFrame
+    few_blocks: bool
+    figures: DataFrame
+    on: list[str]
+    fine: int
+    shards: int
+
+
+def small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def draws(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> Draws:
+    """The draws from a stored frame (_s, _o, size).
+
+    Few sources are broadcast; many are joined by source and hash, so that
+    a large source is not one key."""
     spark = sized.sparkSession
     most = blocks_for(sized.count())
-    fine = F.pmod("_o", F.lit(most))
+    fine = F.pmod("_o", F.lit(most)).cast("int")
     counted = cut(sized.groupBy("_s", fine.alias("_f")).agg(F.count("*").alias("n"), F.sum("size").alias("size")))
-    found = counted.groupBy("_s").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    name = lambda key: None if key == "n" else key[1:]
-    size = {name(r["_s"]): r["size"] for r in found}
-    target = targets(size, weights, cap)
-    rows = []
-    for r in sorted(found, key=lambda r: r["_s"]):
-        z, t = r["size"], target[name(r["_s"])]
-        passes = min(int(cap), int(t // z)) if z else 0
-        blocks = 1
-        while blocks < most and blocks * 2 * BLOCK_DOCS <= r["n"]:
-            blocks *= 2
-        rows.append((r["_s"], z, t, blocks, passes, max(0.0, t - passes * z)))
-    sources = spark.createDataFrame(rows, "_s string, source_size long, target double, blocks int, passes int, rest double")
-    small = F.broadcast(sources)
-
-    block = counted.join(small, "_s").groupBy("_s", "blocks", "passes", "rest", F.pmod("_f", "blocks").alias("block")).agg(F.sum("size").alias("size"))
+    summed = cut(counted.groupBy("_s").agg(F.sum("n").alias("n"), F.sum("size").alias("source_size")))
+    few = summed.count() <= BROADCAST_ROWS
+    z, t = F.col("source_size"), F.col("target")
+    # The greatest power of two of blocks with BLOCK_DOCS documents each, by the length of the binary number.
+    power = F.expr(f"CAST(shiftleft(1L, length(bin(CAST(floor(n / {BLOCK_DOCS}) AS BIGINT))) - 1) AS BIGINT)")
+    sources = cut(
+        with_targets(summed, weights, cap)
+        .withColumns({"blocks": F.least(F.lit(most), power).cast("int"), "passes": F.when(z > 0, F.least(F.lit(int(cap)), F.floor(t / z))).otherwise(0).cast("int")})
+        .withColumn("rest", F.greatest(F.lit(0.0), t - F.col("passes") * z))
+    )
+    of_source = small(sources.select("_s", "source_size", "target", "blocks", "passes", "rest"), few)
+
+    fines = counted.join(of_source, "_s").withColumn("block", F.pmod("_f", "blocks"))
+    block = fines.groupBy("_s", "blocks", "passes", "rest", "block").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("_s", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "_s", "epoch", "block"), "block")
     passed = block.withColumn("epoch", F.explode(F.sequence(F.lit(0), "passes"))).withColumns({
         "rank": F.row_number().over(order) - 1,
+        "filled": F.count("*").over(Window.partitionBy("_s", "epoch")),
         "before": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     })
-    taken = cut(passed.filter("epoch < passes OR before < rest"))
-
-    shards = shards or shards_for(sum(size.values()), len(found))
-    quota = {r["_s"]: r["n"] for r in taken.groupBy("_s").agg(F.count("*").alias("n")).collect()}
-    tree = split_tree([quota.get(r[0], 0) for r in rows], shards, seed)
-    # One Arrow table of shards times sources longs, no Python numbers.
-    flat = pa.array(np.ascontiguousarray(np.cumsum(tree, axis=0).T).reshape(-1))
-    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * shards)
-    ends = spark.createDataFrame(pa.table({"_s": pa.array([r[0] for r in rows], pa.string()), "ends": pa.ListArray.from_arrays(offsets, flat)}))
-
-    last = taken.filter("epoch = passes AND before + size > rest").select("_s", "blocks", "block", (F.col("rest") - F.col("before")).alias("need"))
-    within = Window.partitionBy("_s").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
-    inside = sized.join(small.select("_s", "blocks"), "_s").withColumn("block", F.pmod(fine, "blocks")).join(F.broadcast(last.drop("blocks")), ["_s", "block"])
-    ended = inside.withColumn("sum", F.sum("size").over(within)).groupBy("_s", "block").agg(F.max(F.when(F.col("sum") - F.col("size") / 2 <= F.col("need"), F.col("_o"))).alias("cut"))
-    whole = F.lit((1 << 63) - 1)
-    placed = taken.join(F.broadcast(ends), "_s").join(F.broadcast(ended.withColumn("partial", F.lit(True))), ["_s", "block"], "left").withColumns({
-        "shard": F.size(F.filter("ends", lambda e: e <= F.col("epoch") * F.col("blocks") + F.col("rank"))),
-        "upto": F.when(F.col("partial") & (F.col("epoch") == F.col("passes")), F.col("cut")).otherwise(whole),
-    })
-    of_block = placed.filter("upto IS NOT NULL").groupBy("_s", "block").agg(F.collect_list(F.struct("epoch", "shard", "upto")).alias("draws"))
-    return of_block, sources, sum(quota.values()) <= BROADCAST_ROWS, shards
-
-
-def drawn(rows: DataFrame, of_block: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    g = F.pmod(F.xxhash64(F.lit(seed + 3), "_s"), F.lit(GROUPS)).cast("int").alias("g")
+    taken = cut(passed.filter("epoch < passes OR before < rest").withColumn("pos", F.col("epoch") * F.col("filled") + F.col("rank")))
+
+    shards = shards or shards_for(sized.agg(F.sum("size")).first()[0] or 0)
+    quotas = taken.groupBy(g, "_s").agg(F.count("*").alias("quota"))
+    of_group = sorted((r["g"], r["q"]) for r in quotas.groupBy("g").agg(F.sum("quota").alias("q")).collect())
+    tree = split_tree([q for _, q in of_group], shards, seed)
+    at, group = np.nonzero(tree)
+    ids = np.array([x for x, _ in of_group], np.int32)
+    shares = spark.createDataFrame(pa.table({"g": ids[group], "shard": at.astype(np.int32), "n": tree[at, group]}))
+    placed = taken.join(dealt(quotas, shares, seed), ["_s", "pos"])
+
+    last = taken.filter("epoch = passes AND before + size > rest").select("_s", "block", (F.col("rest") - F.col("before")).alias("need"))
+    ends = small(fines.select("_s", "_f", "block").join(small(last, few), ["_s", "block"]), few)
+    within = Window.partitionBy("_s").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)  # rows of one block of a source
+    inside = sized.withColumn("_f", fine).join(ends, ["_s", "_f"]).withColumn("sum", F.sum("size").over(within))
+    ended = inside.groupBy("_s", "block").agg(F.max(F.when(F.col("sum") - F.col("size") / 2 <= F.col("need"), F.col("_o"))).alias("cut"))
+    partial = placed.join(small(ended.withColumn("partial", F.lit(True)), few), ["_s", "block"], "left")
+    upto = F.when(F.col("partial") & (F.col("epoch") == F.col("passes")), F.col("cut")).otherwise(F.lit((1 << 63) - 1))
+    of_block = partial.withColumn("upto", upto).filter("upto IS NOT NULL").groupBy("_s", "block").agg(F.collect_list(F.struct("epoch", "shard", "upto")).alias("draws"))
+    figures = sources.select("_s", "source_size", "target", "blocks") if few else fines.select("_s", "_f", "source_size", "target", "blocks")
+    return Draws(of_block, sum(q for _, q in of_group) <= BROADCAST_ROWS, small(figures, few), ["_s"] if few else ["_s", "_f"], most, shards)
+
+
+def drawn(rows: DataFrame, d: Draws) -> DataFrame:
     """Adds to rows with _s and _o their source's figures and ``draws``."""
-    r = rows.join(F.broadcast(sources.select("_s", "source_size", "target", "blocks")), "_s")
-    r = r.withColumn("block", F.pmod("_o", "blocks"))
-    r = r.join(F.broadcast(of_block) if few else of_block, ["_s", "block"], "left")
-    mine = F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,upto:bigint>>")), lambda d: F.col("_o") <= d["upto"])
+    r = rows.withColumn("_f", F.pmod("_o", F.lit(d.fine)).cast("int")).join(d.figures, d.on).withColumn("block", F.pmod("_f", "blocks")).drop("_f")
+    r = r.join(small(d.blocks, d.few_blocks), ["_s", "block"], "left")
+    mine = F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,upto:bigint>>")), lambda x: F.col("_o") <= x["upto"])
     return r.withColumn("draws", mine)
 
 
@@ -181,13 +223,13 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     Null and empty texts have size 0. Repeated rows are drawn together. A
     source of size 0 has target 0. An empty table gives no rows.
     """
-    of_block, sources, few, n = draws(cut(sized(docs)), shards=shards)
-    d = drawn(keyed(docs), of_block, sources, few).withColumn("_d", F.explode("draws"))
+    d = draws(cut(sized(docs)), shards=shards)
+    each = drawn(keyed(docs), d).withColumn("_d", F.explode("draws"))
     pos = F.xxhash64(F.lit(SEED + 2), "_o", F.col("_d.epoch"))
-    return d.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartitionById(n, "shard").sortWithinPartitions("shard", "pos").select("row.*")
+    return each.select("row", F.col("_d.shard").alias("shard"), pos.alias("pos")).repartitionById(d.shards, "shard").sortWithinPartitions("shard", "pos").select("row.*")
 
 
 def op8_source_mixing(spark, sf_dir):
     s = cut(sized(table(spark, sf_dir, "documents")))
-    d = drawn(s, *draws(s)[:3])
+    d = drawn(s, draws(s))
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda x: x["shard"]).alias("shards"))

@@ -32,8 +32,8 @@ def test_stages(spark, tmp_path):
                 base = pii.base_spans(own[r.doc_id])
                 assert r.text == pii.masked(own[r.doc_id], base + pii.added_spans(own[r.doc_id], base, w)) and r.n_chars == len(r.text)
         if name == "mixing":
-            of_block, sources, few, _ = mixing.draws(mixing.sized(before).cache())
-            want = Counter({r.doc_id: len(r.draws) for r in mixing.drawn(mixing.sized(before), of_block, sources, few).collect()})
+            sized = mixing.sized(before).cache()
+            want = Counter({r.doc_id: len(r.draws) for r in mixing.drawn(sized, mixing.draws(sized)).collect()})
             assert Counter(r.doc_id for r in out.collect()) == +want
         if name == "packing":
             room = Counter()

@@ -93,11 +93,70 @@ def test_dynamic_programming_against_enumeration():
         assert abs(p[k] - want) < 1e-9
 
 
-def test_targets_by_hand():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
-    got = mixing.targets({"a": 10, "b": 100, "c": 100})
+def plain_targets(sizes: dict) -> dict:
+    """Shares by 5, 2, 1; what is over three times a size is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    out: dict = {}
+    while True:
+        left, of = sum(sizes.values()) - sum(out.values()), sum(weight[s] for s in order if s not in out)
+        full = {s: 3.0 * sizes[s] for s in order if s not in out and left * weight[s] / of > 3 * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / of for s in order if s not in out}
+        out |= full
+
+
+def spark_targets(spark, sizes: dict) -> dict:
+    rows = [("n" if s is None else f"s{s}", z) for s, z in sizes.items()]
+    got = mixing.with_targets(spark.createDataFrame(rows, "_s string, source_size long")).collect()
+    return {None if r._s == "n" else r._s[1:]: r.target for r in got}
+
+
+def test_targets_by_hand(spark):
+    assert spark_targets(spark, {"a": 100, "b": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
+    got = spark_targets(spark, {"a": 10, "b": 100, "c": 100})
     assert got["a"] == 30.0 and abs(got["b"] - 120) < 1e-9 and abs(got["c"] - 60) < 1e-9
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    assert spark_targets(spark, {}) == {} and spark_targets(spark, {"a": 0}) == {"a": 0.0}
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"{chr(0x10FFFF - i)}{i}" if i % 3 else f"s{i}": (i * 7919 % 1000) ** 2 for i in range(400)} | {None: 3, "": 2}
+    got, want = spark_targets(spark, sizes), plain_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    assert all(t <= 3 * sizes[s] for s, t in got.items()) and abs(sum(got.values()) - sum(sizes.values())) < 1e-3
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    """300 sources, one of them with a third of all rows; same rows either way."""
+    rows = [(i, "big" if i % 3 == 0 else f"s{i % 299}", "w " * (i % 7)) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def run():
+        s = mixing.sized(docs).cache()
+        return {r.doc_id: r for r in mixing.drawn(s, mixing.draws(s)).collect()}
+
+    few = run()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    many = run()
+    digest = lambda out: {i: (r.source_size, r.target, sorted(map(tuple, r.draws))) for i, r in out.items()}
+    assert len(few) == 9000 and digest(few) == digest(many)
+    taken, target, largest = Counter(), {}, {}
+    for r in few.values():
+        taken[rows[r.doc_id][1]] += r.size * len(r.draws)
+        target[rows[r.doc_id][1]] = r.target
+    assert all(abs(taken[s] - t) <= 6 for s, t in target.items())
+    assert {d.shard for r in few.values() for d in r.draws} <= set(range(64))
+
+
+def test_shares_are_dealt_whole(spark):
+    quotas = spark.createDataFrame([(0, "a", 5), (0, "b", 3), (1, "c", 4)], "g int, _s string, quota long")
+    shares = spark.createDataFrame([(0, 0, 2), (0, 1, 6), (1, 0, 1), (1, 3, 3)], "g int, shard int, n long")
+    got = mixing.dealt(quotas, shares, 1).collect()
+    assert sorted((r._s, r.pos) for r in got) == [(s, i) for s, n in (("a", 5), ("b", 3), ("c", 4)) for i in range(n)]
+    assert Counter(r.shard for r in got if r._s != "c") == {0: 2, 1: 6} and [r.shard for r in sorted(got) if r._s == "c"] == [0, 3, 3, 3]
+    for s in "ab":
+        own = [r.shard for r in sorted(got) if r._s == s]
+        assert own == sorted(own)
 
 
 @settings(max_examples=40, deadline=None)
@@ -120,7 +179,7 @@ def test_mix_whole_table(spark):
         assert r.size == len(WORD.findall(docs[r.doc_id].text or "")) and r.taken in {k * r.size for k in range(4)}
         t = by.setdefault(docs[r.doc_id].source, [r.source_size, r.target, 0, 0])
         t[2], t[3] = t[2] + r.taken, max(t[3], r.size)
-    want = mixing.targets({s: v[0] for s, v in by.items()})
+    want = plain_targets({s: v[0] for s, v in by.items()})
     for s, (_, target, taken, largest) in by.items():
         assert abs(target - want[s]) < 1e-6
         assert abs(taken - target) <= max(0.02 * target, largest)
