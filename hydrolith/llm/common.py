@@ -74,3 +74,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes a frame to a folder of the shared store and reads it back: its
+    size is then known to whatever joins it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
