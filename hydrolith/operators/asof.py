@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,65 @@ def last_before(instants: DataFrame, scans: DataFrame, keys: list[str], at_s: st
     return best.select(*keys, at_s, "_r.*")
 
 
-def context(scans: DataFrame, site: str, time_s: str, tie: str, window_s: int, most: int, same_site: bool) -> DataFrame:
+def nearest_others(t: np.ndarray, name: np.ndarray, site: np.ndarray, own: np.ndarray, window_s: int, most: int, same_site: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, other) of rows sorted by time and name: for each of the rows
+    ``own`` the first ``most`` of its site, or of others, from its own time on, and
+    as many of those before it, the latest first; of one time the lower names first.
+    All rows step outward together, and a row stops where it has enough or leaves the
+    window."""
+    first, after = np.searchsorted(t, t, "left"), np.searchsorted(t, t, "right")
+    turned = first + after - 1 - np.arange(len(t))  # each time's rows the other way round
+    pairs = []
+    for side in (1, -1):
+        at = np.flatnonzero(own)
+        place = first[at] if side > 0 else first[at] - 1
+        found = np.zeros(len(at), np.int64)
+        while len(at):
+            inside = (place >= 0) & (place < len(t)) & (found < most)
+            at, place, found = at[inside], place[inside], found[inside]
+            other = place if side > 0 else turned[place]
+            near = np.abs(t[other] - t[at]) <= window_s
+            at, place, found, other = at[near], place[near], found[near], other[near]
+            hit = ((site[other] == site[at]) == same_site) & (name[other] != name[at])
+            pairs.append((at[hit], other[hit]))
+            place, found = place + side, found + hit
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+
+
+#: Rows that a group of ``context`` has, about.
+SPAN_ROWS = 50_000
+
+
+def context(scans: DataFrame, site: str, time_s: str, tie: str, window_s: int, most: int, same_site: bool, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Other scans within a window of each scan, of the same site or of others,
     ranked by distance in time, then earlier time, then id; ``most`` of each.
 
-    Bucketed by the window, so it is an equality join; the rank is cut."""
-    bucket = F.floor(F.col(time_s) / F.lit(window_s)).cast("long")
-    a = scans.select(F.col(tie).alias("id"), F.col(site).alias("site"), F.col(time_s).alias("at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    b = scans.select(F.col(tie).alias("other_id"), F.col(site).alias("other_site"), F.col(time_s).alias("other_at"), bucket.alias("_b"))
-    same = F.col("site") == F.col("other_site")
-    on = [a["_b"] == b["_b"]] + ([same] if same_site else [])
-    pairs = a.join(b, on).filter((F.col("id") != F.col("other_id")) & (F.abs(F.col("at") - F.col("other_at")) <= window_s))
-    if not same_site:
-        pairs = pairs.filter(~same)
-    w = Window.partitionBy("id").orderBy(F.abs(F.col("at") - F.col("other_at")), "other_at", "other_id")
-    return pairs.select("id", "site", "at", "other_id", "other_site", "other_at").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    Scans are dealt by spans of time of about ``span_rows`` rows (a job counts them),
+    those near a border to the span beyond it, too, and each walks to its nearest: a
+    scan gives 2 * ``most`` rows at most before the cut. A group holds the scans of
+    one window at least. Scans without a time or an id have no context and are none;
+    one without a site is of another site than all others."""
+    s = scans.select(F.col(tie).alias("id"), F.col(site).alias("site"), F.col(time_s).cast("long").alias("at")).filter("id IS NOT NULL AND at IS NOT NULL")
+    if same_site:
+        s = s.filter("site IS NOT NULL")
+    n, low, high = s.agg(F.count("*"), F.min("at"), F.max("at")).first()
+    span = max(1, window_s, -(-((high or 0) - (low or 0) + 1) * span_rows // max(1, n)))
+    number = lambda c: F.floor(c / F.lit(span)).cast("long")
+    at = F.col("at")
+    dealt = s.withColumn("_own", number(at)).withColumn("_b", F.explode(F.array_distinct(F.array(number(at - window_s), number(at), number(at + window_s)))))
+    types = dict(s.dtypes)
+
+    def near(d: pd.DataFrame) -> pd.DataFrame:
+        code = np.where(d["site"].isna(), -1 - np.arange(len(d)), pd.factorize(d["site"])[0])
+        apart = 2 * (int(d["at"].max()) - int(d["at"].min()) + window_s + 1)
+        d = d.assign(_code=code, _t=d["at"] - d["at"].min() + (code * apart if same_site else 0)).sort_values(["_t", "id"])
+        i, j = nearest_others(d["_t"].to_numpy(), pd.factorize(d["id"])[0], d["_code"].to_numpy(), (d["_own"] == d["_b"]).to_numpy(), window_s, most, same_site)
+        other = d.iloc[j].reset_index(drop=True)
+        return d.iloc[i][["id", "site", "at"]].reset_index(drop=True).assign(other_id=other["id"], other_site=other["site"], other_at=other["at"])
+
+    pairs = dealt.groupBy("_b").applyInPandas(near, f"id {types['id']}, site {types['site']}, at long, other_id {types['id']}, other_site {types['site']}, other_at long")
+    w = Window.partitionBy("id", "at", "site").orderBy(F.abs(F.col("at") - F.col("other_at")), "other_at", "other_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 def ready_sequences(frames: DataFrame, key: str, time_s: str, step_s: int, least: int, most: int) -> DataFrame:

@@ -216,9 +216,11 @@ def ensemble(cells: DataFrame, cell: list[str], thresholds: list[float], least_m
     v = F.when(F.col("valid"), F.col("rate"))
     enough = F.count(v) >= least_members
     out = [F.count(v).alias("members"), F.when(enough, F.avg(v)).alias("mean")]
-    out += [F.when(enough, F.percentile(v, F.lit(q))).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)]
-    out += [F.when(enough, F.count_if(v > t) / F.count(v)).alias(f"over_{t:g}".replace(".", "_")) for t in thresholds]
-    return cells.groupBy(*cell).agg(*out)
+    quantiles = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    out.append(F.when(enough, F.percentile(v, F.array(*map(F.lit, quantiles.values())))).alias("_q"))  # one list of values for all
+    shares = {f"over_{t:g}".replace(".", "_"): F.when(enough, F.count_if(v > t) / F.count(v)) for t in thresholds}
+    out += [c.alias(name) for name, c in shares.items()]
+    return cells.groupBy(*cell).agg(*out).select(*cell, "members", "mean", *[F.get("_q", k).alias(name) for k, name in enumerate(quantiles)], *shares)
 
 
 def input_gates(frames: DataFrame, keys: list[str], p: NowcastInput = NowcastInput()) -> DataFrame:

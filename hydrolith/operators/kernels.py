@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrolith.sources.shared import stored
+
 
 def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
     types = dict(df.dtypes)
@@ -240,12 +242,17 @@ def ray_states(gates: DataFrame, keys: list[str], order: str, evidence: str, sta
     return a.select(*keys, F.explode(zipped).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.s").alias("state"))
 
 
+#: Rounds from one stored state to the next.
+STORE_EVERY = 4
+
+
 def separated(rows: DataFrame, keys: list[str], time_s: str, score: str, region: str, tie: str, gap_s: int, most: int) -> DataFrame:
     """For each key at most ``most`` rows, best score first, no two of one
     region or within ``gap_s`` of each other.
 
     A round takes the best row of each key that none of the key's picks forbids,
-    by an aggregate over all rows; a key's picks are one row of ``most`` at most.
+    by an aggregate over all rows; a key's picks are one row of ``most`` at most,
+    stored after every few rounds, so that no plan holds them all.
     Rows without a time are left out, rows without a score come last."""
     cols = [region, time_s, score, tie]
     own = rows.filter(F.col(time_s).isNotNull()).select(*keys, F.struct(*cols).alias("_r"))
@@ -254,7 +261,9 @@ def separated(rows: DataFrame, keys: list[str], time_s: str, score: str, region:
     order = F.struct(F.nanvl(F.col(f"_r.{score}").cast("double"), F.lit(None).cast("double")), -F.col(f"_r.{tie}"))
     near = lambda x: x[region].eqNullSafe(F.col(f"_r.{region}")) | (F.abs(x[time_s] - F.col(f"_r.{time_s}")) < F.lit(gap_s))
     taken = own.groupBy(*keys).agg(F.max_by("_r", order).alias("_n")).select(*keys, F.array("_n").alias("_p"))
-    for _ in range(most - 1):
+    for turn in range(1, most):
+        if turn % STORE_EVERY == 0:
+            taken = stored(taken)
         joined = own.join(taken.select(*named, "_p"), same)
         best = joined.groupBy(*keys).agg(F.first("_p").alias("_p"), F.max_by("_r", F.when(~F.exists("_p", near), order)).alias("_n"))
         taken = best.select(*keys, F.when(F.col("_n").isNull(), F.col("_p")).otherwise(F.concat("_p", F.array("_n"))).alias("_p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,25 +141,83 @@ def reprojected(current: DataFrame, site: tuple[float, float], neighbour: DataFr
     return c.join(n, ["_ray", "_gate"], "left").drop("_s", "_i", "_ray", "_gate")
 
 
-def covering_tiles(cells: DataFrame, keys: list[str], size: int, stride: int, most: int) -> DataFrame:
-    """Tiles (top, left) of full support, chosen one by one for the most cells
-    that no tile chosen before covers (of equal ones the first by row), until
-    none adds a cell or there are ``most``; with what each adds.
-
-    A candidate begins at a multiple of the stride and is full if all its cells
-    are in ``cells``. A round is one aggregate over (tile, cell) and leaves out
-    the covered ones; choices are one row for each key.
-    """
-    starts = lambda c: F.expr(f"filter(sequence(greatest(0L, cast(floor(({c} - {size - 1}) / {stride}.0D) AS bigint)) * {stride}L, floor({c} / {stride}) * {stride}L, {stride}L), s -> s <= {c} AND {c} < s + {size})")
-    on = cells.select(*keys, "y", "x").distinct().withColumn("top", F.explode(starts("y"))).withColumn("left", F.explode(starts("x")))
-    full = on.groupBy(*keys, "top", "left").agg(F.count("*").alias("_n")).filter(F.col("_n") == size * size).drop("_n")
-    on = on.join(full, [*keys, "top", "left"])
-    taken = full.select(*keys).distinct().withColumn("_t", F.array().cast("array<struct<top:bigint,left:bigint,adds:bigint>>"))
-    covered = F.exists("_t", lambda t: (F.col("y") >= t["top"]) & (F.col("y") < t["top"] + size) & (F.col("x") >= t["left"]) & (F.col("x") < t["left"] + size))
-    for _ in range(most):
-        each = on.join(taken, keys).groupBy(*keys, "top", "left").agg(F.first("_t").alias("_t"), F.count_if(~covered).alias("adds"))
-        order = F.struct("adds", (-F.col("top")).alias("top"), (-F.col("left")).alias("left"))
-        best = each.groupBy(*keys).agg(F.first("_t").alias("_t"), F.max(order).alias("_b"))
-        chosen = F.struct((-F.col("_b.top")).alias("top"), (-F.col("_b.left")).alias("left"), F.col("_b.adds").alias("adds"))
-        taken = best.select(*keys, F.when(F.col("_b.adds") > 0, F.array_append("_t", chosen)).otherwise(F.col("_t")).alias("_t"))
-    return taken.select(*keys, F.posexplode("_t").alias("_i", "t")).select(*keys, (F.col("_i") + 1).alias("tile"), "t.top", "t.left", "t.adds")
+def _summed(a: np.ndarray) -> np.ndarray:
+    return np.pad(a.astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+
+
+def _in_windows(table: np.ndarray, top: np.ndarray, left: np.ndarray, height: int, width: int) -> np.ndarray:
+    return table[top + height, left + width] - table[top, left + width] - table[top + height, left] + table[top, left]
+
+
+def largest_rectangle(on: np.ndarray, size: int, multiple: int) -> tuple[int, int, int, int] | None:
+    """top, left, height and width of the largest rectangle of full support whose
+    sides are multiples of ``multiple`` and ``size`` or more; of equal areas the one
+    with the longer short side, then the wider, then the first by row; None if there
+    is none. For each height, the columns that are full over it and how far each
+    reaches to the right."""
+    best = None
+    first = -(-size // multiple) * multiple
+    down = np.pad(on.astype(np.int64), ((1, 0), (0, 0))).cumsum(0)
+    for height in range(first, on.shape[0] + 1, multiple):
+        full = down[height:] - down[:-height] == height
+        reach = np.zeros(full.shape, np.int64)
+        run = np.zeros(full.shape[0], np.int64)
+        for x in range(full.shape[1] - 1, -1, -1):
+            run = np.where(full[:, x], run + 1, 0)
+            reach[:, x] = run
+        width = int(reach.max(initial=0)) // multiple * multiple
+        rank = (height * width, min(height, width), width)
+        if width >= first and (best is None or rank > best[0]):
+            best = rank, tuple(map(int, np.argwhere(reach >= width)[0])), height, width
+    return None if best is None else (*best[1], best[2], best[3])
+
+
+def chosen_tiles(on: np.ndarray, size: int, stride: int, most: int, multiple: int | None) -> list[tuple[int, int, int, int, int]]:
+    """Tiles (top, left, height, width, adds) of a grid of support, one by one."""
+    h, w = on.shape
+    starts = lambda n: np.unique(np.r_[np.arange(0, n - size + 1, stride), max(n - size, 0)]) if n >= size else np.zeros(0, np.int64)
+    top, left = (a.ravel() for a in np.meshgrid(starts(h), starts(w), indexing="ij"))
+    full = _in_windows(_summed(on), top, left, size, size) == size * size
+    top, left = top[full], left[full]
+    wanted = np.zeros_like(on)
+    for y, x in zip(top, left, strict=True):
+        wanted[y : y + size, x : x + size] = True
+    out = []
+    if multiple and (large := largest_rectangle(on, size, multiple)):
+        y, x, height, width = large
+        wanted[y : y + height, x : x + width] = False
+        out.append((*large, height * width))
+    while len(out) < most and len(top):
+        gains = _in_windows(_summed(wanted), top, left, size, size)
+        k = int(gains.argmax())
+        if not gains[k]:
+            break
+        y, x = int(top[k]), int(left[k])
+        wanted[y : y + size, x : x + size] = False
+        out.append((y, x, size, size, int(gains[k])))
+    return out
+
+
+def covering_tiles(cells: DataFrame, keys: list[str], size: int, stride: int, most: int, multiple: int | None = None) -> DataFrame:
+    """Tiles (top, left, height, width) of full support, chosen one by one for the
+    most cells that no tile chosen before covers (of equal ones the first by row),
+    until none adds a cell or there are ``most``; with what each adds.
+
+    Square tiles of ``size`` begin at multiples of the stride, or end with the grid,
+    which reaches from 0 to the largest y and x of a key. With ``multiple``, the
+    largest rectangle of such sides comes first. A key's cells are one grid, whose
+    extent the instrument bounds, and one group; repeated cells count once, cells
+    without y or x not at all. A key without a full tile gives no rows."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros((int(d["y"].max()) + 1, int(d["x"].max()) + 1), bool)
+        on[d["y"], d["x"]] = True
+        tiles = chosen_tiles(on, size, stride, most, multiple)
+        out = pd.DataFrame([(n, *t) for n, t in enumerate(tiles, 1)], columns=["tile", "top", "left", "height", "width", "adds"])
+        for k, name in enumerate(keys):
+            out.insert(k, name, d[name].iloc[0])
+        return out
+
+    types = dict(cells.dtypes)
+    own = cells.filter(F.col("y").isNotNull() & F.col("x").isNotNull()).select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    return own.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {types[k]}, " for k in keys) + "tile int, top long, left long, height long, width long, adds long")

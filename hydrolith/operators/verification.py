@@ -8,6 +8,7 @@ and no window over a whole row of cells.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolith.functions.basic import ratio
+from hydrolith.sources.shared import stored
 
 
 def contingency(pairs: DataFrame, keys: list[str], thresholds: list[float], domain: str = "common") -> DataFrame:
@@ -127,49 +129,6 @@ def paired_difference(records: DataFrame, record: list[str], candidate: str, ref
     return p.filter(F.col("candidate").isNotNull() & F.col("reference").isNotNull()).withColumn("difference", F.col("candidate") - F.col("reference"))
 
 
-#: Drawn issues that a case holds at once.
-DRAWN = 1_000_000
-
-
-def block_bootstrap(values: DataFrame, keys: list[str], case: str, issue: str, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """Mean of case means of issue means, and its 2.5 and 97.5 percentiles when
-    cases are drawn again, and for each drawn case its issues with putting back.
-
-    A draw takes a Poisson(1) number of copies of a case; each copy draws as
-    many issues as the case has. The generator of a case is seeded by its hash,
-    so draws are the same wherever they run; a task hands on sums of draws."""
-    per_issue = values.filter(F.col("value").isNotNull()).groupBy(*keys, case, issue).agg(F.avg("value").alias("v"))
-    of_case = F.transform(F.array_sort(F.collect_list(F.struct(F.col(issue).alias("i"), "v"))), lambda x: x["v"])
-    per_case = per_issue.groupBy(*keys, case).agg(of_case.alias("vs"), F.avg("v").alias("v"))
-    hashed = per_case.select(*keys, F.xxhash64(F.lit(seed), *keys, case).alias("_h"), "vs")
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for _, group in d.groupby(keys, dropna=False, sort=False):
-                total, mass = np.zeros(draws), np.zeros(draws)
-                for h, v in zip(group["_h"].tolist(), group["vs"], strict=True):
-                    r = np.random.default_rng(h % (1 << 64))
-                    copies = r.poisson(1.0, draws)
-                    mass += copies
-                    if len(v) == 1:
-                        total += copies * v[0]
-                        continue
-                    of = np.repeat(np.arange(draws), copies)
-                    step = max(1, DRAWN // len(v))
-                    means = [v[r.integers(0, len(v), (min(step, len(of) - k), len(v)))].mean(1) for k in range(0, len(of), step)]
-                    total += np.bincount(of, np.concatenate(means), draws) if means else 0.0
-                out = pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "s": total, "w": mass})
-                for k, name in enumerate(keys):
-                    out.insert(k, name, group[name].iloc[0])
-                yield out
-
-    types = dict(hashed.dtypes)
-    sums = hashed.mapInPandas(drawn, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "draw int, s double, w double"]))
-    means = sums.groupBy(*keys, "draw").agg(ratio(F.sum("s"), F.sum("w")).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return per_case.groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("*").alias("cases")).join(ends, keys)
-
-
 def pool(events: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Pool-adjacent-violators: the nondecreasing fit of event rates."""
     sums: list[float] = []
@@ -187,19 +146,44 @@ def pool(events: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat(np.array(sums) / np.array(masses), counts)
 
 
-def isotonic(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Calibration curve of each key: x and y, nondecreasing.
+def _pooled(d: pd.DataFrame) -> pd.DataFrame:
+    """Adds to rows in order (e, w) the number of their pool, from 0."""
+    y = pool(d["e"].to_numpy(), d["w"].to_numpy())
+    return d.assign(pool=np.r_[0, np.cumsum(np.diff(y) > 0)].astype(np.int64) if len(d) else np.zeros(0, np.int64))
+
+
+def isotonic(samples: DataFrame, keys: list[str], slices: int | None = None) -> DataFrame:
+    """Calibration curve of each key: x, y (nondecreasing) and w (samples at x).
 
-    Samples are summed at each different probability first, so the pooling of a
-    key sees as many rows as it has different probabilities."""
-    sums = samples.filter(F.col("p").isNotNull()).groupBy(*keys, F.col("p").cast("double").alias("x")).agg(F.sum(F.col("event").cast("double")).alias("e"), F.count("*").cast("double").alias("w"))
+    Samples are summed at each different probability, which fall into slices by
+    ranges of it, and each slice is pooled by itself. Pools merge: what is one pool
+    within a slice is one within any range around it, so the pools of all slices are
+    pooled again, as rows of their own. Means of neighbouring pools rise and have
+    whole numbers of events and samples, so n samples have about n ** (2/3) pools at
+    most, and only these meet in one group of a key. Rows without a probability are
+    left out; an event that is null is none; null keys are a key; an empty table
+    gives no rows."""
+    sums = samples.filter(F.col("p").isNotNull()).groupBy(*keys, F.col("p").cast("double").alias("x")).agg(F.coalesce(F.sum(F.col("event").cast("double")), F.lit(0.0)).alias("e"), F.count("*").cast("double").alias("w"))
+    types = dict(sums.dtypes)
+    of_keys = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:  # a batch is a range of a slice, and pools merge all the same
+            part = uuid.uuid4().hex
+            for n, (_, own) in enumerate(d.groupby(keys, dropna=False, sort=False) if keys else [((), d)]):
+                own = _pooled(own.sort_values("x"))
+                yield own.assign(pool=own["pool"].map(lambda k, n=n: f"{part}-{n}-{k}"))
+
+    ranged = (sums.repartitionByRange(slices, *keys, "x") if slices else sums.repartitionByRange(*keys, "x")).sortWithinPartitions(*keys, "x")
+    rows = stored(ranged.mapInPandas(local, f"{of_keys}x double, e double, w double, pool string"))
 
     def fit(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("x")
-        return d.assign(y=pool(d["e"].to_numpy(), d["w"].to_numpy()))[[*keys, "x", "y", "w"]]
+        return d.assign(y=pool(d["e"].to_numpy(), d["w"].to_numpy()))[["pool", "y"]]
 
-    types = dict(sums.dtypes)
-    return sums.groupBy(*keys).applyInPandas(fit, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "x double, y double, w double"]))
+    pools = rows.groupBy(*keys, "pool").agg(F.min("x").alias("x"), F.sum("e").alias("e"), F.sum("w").alias("w"))
+    fitted = pools.groupBy(*keys).applyInPandas(fit, "pool string, y double")
+    return rows.join(fitted, "pool").select(*keys, "x", "y", "w")
 
 
 def coherent(calibrated: list[Column]) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydrolith.functions import physics
+from hydrolith.operators import ranks
 from hydrolith.plans.registry import load, query
 from hydrolith.plans.views import CELLS_SQL, SCANS_SQL, cells, scans
 
@@ -25,14 +26,10 @@ _STAGE = {"done": "value >= 20", "running": "value >= 10 AND value < 20", "queue
 )
 def stage_strip(spark, sf_dir):
     """The strip over the stages: how many are done, running, queued and failed,
-    and the nearest-rank median of the done ones. Stages are few; their values
-    are pooled by value before the rank is taken."""
-    s = scans(spark, sf_dir)
-    pooled = s.groupBy(F.col("status").alias("stage"), "value").agg(F.count("*").alias("n"))
-    o = Window.partitionBy("stage").orderBy("value")
-    done = pooled.filter("value >= 20").withColumns({"upto": F.sum("n").over(o), "total": F.sum("n").over(Window.partitionBy("stage"))})
-    p50 = done.filter("upto >= ceil(total * 0.5)").groupBy("stage").agg(F.min("value").alias("p50_done"))
-    counts = pooled.groupBy("stage").agg(*[F.coalesce(F.sum(F.when(F.expr(w), F.col("n"))), F.lit(0)).alias(n) for n, w in _STAGE.items()])
+    and the nearest-rank median of the done ones."""
+    s = scans(spark, sf_dir).withColumnRenamed("status", "stage")
+    counts = s.groupBy("stage").agg(*[F.count_if(F.expr(w)).alias(n) for n, w in _STAGE.items()])
+    p50 = ranks.nearest_ranks(s.filter(_STAGE["done"]), ["stage"], "value", {"p50_done": 0.5}).drop("n")
     return counts.join(p50, "stage", "left")
 
 

@@ -80,7 +80,7 @@ def grid_metric(spark, sf_dir):
 @query("covering_tiles")
 def covering_tiles(spark, sf_dir):
     p = pairs(spark, sf_dir).filter("observed IS NOT NULL").select("c", "y", "x")
-    return scores.covering_tiles(p, ["c"], 4, 2, 8)
+    return scores.covering_tiles(p, ["c"], 4, 2, 8, multiple=2)
 
 
 @query(

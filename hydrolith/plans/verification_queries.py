@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrolith.functions import basic as bs
-from hydrolith.operators import kernels, verification as ver
+from hydrolith.operators import kernels, resampling, verification as ver
 from hydrolith.plans.registry import load, query
 from hydrolith.plans.sequence_queries import GATES_SQL
 from hydrolith.plans.views import SCANS_SQL
@@ -190,6 +190,55 @@ def median_of_group_medians(spark, sf_dir):
     return m.groupBy("r").agg(F.round(F.median("m"), 6).alias("bias"), F.count("*").alias("groups"))
 
 
+@query("relative_bias_interval")
+def relative_bias_interval(spark, sf_dir):
+    """The median of customers' median prices, and its bootstrap interval."""
+    m = load(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 7).alias("r"), "o_custkey").agg(F.median("o_totalprice").alias("m"))
+    return resampling.median_bootstrap(m, ["r"], "m")
+
+
+SKILL_SQL = """SELECT l_suppkey % 3 AS threshold, CASE l_partkey % 4 WHEN 0 THEN 'persistence' WHEN 1 THEN 'translation' ELSE 'lk' END AS model, l_orderkey // 1000 AS "case", l_orderkey // 250 AS issue, l_linenumber * 6 AS lead,
+ CASE WHEN l_partkey % 19 <> 0 THEN l_quantity + CASE WHEN l_partkey % 4 > 1 THEN l_suppkey % 3 * 2 ELSE 0 END END AS score, CASE WHEN l_orderkey % 9999 <> 0 THEN 1 - l_discount END AS coverage FROM lineitem"""
+
+
+def skill_records(spark, sf_dir):
+    model = F.when(F.col("l_partkey") % 4 == 0, "persistence").when(F.col("l_partkey") % 4 == 1, "translation").otherwise("lk")
+    bonus = F.when(F.col("l_partkey") % 4 > 1, F.col("l_suppkey") % 3 * 2).otherwise(0)
+    return load(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 3).alias("threshold"), model.alias("model"), F.floor(F.col("l_orderkey") / 1000).alias("case"), F.floor(F.col("l_orderkey") / 250).alias("issue"), (F.col("l_linenumber") * 6).alias("lead"),
+        F.when(F.col("l_partkey") % 19 != 0, F.col("l_quantity") + bonus).alias("score"), F.when(F.col("l_orderkey") % 9999 != 0, 1 - F.col("l_discount")).alias("coverage"),
+    )
+
+
+_COMPARED_SQL = f"""WITH r AS ({SKILL_SQL}), m AS (SELECT threshold, model, "case", issue, avg(score) AS v FROM r WHERE score IS NOT NULL GROUP BY ALL),
+p AS (SELECT b.threshold, b.model AS baseline, b."case", avg(o.v - b.v) AS d FROM m b JOIN m o ON o.model = 'lk' AND b.model <> 'lk' AND o.threshold = b.threshold AND o."case" = b."case" AND o.issue = b.issue GROUP BY ALL),
+k AS (SELECT threshold, count(*) AS n, count(c) AS there, min(c) AS least FROM (SELECT threshold, "case", issue, lead, max(coverage) AS c FROM r WHERE model = 'lk' GROUP BY ALL) GROUP BY 1),
+e AS (SELECT threshold, count(DISTINCT "case") AS cases FROM r GROUP BY 1),
+c AS (SELECT threshold, baseline, count(*) AS evaluable, count(*) FILTER (d > 0) AS positive, avg(d) AS difference FROM p GROUP BY ALL),
+compared AS (SELECT threshold, baseline, cases, evaluable, positive, least AS least_coverage, n = there AND least >= 0.9 AS coverage_passes, n = there AND least >= 0.9 AND positive >= 0.8 * 10 AS passes, difference FROM c JOIN k USING (threshold) JOIN e USING (threshold))"""
+
+
+@query("paired_skill", f"{_COMPARED_SQL} SELECT * REPLACE (round(difference, 6) AS difference) FROM compared")
+def paired_skill(spark, sf_dir):
+    """The gates of a candidate against its baselines at three thresholds; their
+    intervals are those of ``paired_skill_interval``."""
+    return resampling.paired_skill(skill_records(spark, sf_dir), ["threshold"], "lk", 8, 0.9, draws=100).withColumn("difference", F.round("difference", 6)).drop("low", "high")
+
+
+@query("paired_skill_interval")
+def paired_skill_interval(spark, sf_dir):
+    return resampling.paired_skill(skill_records(spark, sf_dir), ["threshold"], "lk", 8, 0.9).select("threshold", "baseline", "difference", "low", "high")
+
+
+@query(
+    "skill_status",
+    f"""{_COMPARED_SQL} SELECT CASE WHEN min(cases) < 5 OR bool_or(evaluable < cases) THEN 'insufficient_evidence' WHEN bool_and(passes) FILTER (baseline = 'persistence') AND bool_and(passes) FILTER (baseline <> 'persistence') THEN 'lk_supported'
+    WHEN bool_and(passes) FILTER (baseline = 'persistence') AND NOT bool_and(passes) FILTER (baseline = 'translation') THEN 'translation_baseline_retained' ELSE 'skill_not_demonstrated' END AS status, count(*) AS comparisons, min(cases) AS cases FROM compared""",
+)
+def skill_status(spark, sf_dir):
+    return resampling.skill_status(resampling.paired_skill(skill_records(spark, sf_dir), ["threshold"], "lk", 8, 0.9, draws=100), 5)
+
+
 @query(
     "calibration_apply",
     "WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS p FROM lineitem) SELECT k, n, round(CASE WHEN p <= 0.1 THEN 0.05 WHEN p <= 0.5 THEN 0.05 + (p - 0.1) / 0.4 * 0.35 WHEN p <= 0.9 THEN 0.4 + (p - 0.5) / 0.4 * 0.55 ELSE 0.95 END, 6) AS calibrated FROM p",
@@ -215,7 +264,7 @@ def pava_isotonic(spark, sf_dir):
 
 @query("block_bootstrap_ci")
 def block_bootstrap_ci(spark, sf_dir):
-    return ver.block_bootstrap(records(spark, sf_dir).filter("value IS NOT NULL"), ["algorithm"], "issue", "lead")
+    return resampling.block_bootstrap(records(spark, sf_dir).filter("value IS NOT NULL"), ["algorithm"], "issue", "lead")
 
 
 @query("radial_spectrum")

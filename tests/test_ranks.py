@@ -22,21 +22,33 @@ def by_key():
     return {k: sorted(v for key, v in ROWS if key == k and v is not None) for k in ("a", "b", None, "c")}
 
 
-def test_nearest_ranks(values):
-    got = {r.k: r for r in ranks.nearest_ranks(values, ["k"], "v", {"lo": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}).collect()}
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_nearest_ranks(values, few):
+    """By one sorted array a key, and by slices of 100 rows."""
+    got = {r.k: r for r in ranks.nearest_ranks(values, ["k"], "v", {"lo": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}, few=few, slice_rows=100).collect()}
     for k, v in by_key().items():
         want = [v[max(1, math.ceil(len(v) * q)) - 1] if v else None for q in (0.0, 0.5, 0.95, 1.0)]
         assert [got[k].n, got[k].lo, got[k].mid, got[k].high, got[k].top] == [len(v), *want]
 
 
-def test_interpolated(values):
-    got = {r.k: r.q for r in ranks.interpolated(values, ["k"], "v", {"q": 0.37}).collect()}
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_interpolated(values, few):
+    got = {r.k: r.q for r in ranks.interpolated(values, ["k"], "v", {"q": 0.37}, few=few, slice_rows=100).collect()}
     for k, v in by_key().items():
         assert got[k] == (pytest.approx(np.quantile(v, 0.37)) if v else None)
 
 
 def test_ranks_of_an_empty_table(values):
-    assert ranks.nearest_ranks(values.limit(0), ["k"], "v", {"mid": 0.5}).count() == 0
+    for few in (10**6, 0):
+        assert ranks.nearest_ranks(values.limit(0), ["k"], "v", {"mid": 0.5}, few=few).count() == 0
+
+
+def test_slices_follow_the_rows(values):
+    """A hot key has as many slices as its rows ask for, and no sort of it all."""
+    sliced = ranks.nearest_ranks(values, ["k"], "v", {"mid": 0.5}, few=0, slice_rows=10)
+    plan = sliced._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in plan and "0.99" in plan
+    assert {r.k: r.mid for r in sliced.collect()}["a"] == by_key()["a"][499]
 
 
 @settings(max_examples=60, deadline=None)

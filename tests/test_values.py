@@ -11,7 +11,7 @@ from hydrolith import profiles
 from hydrolith.functions import basic as bs
 from hydrolith.functions import geodesy
 from hydrolith.functions import physics as ph
-from hydrolith.operators import asof, grids, kernels, sequences, verification as ver
+from hydrolith.operators import asof, grids, kernels, resampling, sequences, verification as ver
 from hydrolith.profiles import Waterline, flag
 
 
@@ -204,7 +204,7 @@ def test_bootstrap_draws_cases_and_issues(spark):
     cases = {"a": {0: g.normal(0, 1, 12)}, "b": {c: g.normal(c / 4, 2, 5) for c in range(40)}}
     rows = [(k, c, i, float(v)) for k, of in cases.items() for c, vs in of.items() for i, v in enumerate(vs)] + [("b", 0, 0, None)]
     df = spark.createDataFrame(rows, "k string, c long, i long, value double")
-    got = {r.k: r for r in ver.block_bootstrap(df, ["k"], "c", "i").collect()}
+    got = {r.k: r for r in resampling.block_bootstrap(df, ["k"], "c", "i").collect()}
     for k, of in cases.items():
         vs = list(of.values())
         draws = [np.mean([g.choice(vs[c], len(vs[c])).mean() for c in g.integers(0, len(vs), len(vs))]) for _ in range(2000)]
