@@ -66,10 +66,12 @@ class Runs:
     def add(self, batch: DataFrame) -> None:
         """Takes in the keys of a batch (h1, h2, doc_id) that no run has, each with
         the largest doc_id that holds it (null only where no other does)."""
-        own = batch.groupBy("h1", "h2").agg(F.max("doc_id").alias("last"))
+        path = f"{self.base}/batch-{self.made}"  # stored: the optimizer would else join its lines, not its keys
+        own = stored(batch.groupBy("h1", "h2").agg(F.max("doc_id").alias("last")), path)
         for run in self.each():
             own = own.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         self._write(own, 0)
+        remove(self.spark, path)
         self.compact()
 
     def compact(self) -> None:
