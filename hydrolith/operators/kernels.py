@@ -28,9 +28,10 @@ def _keyed(d: pd.DataFrame, keys: list[str], out: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def run_labels(ray: np.ndarray, first: np.ndarray, last: np.ndarray, rays: int) -> np.ndarray:
+def run_labels(ray: np.ndarray, first: np.ndarray, last: np.ndarray, rays: int, overlap: int = 1) -> np.ndarray:
     """Component of each run (sorted by ray, first): the least run that it is
-    linked with. Runs are linked if they share a gate on neighbouring rays."""
+    linked with. Runs are linked if they share ``overlap`` gates on neighbouring
+    rays."""
     span = int(last.max()) + 2
     starts, ends = ray * span + first, ray * span + last
     # The runs of the next ray that end at my first gate or later and begin at my last or before.
@@ -39,6 +40,9 @@ def run_labels(ray: np.ndarray, first: np.ndarray, last: np.ndarray, rays: int)
     n = np.maximum(hi - lo, 0)
     a = np.repeat(np.arange(len(ray)), n)
     b = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    if overlap > 1:
+        enough = np.minimum(last[a], last[b]) - np.maximum(first[a], first[b]) + 1 >= overlap
+        a, b = a[enough], b[enough]
     label = np.arange(len(ray))
     while True:
         # Roots take the least root that they touch, then every run jumps to its root.
