@@ -16,7 +16,10 @@ nodes below give, so they are one sum over (node, ancestor) and no walk up level
 by level.
 
 Elements say what they are, too (``markup.Prior``): importances are a mean of the
-tree's and the prior's. A branch is removed from each page of the host if its
+tree's and the prior's. Menus, footers, forms, comments and the like are so sure of
+it that the tree is not asked; a word that an article may use for a part of its own
+(``markup.DOUBTED``) yields to a tree that has seen it with other text each time, and
+stands where the tree has seen too few pages. A branch is removed from each page of the host if its
 composite is under ``LEAST`` and no content in it reaches ``SURE``. An article, or
 what names itself so, is the page's only if it holds most of what is left.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from hydrolith.llm.batches import give_back
 from hydrolith.llm.common import cut, small_batches, table
-from hydrolith.llm.markup import ARTICLE, CUE, MAIN, OWN, Block, Element, Prior, blocks, node_id
+from hydrolith.llm.markup import ARTICLE, CUE, DOUBTED, MAIN, NEUTRAL, OWN, Block, Element, Prior, blocks, node_id
 
 GAMMA = 0.9
 LEAST, SURE = 0.6, 0.8
@@ -80,8 +83,8 @@ COUNTS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, node, kind (0 a page, 1 a style, 2 a text), feature, the styles
-    above (of kind 0), pages."""
+    """host, node, kind (0 a page, 1 a style, 2 a text, 3 a page where the element's
+    name is in doubt), feature, the styles above (of kind 0), pages."""
     held: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -96,6 +99,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, node, style, above in named(blocks(page or "")[0]):
                 seen.add((site, node, 0, 0, above))
                 seen.add((site, node, 1, style, None) if style else (site, node, 2, node_id(x.text), None))
+                if style and x.prior is DOUBTED:
+                    seen.add((site, node, 3, 0, None))
             held.update(seen)
         give_back()
         if len(held) > HELD:
@@ -105,9 +110,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, own (its presentation, or a leaf's content), composite
-    and top (the most content in the branch) of each node that is on ``PAGES``
-    pages of its host. ``pages`` has host and html."""
+    """host, node, pages, own (its presentation, or a leaf's content), doubted (its
+    name is), composite and top (the most content in the branch) of each node that is
+    on ``PAGES`` pages of its host. ``pages`` has host and html."""
     small_batches(pages.sparkSession, 500)
     rows = pages.mapInArrow(_counted, "host string, node long, kind byte, feature long, above array<long>, n long")
     counted = cut(rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.first("above", ignorenulls=True).alias("above")))
@@ -116,7 +121,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
     t = counted.groupBy("host", "node").agg(
         of(0, n).alias("pages"), F.first("above", ignorenulls=True).alias("above"),
         of(1, F.lit(1.0)).alias("styles"), of(1, n).alias("s"), of(1, n * F.log(n)).alias("sl"), of(1, F.when(n < PAGES, n).otherwise(0.0)).alias("rare"),
-        of(2, F.lit(1.0)).alias("texts"), of(2, F.log(n)).alias("tl"),
+        (of(3, n) > 0).alias("doubted"), of(2, F.lit(1.0)).alias("texts"), of(2, F.log(n)).alias("tl"),
     ).filter(F.col("pages") >= PAGES)
     m = F.log("pages")
     leaf = F.col("texts") > 0
@@ -138,7 +143,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
     up = paths.select("host", "gives", "most", F.explode(F.aggregate("path", start, step, lambda acc: acc["to"])).alias("x"))
     each = up.select("host", F.col("x.over").alias("node"), (F.col("gives") * F.col("x.w")).alias("gives"), "most").union(t.select("host", "node", "gives", "most"))
     whole = each.groupBy("host", "node").agg(F.sum("gives").alias("composite"), F.max("most").alias("top"))
-    return t.select("host", "node", F.col("pages").cast("long").alias("pages"), "own").join(whole, ["host", "node"])
+    return t.select("host", "node", F.col("pages").cast("long").alias("pages"), "own", "doubted").join(whole, ["host", "node"])
 
 
 def weak(composite: float, top: float, prior: Prior) -> bool:
@@ -151,7 +156,8 @@ def main_blocks(page: str, low: dict[int, tuple[float, float]]) -> tuple[list[st
     """The texts of the blocks that stay, in order; how many of the branches'
     blocks went that the tree alone removes, and how many only with the priors.
 
-    ``low`` has composite and top of the host's nodes of little importance. A
+    ``low`` has composite and top of the host's nodes of little importance, and of
+    those whose name is in doubt. A
     kind of container is taken for the page's article only if it holds ``MOST``
     of the text that is left and is not in links: a byline or a teaser in one
     does not stand for the page. A page that the tree would empty (a copy of its
@@ -162,8 +168,8 @@ def main_blocks(page: str, low: dict[int, tuple[float, float]]) -> tuple[list[st
         block = isinstance(x, Block)
         over = gone[id(x.parent)] if x.parent is not None else (False, False, False)
         prior = (OWN if x.parent.within else (1.0, 0.0)) if block else x.prior
-        own = weak(1.0, 1.0, prior)
-        gone[id(x)] = over[0] or own or node in low and weak(*low[node], prior), over[1] or own, over[2] or node in low
+        own = weak(1.0, 1.0, prior) or prior is DOUBTED and node not in low
+        gone[id(x)] = over[0] or own or node in low and weak(*low[node], prior), over[1] or own, over[2] or node in low and weak(*low[node], NEUTRAL)
     plain = [b for b in found if not gone[id(b)][1]]
     kept = [b for b in found if not gone[id(b)][0]]
     by_tree = sum(gone[id(b)][0] and gone[id(b)][2] for b in found)
@@ -227,7 +233,7 @@ def extract(pages: DataFrame, few: int = BROADCAST_NODES) -> DataFrame:
     """
     p = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
     tree = site_tree(p.select("host", "html"))
-    low = cut(tree.filter((F.col("composite") < LEAST) & (F.col("top") < SURE)).select("host", "node", "composite", "top"))
+    low = cut(tree.filter((F.col("composite") < LEAST) & (F.col("top") < SURE) | F.col("doubted")).select("host", "node", "composite", "top"))
     joined = with_weak_nodes(p, low, few)
     return joined.select("page_id", "url", "html", "low").mapInArrow(_extracted, "page_id long, url string, text string, n_tree long, n_prior long")
 

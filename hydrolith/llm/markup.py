@@ -43,6 +43,9 @@ NOISE_WORDS = frozenset(
     "recommendations popular trending sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar topbar copyright "
     "adbox adslot adsbygoogle cookiebar cookiebanner cookieconsent mainmenu navmenu sidenav subnav".split()
 )
+#: Of these, words that in an article may as well name a part of it: there the site's
+#: tree decides.
+DOUBTFUL_WORDS = frozenset("discussion menu promotion share sharing".split())
 #: Words that say where or how such a part stands, not what it is.
 FRAME_WORDS = frozenset(
     "box bar block list section area wrap wrapper container slot unit inner outer item items left right top bottom main site page global primary secondary header "
@@ -63,6 +66,9 @@ Prior = tuple[float, float]
 NEUTRAL: Prior = (1.0, 0.0)
 NOISE: Prior = (0.0, 0.8)
 NAMED: Prior = (0.0, 0.7)
+#: What is met on enough pages and never the same stays in spite of it; without
+#: evidence from the tree it is noise.
+DOUBTED: Prior = (0.0, 0.2)
 OWN: Prior = (1.0, 0.5)
 
 
@@ -93,14 +99,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)}
 
 
-def named_noise(attrs: dict[str, str], within: int) -> bool:
-    """Whether a class or the id says noise and nothing else: each of its words
-    is a noise or a frame word, and one is a noise word."""
+def named_noise(attrs: dict[str, str], within: int) -> set[str]:
+    """The noise words of a class or the id that says noise and nothing else: each
+    of its words is a noise or a frame word, and one is a noise word. Of several such
+    names, the words of all."""
+    found = set()
     for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
         words = {w.lower() for w in TOKEN.findall(name) if len(w) > 1}
-        if words <= NOISE_WORDS | FRAME_WORDS and (words & NOISE_WORDS or words == {"header"} and not within):
-            return True
-    return False
+        if words <= NOISE_WORDS | FRAME_WORDS:
+            found |= words & NOISE_WORDS or (words & {"header"} if words == {"header"} and not within else set())
+    return found
 
 
 @lru_cache(20_000)
@@ -110,7 +118,7 @@ def _kind(tag: str, named: str, within: int, cut: bool) -> tuple[str, Prior, int
     attrs = _attributes(named)
     words = {w.lower() for w in TOKEN.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else set()
     role = attrs.get("role", "").lower()
-    noisy = bool(attrs) and named_noise(attrs, within)
+    noisy = named_noise(attrs, within) if attrs else set()
     outer = within
     if tag == "article" or "articlebody" in attrs.get("itemprop", "").lower():
         within |= ARTICLE
@@ -124,7 +132,7 @@ def _kind(tag: str, named: str, within: int, cut: bool) -> tuple[str, Prior, int
     if tag not in BLOCK:
         return key, NEUTRAL, within, said or hidden or cut
     if said or hidden or noisy and tag in HOLDERS:
-        prior = NOISE
+        prior = DOUBTED if not said and not hidden and outer & (ARTICLE | MAIN) and noisy <= DOUBTFUL_WORDS else NOISE
     elif noisy and not outer and tag not in ("html", "body", "main", "article"):
         prior = NAMED
     else:
