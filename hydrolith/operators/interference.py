@@ -32,6 +32,17 @@ class Radial:
     drop_db: float = 12.0
     flagged: float = 0.95
     diagnostic: float = 0.5
+    broad_valid: float = 0.40
+    broad_dbz: float = 45.0
+    broad_fraction: float = 0.60
+    broad_run: int = 350
+    broad_growth_db: float = 12.0
+    broad_iqr_db: float = 6.0
+    context_evidence: int = 2
+    persistence: float = 0.6
+    veto_consistency: float = 0.6
+    promotion_consistency: float = 0.2
+    vertical_support: float = 0.2
 
 
 @dataclass(frozen=True)
@@ -43,6 +54,17 @@ class Fans:
     high_fraction: float = 0.30
     high_run: int = 40
     growth_db: float = 6.0
+    extent_valid_fraction: float = 0.35
+    extent_run: int = 40
+    extent_fraction: float = 0.85
+    extent_ratio: float = 0.9
+    edge_rays: int = 2
+    edge_valid_fraction: float = 0.35
+    edge_high_fraction: float = 0.2
+    edge_extent_fraction: float = 0.7
+    edge_extent_ratio: float = 0.8
+    edge_iqr_db: float = 6.0
+    edge_range_m: float = 20_000.0
 
 
 @dataclass(frozen=True)
@@ -94,66 +116,137 @@ def runs(gates: DataFrame, ray: list[str], where: Column) -> DataFrame:
     return gates.filter(where).withColumn("_run", F.col("gate") - F.row_number().over(w))
 
 
-def radial_evidence(gates: DataFrame, sweep: list[str], p: Radial = Radial()) -> DataFrame:
-    """A row for each ray with valid gates: valid_gates, longest_run, difference
-    (median distance from the rays beside), segments, evidence_gates, drop,
-    type (reverse, intermittent, short_range, narrow, none) and probability.
+def _half(c: Column) -> Column:
+    return F.percentile(c, F.lit(0.5))
+
+
+def _longest(gates: DataFrame, ray: list[str], where: Column, name: str) -> DataFrame:
+    return runs(gates, ray, where).groupBy(*ray, "_run").agg(F.count("*").alias("n")).groupBy(*ray).agg(F.max("n").alias(name))
+
 
-    A segment is a run of at least ``p.segment`` gates that stand over the rays
-    beside by ``p.candidate_db``. A ray that also fills enough gates, in a long
-    run, apart from its neighbours, is flagged; else its type is a candidate of
-    the diagnostic probability."""
+def radial_evidence(gates: DataFrame, sweep: list[str], p: Radial = Radial(), context: DataFrame | None = None) -> DataFrame:
+    """A row for each ray with valid gates: valid_gates, longest_run, difference
+    (median distance from the rays beside), segments, evidence_gates, drop, type (broad,
+    reverse, intermittent, short_range, narrow, none), probability, dense, promoted and
+    vetoed.
+
+    A ray that is nearly full of strong values, grows outwards and follows a source's
+    power with the number of the gate is broad. A segment is a run of at least
+    ``p.segment`` gates that stand over the rays beside by ``p.candidate_db``. A ray
+    that also fills enough gates, in a long run, apart from its neighbours, is dense
+    and flagged; else its type is a candidate of the diagnostic probability. With
+    ``context`` (sweep, ray, persistence in time, consistency with other radars, median
+    vertical support of its evidence; null: unknown) a candidate is promoted to a flag
+    by enough independent evidence, and a consistent one is vetoed."""
     ray = [*sweep, "ray"]
     b = beside(gates, sweep, p.rays)
     quarter = max(p.gates // 4, 1)
+    near, far = F.when(F.col("gate") < quarter, F.col("dbzh")), F.when(F.col("gate") >= p.gates - quarter, F.col("dbzh"))
+    power = F.col("dbzh") - F.lit(20.0) * F.log10((F.col("gate") + 1) / 1000.0)  # by the gate's number, as the signature has it
     base = b.groupBy(*ray).agg(
-        F.count("*").alias("valid_gates"), F.percentile(F.abs(F.col("dbzh") - F.col("baseline")), F.lit(0.5)).alias("difference"),
-        (F.percentile(F.when(F.col("gate") < quarter, F.col("dbzh")), F.lit(0.5)) - F.percentile(F.when(F.col("gate") >= p.gates - quarter, F.col("dbzh")), F.lit(0.5))).alias("drop"),
+        F.count("*").alias("valid_gates"), _half(F.abs(F.col("dbzh") - F.col("baseline"))).alias("difference"), (_half(near) - _half(far)).alias("drop"),
+        F.count_if(F.col("dbzh") >= p.broad_dbz).alias("_high"), (F.percentile(power, F.lit(0.75)) - F.percentile(power, F.lit(0.25))).alias("_iqr"),
     )
-    longest = runs(b, ray, F.lit(True)).groupBy(*ray, "_run").agg(F.count("*").alias("n")).groupBy(*ray).agg(F.max("n").alias("longest_run"))
     parts = runs(b, ray, F.col("dbzh") - F.col("baseline") >= p.candidate_db).groupBy(*ray, "_run").agg(F.count("*").alias("n"), F.max("range_m").alias("far")).filter(F.col("n") >= p.segment)
     segments = parts.groupBy(*ray).agg(F.count("*").alias("segments"), F.sum("n").alias("evidence_gates"), F.max("far").alias("far_m"))
-    r = base.join(longest, ray).join(segments, ray, "left").na.fill(0, ["segments", "evidence_gates"])
-    dense = (F.col("valid_gates") / F.lit(p.gates) >= p.valid_fraction) & (F.col("longest_run") >= p.run) & F.coalesce(F.col("difference") >= p.difference_db, F.lit(False))
+    r = base.join(_longest(b, ray, F.lit(True), "longest_run"), ray).join(segments, ray, "left").join(_longest(b, ray, F.col("dbzh") >= p.broad_dbz, "_high_run"), ray, "left").na.fill(0, ["segments", "evidence_gates", "_high_run"])
+    filled = F.col("valid_gates") / F.lit(p.gates)
+    broad = (filled >= p.broad_valid) & (F.col("_high") / F.col("valid_gates") >= p.broad_fraction) & (F.col("_high_run") >= p.broad_run) & F.coalesce(F.col("drop") <= -p.broad_growth_db, F.lit(False)) & (F.col("valid_gates") > 1) & (F.col("_iqr") <= p.broad_iqr_db)
+    dense = (filled >= p.valid_fraction) & (F.col("longest_run") >= p.run) & F.coalesce(F.col("difference") >= p.difference_db, F.lit(False))
     kind = (
-        F.when((F.col("segments") == 1) & (F.col("evidence_gates") >= 0.5 * F.col("valid_gates")) & F.coalesce(F.col("drop") >= p.drop_db, F.lit(False)), "reverse")
+        F.when(broad, "broad").when((F.col("segments") == 1) & (F.col("evidence_gates") >= 0.5 * F.col("valid_gates")) & F.coalesce(F.col("drop") >= p.drop_db, F.lit(False)), "reverse")
         .when(F.col("segments") >= p.intermittent, "intermittent").when((F.col("segments") > 0) & (F.col("far_m") <= p.short_range_m), "short_range")
         .when((F.col("segments") > 0) | dense, "narrow").otherwise("none")
     )
-    level = F.when(dense, p.flagged).when(F.col("segments") > 0, p.diagnostic).otherwise(0.0)
-    return r.select(*ray, "valid_gates", "longest_run", "difference", "segments", "evidence_gates", F.coalesce("drop", F.lit(0.0)).alias("drop"), kind.alias("type"), level.alias("probability"))
+    r = r.withColumns({"type": kind, "dense": dense | broad, "weak": ~dense & ~broad & (F.col("segments") > 0)})
+    if context is None:
+        r = r.withColumns({"promoted": F.lit(False), "vetoed": F.lit(False)})
+    else:
+        known = lambda c: F.coalesce(c, F.lit(False))
+        r = r.join(context.select(*ray, "persistence", "consistency", "vertical"), ray, "left")
+        veto = known(F.col("consistency") >= p.veto_consistency)
+        votes = F.lit(1) + known(F.col("vertical") <= p.vertical_support).cast("int") + known(F.col("persistence") >= p.persistence).cast("int") + known(F.col("consistency") <= p.promotion_consistency).cast("int")
+        r = r.withColumns({"vetoed": F.col("weak") & veto, "promoted": F.col("weak") & ~veto & (votes >= p.context_evidence)})
+    level = F.when(F.col("dense") | F.col("promoted"), p.flagged).when(F.col("weak"), p.diagnostic).otherwise(0.0)
+    return r.select(*ray, "valid_gates", "longest_run", "difference", "segments", "evidence_gates", F.coalesce("drop", F.lit(0.0)).alias("drop"), "type", level.alias("probability"), "dense", "promoted", "vetoed")
+
+
+def evidence_gates(gates: DataFrame, rays: DataFrame, sweep: list[str], p: Radial = Radial()) -> DataFrame:
+    """The gates that rays' evidence marks, with type and probability: all valid ones
+    of a dense ray, of others those of their segments only."""
+    ray = [*sweep, "ray"]
+    b = beside(gates, sweep, p.rays)
+    over = runs(b, ray, F.col("dbzh") - F.col("baseline") >= p.candidate_db)
+    inside = over.withColumn("_n", F.count("*").over(Window.partitionBy(*ray, "_run"))).filter(F.col("_n") >= p.segment).select(*ray, "gate", F.lit(True).alias("_in"))
+    kinds = rays.filter("probability > 0").select(*ray, "type", "probability", "dense")
+    return b.join(inside, [*ray, "gate"], "left").join(kinds, ray).filter("dense OR _in").select(*ray, "gate", "type", "probability")
 
 
-def boundary(gates: DataFrame, sweep: list[str], gates_in_ray: int, p: Fans = Fans()) -> DataFrame:
-    """A row for each ray with valid gates: whether it looks like a part of a
-    fan, which is full, strong, in a long strong run, and grows outwards."""
+def boundary(gates: DataFrame, sweep: list[str], gates_in_ray: int, reach_m: float, p: Fans = Fans()) -> DataFrame:
+    """A row for each ray with valid gates: extent (how far it reaches, as a share of
+    ``reach_m``), like_fan (full, strong, in a long strong run, growing outwards),
+    fills (measured enough, in a long run, and growing) and edge_like (that, strong and
+    of a source's power with range, but for its extent)."""
     ray = [*sweep, "ray"]
-    valid = gates.filter("dbzh IS NOT NULL")
     quarter = max(gates_in_ray // 4, 1)
+    o = Window.partitionBy(*ray)
+    valid = gates.filter("dbzh IS NOT NULL").withColumns({"_i": F.row_number().over(o.orderBy("gate")), "_n": F.count("*").over(o)})
     high = F.col("dbzh") >= p.high_dbz
+    fourth = F.greatest(F.floor(F.col("_n") / 4), F.lit(1))
+    power = F.when(F.col("range_m") >= p.edge_range_m, F.col("dbzh") - F.lit(20.0) * F.log10(F.greatest(F.col("range_m"), F.lit(1.0)) / 1000.0))
     base = valid.groupBy(*ray).agg(
-        F.count("*").alias("n"), F.count_if(high).alias("high"),
-        (F.percentile(F.when(F.col("gate") >= gates_in_ray - quarter, F.col("dbzh")), F.lit(0.5)) - F.percentile(F.when(F.col("gate") < quarter, F.col("dbzh")), F.lit(0.5))).alias("growth"),
+        F.count("*").alias("n"), F.count_if(high).alias("high"), (F.max("range_m") / reach_m).alias("extent"),
+        (_half(F.when(F.col("gate") >= gates_in_ray - quarter, F.col("dbzh"))) - _half(F.when(F.col("gate") < quarter, F.col("dbzh")))).alias("growth"),
+        (_half(F.when(F.col("_i") > F.col("_n") - fourth, F.col("dbzh"))) - _half(F.when(F.col("_i") <= fourth, F.col("dbzh")))).alias("own_growth"),
+        F.when(F.count(power) > 1, F.percentile(power, F.lit(0.75)) - F.percentile(power, F.lit(0.25))).alias("iqr"),
     )
-    strong = runs(valid, ray, high).groupBy(*ray, "_run").agg(F.count("*").alias("n")).groupBy(*ray).agg(F.max("n").alias("run"))
-    r = base.join(strong, ray, "left")
-    looks = (F.col("n") / F.lit(gates_in_ray) >= p.valid_fraction) & (F.col("high") / F.col("n") >= p.high_fraction) & (F.col("run") >= p.high_run) & (F.col("growth") >= p.growth_db)
-    return r.select(*ray, F.coalesce(looks, F.lit(False)).alias("like_fan"))
+    r = base.join(_longest(valid, ray, high, "run"), ray, "left").join(_longest(valid, ray, F.lit(True), "all_run"), ray).na.fill(0, ["run"])
+    share, strong = F.col("n") / F.lit(gates_in_ray), F.col("high") / F.col("n")
+    looks = (share >= p.valid_fraction) & (strong >= p.high_fraction) & (F.col("run") >= p.high_run) & (F.col("growth") >= p.growth_db)
+    grows = (F.col("n") > 1) & (F.col("own_growth") >= p.growth_db)
+    fills = (share >= p.extent_valid_fraction) & (F.col("all_run") >= p.extent_run) & grows
+    edge = (share >= p.edge_valid_fraction) & (F.col("all_run") >= p.extent_run) & (strong >= p.edge_high_fraction) & (F.col("run") >= p.high_run) & grows & (F.col("iqr") <= p.edge_iqr_db)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return r.select(*ray, "extent", yes(looks).alias("like_fan"), yes(fills).alias("fills"), yes(edge).alias("edge_like"))
 
 
 def closed_fans(rays: DataFrame, sweep: list[str], n_rays: int, p: Fans = Fans()) -> DataFrame:
-    """Adds ``closed`` to rays (``hard``, ``like_fan``): rays in a short gap
-    between two hard ones around the circle that look like their fan. ``rays``
-    has a row for every ray of a sweep."""
+    """Adds ``closed`` to rays (``hard``, ``extent`` and what ``boundary`` has; a row for
+    every ray of a sweep): rays in a short gap between two hard ones around the circle
+    that look like their fan, or fill as much of the range as these do."""
     w = Window.partitionBy(*sweep)
     o = w.orderBy("ray")
-    at = F.when(F.col("hard"), F.col("ray"))
+    at = F.when(F.col("hard"), F.struct("ray", "extent"))
     before = F.last(at, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(at, ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing))
-    wrapped_before, wrapped_after = F.coalesce(before, F.max(at).over(w) - n_rays), F.coalesce(after, F.min(at).over(w) + n_rays)
-    gap = wrapped_after - wrapped_before - 1
-    bounded = ~F.col("hard") & (F.count(at).over(w) >= 2) & (gap <= p.gap_rays) & (F.lit(2.0) / (gap + 2.0) >= p.seed_fraction)
-    return rays.withColumn("closed", F.coalesce(bounded & F.col("like_fan"), F.lit(False)))
+    hard_low, hard_high = F.min(F.when(F.col("hard"), F.struct("ray", "extent"))).over(w), F.max(F.when(F.col("hard"), F.struct("ray", "extent"))).over(w)
+    turned = lambda x, by: F.struct((x["ray"] + by).alias("ray"), x["extent"].alias("extent"))
+    r = rays.withColumns({"_l": F.coalesce(before, turned(hard_high, -n_rays)), "_r": F.coalesce(after, turned(hard_low, n_rays)), "_k": F.count(at).over(w)})
+    gap = F.col("_r.ray") - F.col("_l.ray") - 1
+    bounded = ~F.col("hard") & (F.col("_k") >= 2) & (gap <= p.gap_rays) & (F.lit(2.0) / (gap + 2.0) >= p.seed_fraction)
+    reaches = F.col("extent") >= F.least(F.lit(p.extent_fraction), F.least("_l.extent", "_r.extent") * p.extent_ratio)
+    return r.withColumn("closed", F.coalesce(bounded & (F.col("like_fan") | (F.col("fills") & reaches)), F.lit(False))).drop("_l", "_r", "_k")
+
+
+def extended_fans(rays: DataFrame, sweep: list[str], n_rays: int, p: Fans = Fans()) -> DataFrame:
+    """Adds ``extended``: the rays that a fan (``hard`` ones side by side) takes in
+    beyond its ends, one after another while they are like its edge and reach nearly as
+    far as the ray at its end, ``p.edge_rays`` at most. The circle is laid out twice, so
+    a fan goes over its seam; one pass of windows, without a step for each ray."""
+    r = rays.withColumn("_at", F.explode(F.array(F.col("ray"), F.col("ray") + n_rays)))
+    out = None
+    for back in (False, True):
+        o = Window.partitionBy(*sweep).orderBy(F.desc("_at") if back else F.asc("_at"))
+        end = F.last(F.when(F.col("hard"), F.struct("_at", "extent")), ignorenulls=True).over(o)
+        x = r.withColumn("_end", end).filter("_end IS NOT NULL AND NOT hard")
+        distance = F.abs(F.col("_at") - F.col("_end._at"))
+        reaches = F.col("extent") >= F.greatest(F.lit(p.edge_extent_fraction), F.col("_end.extent") * p.edge_extent_ratio)
+        like = F.coalesce(F.col("edge_like") & reaches, F.lit(False))
+        from_end = Window.partitionBy(*sweep, F.col("_end._at")).orderBy(F.desc("_at") if back else F.asc("_at"))
+        x = x.withColumn("_broken", F.max((~like).cast("int")).over(from_end)).filter((F.col("_broken") == 0) & (distance <= p.edge_rays))
+        found = x.select(*sweep, "ray")
+        out = found if out is None else out.union(found)
+    return rays.join(out.distinct().withColumn("extended", F.lit(True)), [*sweep, "ray"], "left").na.fill(False, ["extended"])
 
 
 def range_signatures(gates: DataFrame, sweep: list[str], p: Signature = Signature()) -> DataFrame:

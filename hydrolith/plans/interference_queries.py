@@ -1,6 +1,8 @@
 """Interference detectors over the driver's tables, with SQL.
 
-Eight sweeps of 36 rays and 40 gates; every sixth ray carries a spike."""
+A sweep is 1,000 orders: 36 rays of 40 gates. Of twelve rays one is full of a
+source, one strong and one candidate of each kind; between two full ones some rays
+are like their fan and some are not; moments vary with the rows."""
 
 from __future__ import annotations
 
@@ -10,58 +12,100 @@ from hydrolith.operators import evidence, interference
 from hydrolith.plans.registry import load, query
 
 RAYS, GATES = 36, 40
-RADIAL = interference.Radial(rays=RAYS, gates=GATES, run=16, segment=4, short_range_m=60_000.0)
-FANS = interference.Fans(gap_rays=5, seed_fraction=0.25, valid_fraction=0.3, high_dbz=14.0, high_fraction=0.1, high_run=2, growth_db=0.5)
+RADIAL = interference.Radial(rays=RAYS, gates=GATES, run=8, segment=4, short_range_m=30_000.0, difference_db=20.0, broad_dbz=35.0, broad_run=8, broad_growth_db=9.0, broad_iqr_db=7.0)
+FANS = interference.Fans(gap_rays=3, seed_fraction=0.3, valid_fraction=0.6, high_dbz=21.0, high_fraction=0.4, high_run=4, growth_db=5.5, extent_valid_fraction=0.5, extent_run=6, edge_rays=2, edge_high_fraction=0.3, edge_iqr_db=5.0, edge_valid_fraction=0.5)
 SIGNATURE = interference.Signature(echo_dbz=5.0, samples=5, span_m=8_000.0, log_span_db=1.0, residual_p90_db=4.0, growth_db=1.0, high_dbz=18.0)
 
-_AT = "l_suppkey % 8 AS sweep, l_partkey % 36 AS ray, l_orderkey % 40 AS gate"
-_VALUE = """CASE WHEN p % 13 = 0 THEN NULL ELSE CAST(5 AS DOUBLE) + CAST(gate AS DOUBLE) / 4 + CAST(CASE WHEN (ray + sweep) % 6 = 0 THEN 20 + gate % 3 ELSE o % 7 END AS DOUBLE) END"""
+_AT = "l_orderkey {div} 1000 AS sweep, l_partkey % 36 AS ray, (l_suppkey * 7 + l_linenumber * 11 + l_orderkey * 3) % 40 AS gate"
+_C = "(ray + sweep) % 12"
+_VALUE = f"""CASE WHEN (p + o) % 19 = 0 THEN NULL WHEN {_C} = 0 THEN CAST(32 AS DOUBLE) + CAST(gate AS DOUBLE) / 3 + CAST(o % 3 AS DOUBLE) WHEN {_C} = 9 AND sweep % 2 = 0 THEN CAST(30 AS DOUBLE) + CAST(gate % 3 AS DOUBLE)
+ WHEN {_C} = 10 THEN CAST(12 AS DOUBLE) + CAST(gate AS DOUBLE) / 3 + CAST(o % 4 AS DOUBLE) WHEN {_C} = 11 AND sweep % 3 = 0 THEN CAST(6 AS DOUBLE) + CAST(gate AS DOUBLE) / 4 + CAST(o % 3 AS DOUBLE) WHEN {_C} = 1 AND sweep % 4 < 2 THEN CAST(10 AS DOUBLE) + 12 * log10(CAST(gate + 1 AS DOUBLE)) + CAST(p % 3 AS DOUBLE)
+ WHEN {_C} = 3 THEN CASE WHEN gate <= 24 THEN CAST(36 AS DOUBLE) - CAST(gate AS DOUBLE) / 8 ELSE CAST(o % 3 AS DOUBLE) END WHEN {_C} = 5 AND gate % 13 < 6 THEN CAST(28 AS DOUBLE) + CAST(o % 3 AS DOUBLE) WHEN {_C} = 7 AND gate BETWEEN 2 AND 9 THEN CAST(27 AS DOUBLE) + CAST(p % 3 AS DOUBLE)
+ ELSE CAST(2 AS DOUBLE) + CAST(gate AS DOUBLE) / 16 + CAST(o % 7 AS DOUBLE) END"""
 _RANGE = "CAST(gate * 2000 + 2000 AS DOUBLE)"
-GATES_SQL = f"""g0 AS (SELECT {_AT}, max(l_orderkey) AS o, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2, 3),
-gates AS (SELECT sweep, ray, gate, {_RANGE} AS range_m, {_VALUE} AS dbzh FROM g0), v AS (SELECT * FROM gates WHERE dbzh IS NOT NULL)"""
+_MOMENTS = "CAST(o % 40 AS DOUBLE) / 80 + 0.5 AS rhohv, CAST(p % 30 AS DOUBLE) AS snr, CASE WHEN o % 13 <> 0 THEN CAST(o % 20 AS DOUBLE) / 20 END AS meteo_score, CASE WHEN p % 7 <> 0 THEN CAST(p % 10 AS DOUBLE) / 10 END AS weather_support, CAST(o % 11 AS DOUBLE) / 10 AS clutter_prior, p % 6 = 0 AS small_object, o % 4 AS pol_moments"
+GATES_SQL = f"""g0 AS (SELECT {_AT.format(div="//")}, max(l_orderkey) AS o, max(l_partkey * 3 + l_suppkey) AS p FROM lineitem GROUP BY 1, 2, 3),
+gates AS (SELECT sweep, ray, gate, {_RANGE} AS range_m, {_VALUE} AS dbzh, {_MOMENTS} FROM g0), v AS (SELECT * FROM gates WHERE dbzh IS NOT NULL)"""
 
 
 def gates(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 8 AS sweep", "l_partkey % 36 AS ray", "l_orderkey % 40 AS gate", "l_orderkey AS o", "l_partkey AS p")
+    from hydrolith.plans.views import split_columns
+
+    line = load(spark, sf_dir, "lineitem").selectExpr(*split_columns(_AT.format(div="DIV")), "l_orderkey AS o", "l_partkey * 3 + l_suppkey AS p")
     g = line.groupBy("sweep", "ray", "gate").agg(F.max("o").alias("o"), F.max("p").alias("p"))
-    return g.selectExpr("sweep", "ray", "gate", f"{_RANGE} AS range_m", f"{_VALUE} AS dbzh")
+    return g.selectExpr("sweep", "ray", "gate", f"{_RANGE} AS range_m", f"{_VALUE} AS dbzh", *split_columns(_MOMENTS))
+
+
+#: What other times, radars and heights say of a ray; unknown for some.
+_CONTEXT = "sweep, ray, CASE WHEN (ray + sweep) % 5 <> 0 THEN CAST((ray * 7 + sweep) % 11 AS DOUBLE) / 10 END AS persistence, CASE WHEN (ray * 3 + sweep) % 4 <> 0 THEN CAST((ray * 5 + sweep * 3) % 11 AS DOUBLE) / 10 END AS consistency, CAST((ray + sweep * 5) % 9 AS DOUBLE) / 8 AS vertical"
+
+
+def context(spark, sf_dir):
+    from hydrolith.plans.views import split_columns
+
+    return gates(spark, sf_dir).select("sweep", "ray").distinct().selectExpr(*split_columns(_CONTEXT))
+
+
+def _run_sql(source: str, where: str) -> str:
+    return f"(SELECT sweep, ray, max(n) AS n FROM (SELECT sweep, ray, k, count(*) AS n FROM (SELECT sweep, ray, gate - row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS k FROM {source} WHERE {where}) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 
 
 _EVIDENCE_SQL = f"""{GATES_SQL},
 b AS (SELECT a.*, n.baseline FROM v a LEFT JOIN (SELECT sweep, ray, gate, avg(dbzh) AS baseline FROM (SELECT sweep, (ray + 1) % 36 AS ray, gate, dbzh FROM v UNION ALL SELECT sweep, (ray + 35) % 36, gate, dbzh FROM v) GROUP BY 1, 2, 3) n USING (sweep, ray, gate)),
-base AS (SELECT sweep, ray, count(*) AS valid_gates, median(abs(dbzh - baseline)) AS difference, coalesce(median(dbzh) FILTER (WHERE gate < 10) - median(dbzh) FILTER (WHERE gate >= 30), 0.0) AS "drop" FROM b GROUP BY 1, 2),
-l AS (SELECT sweep, ray, max(n) AS longest_run FROM (SELECT sweep, ray, k, count(*) AS n FROM (SELECT sweep, ray, gate - row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS k FROM b) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-s AS (SELECT sweep, ray, count(*) AS segments, CAST(sum(n) AS BIGINT) AS evidence_gates, max(far) AS far_m FROM (SELECT sweep, ray, k, count(*) AS n, max(range_m) AS far FROM (SELECT *, gate - row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS k FROM b WHERE dbzh - baseline >= 12) GROUP BY 1, 2, 3 HAVING count(*) >= 4) GROUP BY 1, 2),
-r AS (SELECT base.*, longest_run, coalesce(segments, 0) AS segments, coalesce(evidence_gates, 0) AS evidence_gates, far_m, valid_gates / 40 >= 0.55 AND longest_run >= 16 AND coalesce(difference >= 12, false) AS dense FROM base JOIN l USING (sweep, ray) LEFT JOIN s USING (sweep, ray)),
-evidence AS (SELECT sweep, ray, valid_gates, longest_run, difference, segments, evidence_gates, "drop", CASE WHEN segments = 1 AND evidence_gates >= 0.5 * valid_gates AND "drop" >= 12 THEN 'reverse' WHEN segments >= 3 THEN 'intermittent' WHEN segments > 0 AND far_m <= 60000 THEN 'short_range' WHEN segments > 0 OR dense THEN 'narrow' ELSE 'none' END AS type,
-CAST(CASE WHEN dense THEN 0.95 WHEN segments > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS probability FROM r)"""
+base AS (SELECT sweep, ray, count(*) AS valid_gates, median(abs(dbzh - baseline)) AS difference, median(dbzh) FILTER (WHERE gate < 10) - median(dbzh) FILTER (WHERE gate >= 30) AS fall, count(*) FILTER (WHERE dbzh >= 35) AS high, quantile_cont(dbzh - 20 * log10((gate + 1) / 1000), 0.75) - quantile_cont(dbzh - 20 * log10((gate + 1) / 1000), 0.25) AS iqr FROM b GROUP BY 1, 2),
+sg AS (SELECT *, count(*) OVER (PARTITION BY sweep, ray, k) AS n FROM (SELECT *, gate - row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS k FROM b WHERE dbzh - baseline >= 12)),
+s AS (SELECT sweep, ray, count(DISTINCT k) AS segments, count(*) AS evidence_gates, max(range_m) AS far_m FROM sg WHERE n >= 4 GROUP BY 1, 2),
+r AS (SELECT base.*, l.n AS longest_run, coalesce(segments, 0) AS segments, coalesce(evidence_gates, 0) AS evidence_gates, far_m, valid_gates / 40 >= 0.55 AND l.n >= 8 AND coalesce(difference >= 20, false) AS full_, valid_gates / 40 >= 0.4 AND high / valid_gates >= 0.6 AND coalesce(h.n, 0) >= 8 AND coalesce(fall <= -9, false) AND iqr <= 7 AND valid_gates > 1 AS broad
+ FROM base JOIN {_run_sql("b", "true")} l USING (sweep, ray) LEFT JOIN {_run_sql("b", "dbzh >= 35")} h USING (sweep, ray) LEFT JOIN s USING (sweep, ray)),
+cx AS (SELECT DISTINCT {_CONTEXT} FROM gates),
+w AS (SELECT r.*, full_ OR broad AS dense, NOT full_ AND NOT broad AND segments > 0 AS weak, coalesce(consistency >= 0.6, false) AS veto, 1 + CASE WHEN vertical <= 0.2 THEN 1 ELSE 0 END + CASE WHEN persistence >= 0.6 THEN 1 ELSE 0 END + CASE WHEN consistency <= 0.2 THEN 1 ELSE 0 END AS votes FROM r JOIN cx USING (sweep, ray)),
+evidence AS (SELECT sweep, ray, valid_gates, longest_run, difference, segments, evidence_gates, coalesce(fall, 0.0) AS "drop", CASE WHEN broad THEN 'broad' WHEN segments = 1 AND evidence_gates >= 0.5 * valid_gates AND fall >= 12 THEN 'reverse' WHEN segments >= 3 THEN 'intermittent' WHEN segments > 0 AND far_m <= 30000 THEN 'short_range' WHEN segments > 0 OR full_ THEN 'narrow' ELSE 'none' END AS type,
+CAST(CASE WHEN dense OR weak AND NOT veto AND votes >= 2 THEN 0.95 WHEN weak THEN 0.5 ELSE 0.0 END AS DOUBLE) AS probability, dense, weak AND NOT veto AND votes >= 2 AS promoted, weak AND veto AS vetoed FROM w)"""
+
+
+def evidence_rays(spark, sf_dir):
+    return interference.radial_evidence(gates(spark, sf_dir), ["sweep"], RADIAL, context(spark, sf_dir))
 
 
 @query("radial_interference", f"WITH {_EVIDENCE_SQL} SELECT * FROM evidence")
 def radial_interference(spark, sf_dir):
-    return interference.radial_evidence(gates(spark, sf_dir), ["sweep"], RADIAL)
+    return evidence_rays(spark, sf_dir)
+
+
+_MARKED_SQL = f"{_EVIDENCE_SQL}, marked AS (SELECT b.sweep, b.ray, b.gate, type, probability FROM b JOIN evidence e USING (sweep, ray) LEFT JOIN (SELECT sweep, ray, gate FROM sg WHERE n >= 4) i USING (sweep, ray, gate) WHERE probability > 0 AND (dense OR i.gate IS NOT NULL))"
 
 
-_FANS_SQL = f"""{_EVIDENCE_SQL},
-fb AS (SELECT sweep, ray, count(*) AS n, count(*) FILTER (WHERE dbzh >= 14) AS high, median(dbzh) FILTER (WHERE gate >= 30) - median(dbzh) FILTER (WHERE gate < 10) AS growth FROM v GROUP BY 1, 2),
-fr AS (SELECT sweep, ray, max(n) AS run FROM (SELECT sweep, ray, k, count(*) AS n FROM (SELECT sweep, ray, gate - row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS k FROM v WHERE dbzh >= 14) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-look AS (SELECT fb.sweep, fb.ray, coalesce(n / 40 >= 0.3 AND high / n >= 0.1 AND run >= 2 AND growth >= 0.5, false) AS like_fan FROM fb LEFT JOIN fr USING (sweep, ray)),
-every AS (SELECT sweep, ray, coalesce(probability >= 0.5, false) AS hard, coalesce(like_fan, false) AS like_fan FROM (SELECT DISTINCT sweep, unnest(range(36)) AS ray FROM gates) LEFT JOIN evidence USING (sweep, ray) LEFT JOIN look USING (sweep, ray)),
-gap AS (SELECT *, coalesce(min(CASE WHEN hard THEN ray END) OVER (PARTITION BY sweep ORDER BY ray ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN hard THEN ray END) OVER (PARTITION BY sweep) + 36)
- - coalesce(max(CASE WHEN hard THEN ray END) OVER (PARTITION BY sweep ORDER BY ray ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(CASE WHEN hard THEN ray END) OVER (PARTITION BY sweep) - 36) - 1 AS gap, count(CASE WHEN hard THEN ray END) OVER (PARTITION BY sweep) AS seeds FROM every),
-fans AS (SELECT sweep, ray, hard, like_fan, coalesce(NOT hard AND seeds >= 2 AND gap <= 5 AND 2.0 / (gap + 2.0) >= 0.25 AND like_fan, false) AS closed FROM gap)"""
+@query("radial_gates", f"WITH {_MARKED_SQL} SELECT * FROM marked")
+def radial_gates(spark, sf_dir):
+    """The gates that the rays' evidence marks."""
+    return interference.evidence_gates(gates(spark, sf_dir), evidence_rays(spark, sf_dir), ["sweep"], RADIAL)
+
+
+_FANS_SQL = f"""{_MARKED_SQL},
+fv AS (SELECT *, row_number() OVER (PARTITION BY sweep, ray ORDER BY gate) AS i, count(*) OVER (PARTITION BY sweep, ray) AS m FROM v),
+fb AS (SELECT sweep, ray, count(*) AS n, count(*) FILTER (WHERE dbzh >= 21) AS high, max(range_m) / 80000 AS extent, median(dbzh) FILTER (WHERE gate >= 30) - median(dbzh) FILTER (WHERE gate < 10) AS growth,
+ median(dbzh) FILTER (WHERE i > m - greatest(1, m // 4)) - median(dbzh) FILTER (WHERE i <= greatest(1, m // 4)) AS own, quantile_cont(dbzh - 20 * log10(range_m / 1000), 0.75) FILTER (WHERE range_m >= 20000) - quantile_cont(dbzh - 20 * log10(range_m / 1000), 0.25) FILTER (WHERE range_m >= 20000) AS iqr FROM fv GROUP BY 1, 2),
+look AS (SELECT fb.sweep, fb.ray, extent, coalesce(fb.n / 40 >= 0.6 AND high / fb.n >= 0.4 AND coalesce(h.n, 0) >= 4 AND growth >= 5.5, false) AS like_fan, coalesce(fb.n / 40 >= 0.5 AND l.n >= 6 AND fb.n > 1 AND own >= 5.5, false) AS fills,
+ coalesce(fb.n / 40 >= 0.5 AND l.n >= 6 AND high / fb.n >= 0.3 AND coalesce(h.n, 0) >= 4 AND fb.n > 1 AND own >= 5.5 AND iqr <= 5, false) AS edge_like FROM fb LEFT JOIN {_run_sql("v", "dbzh >= 21")} h USING (sweep, ray) JOIN {_run_sql("v", "true")} l USING (sweep, ray)),
+every AS (SELECT sweep, ray, coalesce(probability >= 0.95, false) AS hard, extent, coalesce(like_fan, false) AS like_fan, coalesce(fills, false) AS fills, coalesce(edge_like, false) AS edge_like FROM (SELECT DISTINCT sweep, unnest(range(36)) AS ray FROM gates) LEFT JOIN evidence USING (sweep, ray) LEFT JOIN look USING (sweep, ray)),
+gl AS (SELECT e.sweep, e.ray, min(CASE WHEN (h.ray - e.ray + 36) % 36 > 0 THEN (h.ray - e.ray + 36) % 36 ELSE 36 END) AS up, min(CASE WHEN (e.ray - h.ray + 36) % 36 > 0 THEN (e.ray - h.ray + 36) % 36 ELSE 36 END) AS down, count(*) AS seeds FROM every e JOIN every h ON h.sweep = e.sweep AND h.hard GROUP BY 1, 2),
+closed AS (SELECT e.*, coalesce(NOT e.hard AND seeds >= 2 AND up + down - 1 <= 3 AND 2.0 / (up + down + 1.0) >= 0.3 AND (e.like_fan OR e.fills AND e.extent >= least(0.85, least(a.extent, z.extent) * 0.9)), false) AS closed FROM every e LEFT JOIN gl USING (sweep, ray) LEFT JOIN every a ON a.sweep = e.sweep AND a.ray = (e.ray + up) % 36 LEFT JOIN every z ON z.sweep = e.sweep AND z.ray = (e.ray - down + 36) % 36),
+nx AS (SELECT e.sweep, e.ray, d, s, e.edge_like AND e.extent >= greatest(0.7, h.extent * 0.8) AS ok FROM every e JOIN (SELECT unnest([1, 1, 2, 2]) AS d, unnest([1, -1, 1, -1]) AS s) ON true JOIN every h ON h.sweep = e.sweep AND h.ray = (e.ray - d * s + 36) % 36 AND h.hard WHERE NOT e.hard),
+xt AS (SELECT DISTINCT sweep, ray FROM nx WHERE d = 1 AND ok UNION SELECT n.sweep, n.ray FROM nx n JOIN every k ON k.sweep = n.sweep AND k.ray = (n.ray - n.s + 36) % 36 AND NOT k.hard JOIN nx f ON f.sweep = n.sweep AND f.ray = k.ray AND f.d = 1 AND f.s = n.s AND f.ok WHERE n.d = 2 AND n.ok),
+fans AS (SELECT c.*, xt.ray IS NOT NULL AS extended FROM closed c LEFT JOIN xt USING (sweep, ray))"""
 
 
 def fans(spark, sf_dir):
     g = gates(spark, sf_dir)
-    found = interference.radial_evidence(g, ["sweep"], RADIAL).select("sweep", "ray", (F.col("probability") >= 0.5).alias("hard"))
+    found = evidence_rays(spark, sf_dir).select("sweep", "ray", (F.col("probability") >= RADIAL.flagged).alias("hard"))
     every = g.select("sweep").distinct().withColumn("ray", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RAYS - 1).cast("long"))))
-    r = every.join(found, ["sweep", "ray"], "left").join(interference.boundary(g, ["sweep"], GATES, FANS), ["sweep", "ray"], "left").na.fill(False, ["hard", "like_fan"])
-    return interference.closed_fans(r, ["sweep"], RAYS, FANS)
+    r = every.join(found, ["sweep", "ray"], "left").join(interference.boundary(g, ["sweep"], GATES, 80_000.0, FANS), ["sweep", "ray"], "left").na.fill(False, ["hard", "like_fan", "fills", "edge_like"])
+    return interference.extended_fans(interference.closed_fans(r, ["sweep"], RAYS, FANS), ["sweep"], RAYS, FANS)
 
 
 @query("radial_fan_closure", f"WITH {_FANS_SQL} SELECT * FROM fans")
 def radial_fan_closure(spark, sf_dir):
+    """Gaps in fans of flagged rays that are closed, and rays at their ends taken in."""
     return fans(spark, sf_dir)
 
 
@@ -107,18 +151,18 @@ def echo_formula(spark, sf_dir):
 
 @query(
     "interference_decision",
-    f"""WITH {_FANS_SQL}, {_ECHO_SQL[len(GATES_SQL) + 2:]}
-    SELECT f.sweep, count(*) AS gates, count(*) FILTER (WHERE hard OR closed) AS radial, count(*) FILTER (WHERE score >= 0.6) AS structure,
-    count(*) FILTER (WHERE dbzh >= -10 AND coalesce(score >= 0.6, false)) AS downweighted FROM echo JOIN fans f USING (sweep, ray) GROUP BY 1""",
+    f"""WITH {_FANS_SQL}, {_ECHO_SQL[len(GATES_SQL) + 2:]}, j AS (SELECT e.sweep, e.ray, e.gate, e.dbzh, m.gate IS NOT NULL OR f.closed OR f.extended AS radial, coalesce(score >= 0.6, false) AS structure, g.* EXCLUDE (sweep, ray, gate, range_m, dbzh) FROM echo e JOIN fans f USING (sweep, ray) LEFT JOIN marked m ON m.sweep = e.sweep AND m.ray = e.ray AND m.gate = e.gate AND m.probability >= 0.95 JOIN gates g ON g.sweep = e.sweep AND g.ray = e.ray AND g.gate = e.gate),
+    q AS (SELECT *, coalesce(meteo_score <= 0.35, false) AS low_meteo, coalesce(weather_support >= 0.7, false) AS weather, rhohv < 0.7 AS severe, snr < 3 AS low_snr FROM j WHERE dbzh >= -10)
+    SELECT sweep, count(*) AS gates, count(*) FILTER (radial) AS radial, count(*) FILTER (structure) AS structure,
+    count(*) FILTER (structure AND low_meteo AND NOT weather OR radial AND severe AND pol_moments >= 2 OR clutter_prior >= 0.7 AND low_meteo AND NOT weather OR small_object AND low_snr AND severe AND dbzh < 35 AND NOT weather) AS rejected FROM q GROUP BY 1""",
 )
 def interference_decision(spark, sf_dir):
-    """What the detectors find feeds the decision: no polarimetric moments here,
-    so evidence of one family only makes a gate count less."""
-    e = interference.echo_formula(gates(spark, sf_dir), ["sweep"], GATES)
-    f = fans(spark, sf_dir).select("sweep", "ray", (F.col("hard") | F.col("closed")).alias("radial"))
-    d = e.join(f, ["sweep", "ray"]).withColumns({
-        "structure": F.coalesce(F.col("score") >= 0.6, F.lit(False)), "rhohv": F.lit(0.9), "snr": F.lit(20.0), "meteo_score": F.lit(0.8), "weather_support": F.lit(0.0),
-        "clutter_prior": F.lit(0.0), "small_object": F.lit(False), "pol_moments": F.lit(0), "quality_cap": F.lit(None).cast("double"),
-    })
-    d = evidence.decide(d)
-    return d.groupBy("sweep").agg(F.count("*").alias("gates"), F.count_if("radial").alias("radial"), F.count_if("structure").alias("structure"), F.count_if(F.col("action") == "DOWNWEIGHT").alias("downweighted"))
+    """What the detectors find, gate by gate, feeds the decision with the other
+    moments of each gate."""
+    g = gates(spark, sf_dir)
+    e = interference.echo_formula(g, ["sweep"], GATES)
+    f = fans(spark, sf_dir).select("sweep", "ray", (F.col("closed") | F.col("extended")).alias("_fan"))
+    m = interference.evidence_gates(g, evidence_rays(spark, sf_dir), ["sweep"], RADIAL).filter(F.col("probability") >= RADIAL.flagged).select("sweep", "ray", "gate", F.lit(True).alias("_marked"))
+    d = e.join(f, ["sweep", "ray"]).join(m, ["sweep", "ray", "gate"], "left").withColumns({"radial": F.coalesce("_marked", F.lit(False)) | F.col("_fan"), "structure": F.coalesce(F.col("score") >= 0.6, F.lit(False)), "quality_cap": F.lit(None).cast("double")})
+    d = evidence.decide(d).filter("dbzh >= -10")
+    return d.groupBy("sweep").agg(F.count("*").alias("gates"), F.count_if("radial").alias("radial"), F.count_if("structure").alias("structure"), F.count_if(F.col("action") == "REJECT").alias("rejected"))
