@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrolith.llm.batches import give_back
 from hydrolith.llm.common import cut, small_batches, table
 from hydrolith.llm.tokens import VOCABULARY, word_ids
 
 CAPACITY = 4096
-#: Parts of a length that are ranked apart, so that a frequent one is no hot key.
-PARTS = 1024
+#: Pieces of a length that are ranked together, about, and the most parts of one.
+PART_PIECES, MOST_PARTS = 200_000, 1 << 20
 #: Nodes and choices of lengths that the search takes at most before it settles
 #: for its best (one to five seconds).
 STEPS = 1_000_000
@@ -342,6 +343,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str) -
                 rows.append((doc, n, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECE, strict=True)], schema=PIECE)
+    give_back(done=True)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -372,16 +374,18 @@ def places(runs: list[Run]):
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (a stored frame: it is
-    read three times). Repeated rows are pieces of their own."""
-    p = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))
+    read four times). Repeated rows are pieces of their own."""
+    # One row for each length: ``capacity`` rows at most.
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    most = max(counts.values(), default=0)
+    p = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(min(MOST_PARTS, max(256, -(-most // PART_PIECES))))))
     counted = p.groupBy("length", "_b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut(counted.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    # One row for each length: ``capacity`` rows at most.
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    counted = counted.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     runs, _, _ = complete(counts, capacity)
     own = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = p.join(counted.drop("n"), ["length", "_b"]).withColumn("_rank", F.row_number().over(own) - 1 + F.col("_before"))
+    # Counts of a few parts are hashed: a task then sorts once, for the ranks.
+    ranked = p.join(counted.drop("n").hint("shuffle_hash"), ["length", "_b"]).withColumn("_rank", F.row_number().over(own) - 1 + F.col("_before"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = places(runs)
