@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrolith.functions import basic as bs
-from hydrolith.operators import kernels, resampling, verification as ver
+from hydrolith.operators import flow, kernels, resampling, verification as ver
 from hydrolith.plans.registry import load, query
 from hydrolith.plans.sequence_queries import GATES_SQL
 from hydrolith.plans.views import SCANS_SQL
@@ -297,6 +297,20 @@ def motion_forecast(spark, sf_dir):
     return kernels.advected(p.select("c", "y", "x", F.col("observed").alias("previous"), F.col("forecast").alias("current")), ["c"], [6, 12, 18])
 
 
+@query("motion_fields")
+def motion_fields(spark, sf_dir):
+    """Motion by features through a pyramid, of each pair of grids."""
+    p = pairs(spark, sf_dir)
+    return flow.motion_fields(p.select("c", "y", "x", F.col("observed").alias("previous"), F.col("forecast").alias("current")), ["c"])
+
+
+@query("six_minute_frames")
+def six_minute_frames(spark, sf_dir):
+    """Ten-minute frames of two members as six-minute ones."""
+    line = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("c"), (F.col("l_linenumber") % 2).alias("member"), (F.col("l_orderkey") % 4 * 10).cast("int").alias("lead_min"), (F.col("l_partkey") % 24).alias("y"), (F.floor(F.col("l_orderkey") / 4) % 24).alias("x"), "l_quantity")
+    return flow.resampled(line.groupBy("c", "member", "lead_min", "y", "x").agg(F.avg("l_quantity").alias("rate")), ["c"])
+
+
 @query("ensemble_forecast")
 def ensemble_forecast(spark, sf_dir):
     p = pairs(spark, sf_dir)
