@@ -64,13 +64,18 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``. Each lies in the shared folder until
-    the next one has been written; the last is left for the caller to read."""
+    the next one has been written; the last is left for the caller to read. When a
+    stage fails, none is left."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if i:
-            remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{base}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if i:
+                remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
+    except BaseException:
+        remove(spark, base)
+        raise
     return docs
