@@ -188,3 +188,19 @@ def hypothesis_gates(spark, sf_dir):
 )
 def fragment_links(spark, sf_dir):
     return objects.associated(gates(spark, sf_dir), ["sweep"], FRAGMENTS).withColumn("residual_db", F.round("residual_db", 6))
+
+
+FEATURES = ["dbzh", "rhohv", "range_m", "contrast", "support", "axial_std"]
+
+
+@query("gate_classifier")
+def gate_classifier(spark, sf_dir):
+    """Of each sweep that is held out and of those that are not: how a forest on
+    measured features tells gates of bad polarimetry from the others."""
+    from hydrolith.operators import classifier
+    from hydrolith.operators.verification import confusion
+
+    s = seeds(spark, sf_dir)
+    forest = classifier.fit(s, FEATURES, "pol_bad", ["sweep"])
+    scored = s.withColumns({"held_out": classifier.held_out(["sweep"]), "p": classifier.probability(forest, FEATURES)})
+    return confusion(scored, ["held_out", "sweep"], F.col("pol_bad"), F.col("p") >= 0.5)
