@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hydrolith.functions.basic import ratio
 from hydrolith.operators.ranks import values_at
+from hydrolith.sources.shared import stored
 
 #: Cases of a leaf, about, and the most levels of the tree.
 LEAF_CASES, MOST_LEVELS = 1000, 24
@@ -60,7 +61,9 @@ def drawn_sums(values: list[np.ndarray], counts: np.ndarray, rng: np.random.Gene
                 means = flat[rng.integers(0, len(flat), m, dtype=np.int32 if len(flat) < 2**31 else np.int64)]
             else:
                 means = np.concatenate([v[c, rng.integers(0, width, width)] for c in rng.integers(0, len(v), m)]).reshape(m, width).mean(1) if m * width > DRAWN else v[rng.integers(0, len(v), m)[:, None], rng.integers(0, width, (m, width))].mean(1)
-            total[begin:end] += np.bincount(np.repeat(np.arange(end - begin), own), means, end - begin)
+            some = np.flatnonzero(own)
+            if len(some):
+                total[begin + some] += np.add.reduceat(means, (np.cumsum(own) - own)[some])
             begin = end
     return total
 
@@ -77,13 +80,14 @@ def block_bootstrap(values: DataFrame, keys: list[str], case: str, issue: str, d
     of the tree; a leaf's cases are one group of about ``leaf_cases``."""
     per_issue = values.filter(F.col("value").isNotNull()).groupBy(*keys, case, issue).agg(F.avg("value").alias("v"))
     of_case = F.transform(F.array_sort(F.collect_list(F.struct(F.col(issue).alias("i"), "v"))), lambda x: x["v"])
+    key = F.xxhash64(F.lit(seed), *keys) if keys else F.lit(seed).cast("long")
     per_case = per_issue.groupBy(*keys, case).agg(of_case.alias("vs"), F.avg("v").alias("v"))
+    per_case = stored(per_case.select(*keys, key.alias("_k"), F.xxhash64(F.lit(seed), case).alias("_h"), "vs", "v"))  # read for sizes, paths and draws
     of_key = per_case.groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("*").alias("cases"))
     most = of_key.agg(F.max("cases")).first()[0] or 0
     depth = min(MOST_LEVELS, max(0, (-(-most // leaf_cases) - 1).bit_length()))
 
-    key = F.xxhash64(F.lit(seed), *keys) if keys else F.lit(seed).cast("long")
-    hashed = per_case.select(*keys, key.alias("_k"), F.xxhash64(F.lit(seed), case).alias("_h"), "vs").withColumn("_leaf", F.pmod("_h", F.lit(1 << depth)))
+    hashed = per_case.withColumn("_leaf", F.pmod("_h", F.lit(1 << depth)))
     leaves = hashed.groupBy("_k", "_leaf").agg(F.count("*").alias("n"))
     levels = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     nodes = levels.groupBy("_k", "level", F.expr(f"shiftright(_leaf, {depth} - level)").alias("node")).agg(F.sum("n").alias("n"))
