@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,16 +118,84 @@ def beams_overlap(a: DataFrame, b: DataFrame, cell: list[str], most_m: float) ->
     return a.join(right, cell).filter((F.col("radar") != F.col("other")) & (gap <= most_m)).select(*cell, "radar", "other", F.greatest(gap, F.lit(0.0)).alias("gap_m"))
 
 
+#: Distances between places that a task holds at once.
+PLACE_PAIRS = 4_000_000
+
+
+def nearest_fields(p: dict[str, np.ndarray], f: dict[str, np.ndarray], most_s: float, most_m: float) -> tuple[np.ndarray, ...]:
+    """For points (x, y, t) the nearest of fields (x, y, t and the id's rank): row of
+    the point and of the field, distance and offset, for points that have one.
+
+    The places around a place are taken by distance, so a point looks at few of them;
+    within a place the fields next to its time are found by bisection."""
+    order = np.lexsort((f["id"], f["t"], f["y"], f["x"]))
+    x, y, t = (f[c][order] for c in "xyt")
+    other = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    first = other | np.r_[True, t[1:] != t[:-1]]  # of one place and time the least id
+    order, x, y, t, other = order[first], x[first], y[first], t[first], other[first]
+    place, begin = np.cumsum(other) - 1, np.flatnonzero(other)
+    end, fx, fy, ids = np.r_[begin[1:], len(x)], x[begin], y[begin], f["id"][order]
+    times = np.unique(t)
+    code = place * (len(times) + 1) + np.searchsorted(times, t)
+    spots, of = np.unique(np.stack([p["x"], p["y"]], axis=1), axis=0, return_inverse=True)
+    of = of.ravel()
+    after = np.searchsorted(times, p["t"], side="right")
+    d, s, row = np.full(len(of), np.inf), np.zeros(len(of), p["t"].dtype), np.full(len(of), -1)
+    by_spot = np.argsort(of, kind="stable")
+    step = max(1, PLACE_PAIRS // len(fx))
+    for a in range(0, len(spots), step):
+        far = np.sqrt((spots[a : a + step, :1] - fx) ** 2 + (spots[a : a + step, 1:] - fy) ** 2)
+        near = np.argsort(far, axis=1, kind="stable")
+        far = np.take_along_axis(far, near, axis=1)
+        held = (far <= most_m).sum(axis=1)
+        open_ = by_spot[np.searchsorted(of[by_spot], a) : np.searchsorted(of[by_spot], a + step)]
+        for k in range(int(held.max(initial=0))):
+            spot = of[open_] - a
+            going = (k < held[spot]) & (far[spot, k] <= d[open_])  # a place as near as the best one still counts
+            open_, spot = open_[going], spot[going]
+            if not len(open_):
+                break
+            j, dk = near[spot, k], far[spot, k]
+            at = np.searchsorted(code, j * (len(times) + 1) + after[open_])
+            for c, there in ((at - 1, at > begin[j]), (at, at < end[j])):
+                c = np.where(there, c, 0)
+                sk = np.abs(p["t"][open_] - t[c])
+                best = row[open_]
+                nearer = (dk < d[open_]) | (sk < s[open_]) | ((sk == s[open_]) & (ids[c] < ids[best]))
+                take = there & (sk <= most_s) & (nearer | (best < 0))
+                o = open_[take]
+                d[o], s[o], row[o] = dk[take], sk[take], c[take]
+    found = np.flatnonzero(row >= 0)
+    return found, order[row[found]], d[found], s[found]
+
+
 def matched_observations(points: DataFrame, fields: DataFrame, key: str, most_s: int, most_m: float) -> DataFrame:
     """For each point observation the nearest field value in space and time,
     never interpolated: least distance, then least time, then id.
 
-    Both are bucketed in time and on a square grid of the largest distance."""
-    tb, xb, yb = F.floor(F.col("t") / F.lit(most_s)), F.floor(F.col("x_m") / F.lit(most_m)), F.floor(F.col("y_m") / F.lit(most_m))
-    around = lambda c: F.array(c - 1, c, c + 1)
-    p = points.withColumn("_t", F.explode(around(tb))).withColumn("_x", F.explode(around(xb))).withColumn("_y", F.explode(around(yb)))
-    f = fields.select(F.col("id").alias("field_id"), F.col("t").alias("_ft"), F.col("x_m").alias("_fx"), F.col("y_m").alias("_fy"), "value", tb.alias("_t"), xb.alias("_x"), yb.alias("_y"))
-    d = F.hypot(F.col("x_m") - F.col("_fx"), F.col("y_m") - F.col("_fy"))
-    s = F.abs(F.col("t") - F.col("_ft"))
-    pairs = p.join(f, ["_t", "_x", "_y"]).withColumns({"_d": d, "_s": s}).filter((F.col("_d") <= most_m) & (F.col("_s") <= most_s))
-    return pairs.groupBy(key).agg(F.min_by(F.struct("field_id", "value", F.col("_d").alias("distance_m"), F.col("_s").alias("offset_s")), F.struct("_d", "_s", "field_id")).alias("_r")).select(key, "_r.*")
+    Blocks of time and of a square grid are twice the largest distance wide. A point
+    goes to its block and a field to those within reach, at most eight; a group is a
+    block's points with the fields around it, and no pairs of rows are made."""
+    names = {"t": ("t", most_s), "x": ("x_m", most_m), "y": ("y_m", most_m)}
+    blocks = [f"_{c}" for c in names]
+    at = lambda c, most: F.floor(c / F.lit(2.0 * most))
+    p = points.dropna(subset=["t", "x_m", "y_m"]).select(key, "t", "x_m", "y_m", *[at(F.col(c), m).alias(f"_{n}") for n, (c, m) in names.items()])
+    f = fields.dropna(subset=["t", "x_m", "y_m"]).select("id", "value", F.col("t").alias("ft"), F.col("x_m").alias("fx"), F.col("y_m").alias("fy"))
+    for n, (_, m) in names.items():
+        c = F.col(f"f{n}")
+        f = f.withColumn(f"_{n}", F.explode(F.sequence(at(c - 1.001 * m, m), at(c + 1.001 * m, m))))
+
+    def nearest(p: pa.Table, f: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        rows = (none, none, none, none)
+        if p.num_rows and f.num_rows:
+            ids = pc.rank(f["id"].combine_chunks(), tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+            own, other = ({n: g[c].to_numpy() for n, c in at} for g, at in ((p, zip("xyt", ("x_m", "y_m", "t"))), (f, zip("xyt", ("fx", "fy", "ft")))))
+            rows = nearest_fields(own, other | {"id": ids}, most_s, most_m)
+        i, j, d, s = rows
+        return pa.table({key: p[key].take(pa.array(i)), "field_id": f["id"].take(pa.array(j)), "value": f["value"].take(pa.array(j)), "distance_m": pa.array(d, pa.float64()), "offset_s": pa.array(s).cast(p.schema.field("t").type)})
+
+    kinds, of = dict(points.dtypes), dict(fields.dtypes)
+    schema = f"`{key}` {kinds[key]}, field_id {of['id']}, value {of['value']}, distance_m double, offset_s {kinds['t']}"
+    best = p.groupBy(*blocks).cogroup(f.groupBy(*blocks)).applyInArrow(nearest, schema)
+    return best.groupBy(key).agg(F.min_by(F.struct("field_id", "value", "distance_m", "offset_s"), F.struct("distance_m", "offset_s", "field_id")).alias("_r")).select(key, "_r.*")
