@@ -3,8 +3,8 @@
 Where every key has few rows, its values are one sorted array. Else a key's
 different values are counted first, so that repeats are one row, and fall into
 slices of about ``SLICE_ROWS`` rows, however many that makes. Counts by slice tell
-which slice holds a rank, and only that slice is put in order: no task holds a
-key. A sketch gives the slices' borders and decides about balance alone.
+which slice holds a rank, and only that slice is put in order, with the ranks among
+its values as rows of their own: no task holds a key, no row all ranks. A sketch gives the slices' borders and decides about balance alone.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ def _sliced(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, slice
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_s"))
     ends = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_c")).withColumn("_end", upto).withColumn("_before", F.col("_end") - F.col("_c")).drop("_c")
     held = met(wanted, ends, keys).filter((F.col("_w.r") > F.col("_before")) & (F.col("_w.r") <= F.col("_end")))
-    asked = held.groupBy(*keys, "_s").agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_w"))
+    asked = held.groupBy(*keys, "_s").agg(F.first("_before").alias("_before"))
     inside = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_s").orderBy(value))
-    there = met(sliced, asked, [*keys, "_s"]).withColumn("_upto", inside)
-    here = F.filter("_w", lambda w: (w["r"] <= F.col("_upto")) & (w["r"] > F.col("_upto") - F.col("_c")))
-    return there.select(*keys, value, F.explode(here["i"]).alias("i"))
+    there = met(sliced, asked, [*keys, "_s"]).select(*keys, "_s", value, (inside - F.col("_c") + 1).alias("_r"), F.lit(None).cast("int").alias("i"))
+    both = there.unionByName(held.select(*keys, "_s", F.lit(None).cast(dict(df.dtypes)[value]).alias(value), F.col("_w.r").alias("_r"), F.col("_w.i").alias("i")))
+    upto = Window.partitionBy(*keys, "_s").orderBy("_r", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # a value begins at its first rank
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(upto)).filter("i IS NOT NULL").select(*keys, value, "i")
 
 
 def values_at(df: DataFrame, keys: list[str], value: str, ranks: Column, few: int = FEW_ROWS, slice_rows: int = SLICE_ROWS, numbered: DataFrame | None = None) -> DataFrame:

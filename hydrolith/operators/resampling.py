@@ -143,6 +143,7 @@ def median_bootstrap(values: DataFrame, keys: list[str], value: str, draws: int
     def ranks(n: pd.Series, key: pd.Series) -> pd.Series:
         return median_ranks(n, key, draws)
 
+    values = stored(values.select(*keys, value))  # read for counts, borders and ranks
     own = F.xxhash64(F.lit(seed), *keys) if keys else F.lit(seed).cast("long")
     middle = F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
     numbered = values.groupBy(*keys).agg(F.count(value).alias("n")).withColumn("_r", F.concat(middle, ranks("n", own)))
