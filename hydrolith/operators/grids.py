@@ -79,8 +79,8 @@ def hybrid_usable(p: Hybrid = Hybrid(), reject: tuple[str, ...] = REJECT) -> Col
 
 
 def hybrid_scan(cells: DataFrame, cell: list[str], p: Hybrid = Hybrid()) -> DataFrame:
-    """For each cell its lowest usable sweep (by elevation, then name): value,
-    quality lowered by blockage and height, and flags. A cell without one is
+    """For each cell its lowest usable sweep (by elevation, then name):
+    value, quality lowered by blockage and height, and flags. A cell without one is
     missing, and flagged as blocked where a sweep was blocked badly."""
     usable = hybrid_usable(p)
     quality = F.col("quality") * (F.lit(1.0) - F.col("blockage")) * ph.decay(F.col("agl_m"), p.height_scale_m)
@@ -158,10 +158,11 @@ def column_max(cells: DataFrame, cell: list[str], value: str, source: str) -> Da
 def level_winners(cells: DataFrame, cell: list[str], level: str, most_age_min: float, half_height_m: float) -> DataFrame:
     """The best candidate of each height level, then the largest echo of the
     cell: score = quality exp(-age / limit) min(1, grid / resolution) /
-    (1 + |height off| / half)."""
+    (1 + |height off| / half); of equal scores the first source, then the largest
+    echo."""
     score = F.col("quality") * F.exp(-F.col("age_min") / F.lit(most_age_min)) * F.least(F.lit(1.0), F.col("grid_m") / F.col("resolution_m")) / (F.lit(1.0) + F.abs("height_off_m") / F.lit(half_height_m))
     s = cells.withColumn("score", score)
-    won = s.groupBy(*cell, level).agg(F.max_by(F.struct("dbzh", "source", "score"), F.struct("score", (-F.col("source")).alias("_s"))).alias("_w"))
+    won = s.groupBy(*cell, level).agg(F.max_by(F.struct("dbzh", "source", "score"), F.struct("score", (-F.col("source")).alias("_s"), "dbzh")).alias("_w"))
     top = F.max_by(F.struct(F.col(level), "_w"), F.struct(F.col("_w.dbzh"), (-F.col(level)).alias("_l")))
     return won.filter("_w.dbzh IS NOT NULL").groupBy(*cell).agg(top.alias("_t"), F.count("*").alias("levels")).select(*cell, F.col("_t._w.dbzh").alias("dbzh"), F.col("_t._w.source").alias("source"), F.col(f"_t.{level}").alias(level), "levels")
 
