@@ -79,13 +79,14 @@ def hybrid_usable(p: Hybrid = Hybrid(), reject: tuple[str, ...] = REJECT) -> Col
 
 
 def hybrid_scan(cells: DataFrame, cell: list[str], p: Hybrid = Hybrid()) -> DataFrame:
-    """For each cell its lowest usable sweep (by elevation, then name):
-    value, quality lowered by blockage and height, and flags. A cell without one is
-    missing, and flagged as blocked where a sweep was blocked badly."""
+    """For each cell its lowest usable sweep (by elevation, then name, and of rows
+    of one sweep the least flags, quality and value): value, quality lowered by
+    blockage and height, and flags. A cell without one is missing, and flagged as
+    blocked where a sweep was blocked badly."""
     usable = hybrid_usable(p)
     quality = F.col("quality") * (F.lit(1.0) - F.col("blockage")) * ph.decay(F.col("agl_m"), p.height_scale_m)
     r = cells.withColumns({"_u": usable, "_q": quality})
-    pick = F.min_by(F.when(F.col("_u"), F.struct("sweep", "dbzh", F.col("_q").alias("quality"), "blockage", "qc_flags")), F.when(F.col("_u"), F.struct("elevation_deg", "sweep")))
+    pick = F.min_by(F.when(F.col("_u"), F.struct("sweep", "dbzh", F.col("_q").alias("quality"), "blockage", "qc_flags")), F.when(F.col("_u"), F.struct("elevation_deg", "sweep", "qc_flags", "_q", "dbzh", "blockage")))
     severe = F.max(F.coalesce(F.col("blockage") > p.blockage, F.lit(False)))
     out = r.groupBy(*cell).agg(pick.alias("_p"), severe.alias("_s"))
     blocked = flag("BEAM_BLOCKED")

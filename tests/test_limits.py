@@ -3,6 +3,12 @@
 from hydrolith.operators import grids
 
 
+def test_first_usable_of_one_sweep_is_the_least(spark):
+    row = lambda cell, q: (cell, 1, 20.0, True, q, 0.9, 0.0, 100.0, 0.0, 0.0, 0.5)
+    c = spark.createDataFrame([row(1, 64), row(1, 128), row(2, 128), row(2, 64)], "cell int, sweep int, dbzh double, valid boolean, qc_flags long, quality double, blockage double, agl_m double, azimuth_offset_deg double, range_offset_gates double, elevation_deg double").coalesce(1)
+    assert {r.cell: r.qc_flags for r in grids.hybrid_scan(c, ["cell"]).collect()} == {1: 64, 2: 64}
+
+
 def test_level_winner_of_equal_scores_is_the_largest_echo(spark):
     row = lambda cell, z: (cell, 1, z, 0.5, 7, 0.0, 1000.0, 1000.0, 0.0)
     c = spark.createDataFrame([row(1, 40.0), row(1, 10.0), row(1, None), row(2, None), row(2, 10.0), row(2, 40.0)], "cell int, level int, dbzh double, quality double, source int, age_min double, grid_m double, resolution_m double, height_off_m double").coalesce(1)
