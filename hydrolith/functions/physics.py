@@ -81,7 +81,8 @@ def range_quality(position: Column, last: Column, far: float = 0.92) -> Column:
 
 
 def time_quality(offset_s: Column, most_s: float, least: float) -> Column:
-    return F.lit(least) + F.lit(1.0 - least) * F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(offset_s) / F.lit(most_s))
+    rest = round(1.0 - least, 12)  # 0.2 and not 0.19999999999999996
+    return F.lit(least) + F.lit(rest) * F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(offset_s) / F.lit(most_s))
 
 
 def decay(x: Column, scale: float) -> Column:

@@ -1,5 +1,8 @@
 """Values that lie on a limit, or tie, fall on the side that the SQL says."""
 
+from pyspark.sql import functions as F
+
+from hydrolith.functions import physics
 from hydrolith.operators import grids
 
 
@@ -13,3 +16,8 @@ def test_level_winner_of_equal_scores_is_the_largest_echo(spark):
     row = lambda cell, z: (cell, 1, z, 0.5, 7, 0.0, 1000.0, 1000.0, 0.0)
     c = spark.createDataFrame([row(1, 40.0), row(1, 10.0), row(1, None), row(2, None), row(2, 10.0), row(2, 40.0)], "cell int, level int, dbzh double, quality double, source int, age_min double, grid_m double, resolution_m double, height_off_m double").coalesce(1)
     assert {r.cell: r.dbzh for r in grids.level_winners(c, ["cell"], "level", 10.0, 250.0).collect()} == {1: 40.0, 2: 40.0}
+
+
+def test_time_quality_to_the_last_bit(spark):
+    got = spark.range(150).select(F.col("id").cast("double").alias("o")).select("o", physics.time_quality(F.col("o"), 150.0, 0.8).alias("q")).collect()
+    assert [r.q for r in got] == [0.8 + 0.2 * max(0.0, 1.0 - r.o / 150.0) for r in got]
