@@ -107,8 +107,8 @@ def fitted(gates: DataFrame, sweep: list[str], p: Signature = Signature()) -> Da
     free = lambda c: F.when(~F.col("_cut"), c)
     spread = lambda c: F.max(free(F.col(c))).over(w) - F.min(free(F.col(c))).over(w)
     m = m.withColumns({"intercept": half(free(F.col("dbzh") - F.col("x"))).over(w), "_n": F.count(free(F.col("x"))).over(w), "_rs": spread("range_m"), "_xs": spread("x")})
-    model = F.col("intercept") + F.col("x")
-    m = m.withColumn("residual", F.when(F.col("_cut"), F.greatest(F.col("cap") - model, F.lit(0.0))).otherwise(F.abs(F.col("dbzh") - model)))
+    off = lambda c: F.col(c) - F.col("intercept") - F.col("x")  # noqa: E731  in this order: limits are met to the last bit
+    m = m.withColumn("residual", F.when(F.col("_cut"), F.greatest(off("cap"), F.lit(0.0))).otherwise(F.abs(off("dbzh"))))
     fifth = F.greatest(F.lit(3), F.floor(F.col("n") / 5))
     m = m.withColumns({
         "p90_db": F.percentile("residual", F.lit(0.9)).over(w), "_high": F.avg((F.col("dbzh") >= p.high_dbz).cast("double")).over(w),

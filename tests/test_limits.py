@@ -1,9 +1,12 @@
 """Values that lie on a limit, or tie, fall on the side that the SQL says."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from hydrolith.functions import physics
-from hydrolith.operators import grids
+from hydrolith.operators import grids, signatures
 
 
 def test_first_usable_of_one_sweep_is_the_least(spark):
@@ -21,3 +24,16 @@ def test_level_winner_of_equal_scores_is_the_largest_echo(spark):
 def test_time_quality_to_the_last_bit(spark):
     got = spark.range(150).select(F.col("id").cast("double").alias("o")).select("o", physics.time_quality(F.col("o"), 150.0, 0.8).alias("q")).collect()
     assert [r.q for r in got] == [0.8 + 0.2 * max(0.0, 1.0 - r.o / 150.0) for r in got]
+
+
+def ray(spark, value):
+    r = random.Random(5)
+    rows = [(1, 0, g, (g + 1) * 1000.0, value(g, r), None, None, None) for g in range(60)]
+    return spark.createDataFrame(rows, "sweep int, ray int, gate int, range_m double, dbzh double, ceiling double, rhohv double, protected boolean")
+
+
+def test_residuals_to_the_last_bit(spark):
+    p = signatures.Signature(rays=24, gates=60, spacing_m=1000.0, minimum_range_m=0, echo_dbz=-50.0, span_m=12_000, measured_m=8000)
+    f = signatures.fitted(ray(spark, lambda g, r: 8 + 20 * math.log10(g + 1) + r.randrange(9) / 2), ["sweep"], p)
+    got = f.select("residual", F.abs(F.col("dbzh") - F.col("intercept") - signatures.log_range()).alias("want")).collect()
+    assert len(got) == 60 and [r.residual for r in got] == [r.want for r in got]
