@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from hydrolith.functions import physics
-from hydrolith.operators import grids, signatures
+from hydrolith.operators import grids, objects, signatures
 
 
 def test_first_usable_of_one_sweep_is_the_least(spark):
@@ -37,3 +37,14 @@ def test_residuals_to_the_last_bit(spark):
     f = signatures.fitted(ray(spark, lambda g, r: 8 + 20 * math.log10(g + 1) + r.randrange(9) / 2), ["sweep"], p)
     got = f.select("residual", F.abs(F.col("dbzh") - F.col("intercept") - signatures.log_range()).alias("want")).collect()
     assert len(got) == 60 and [r.residual for r in got] == [r.want for r in got]
+
+
+def test_axial_deviation_to_the_last_bit(spark):
+    p = objects.Objects(rays=24, gates=60, spacing_m=1000.0, window_m=5000)
+    got = objects.axial(ray(spark, lambda g, r: 8 + 20 * math.log10(g + 1) + r.randrange(9) / 2), ["sweep"], p).orderBy("gate").collect()
+    for g, row in enumerate(got):
+        mean = squares = 0.0
+        for n, x in enumerate([o.corrected for o in got[max(0, g - 2) : g + 3]], 1):
+            before, mean = mean, mean + (x - mean) / n
+            squares += (x - mean) * (x - before)
+        assert row.axial_std == math.sqrt(squares / n)
