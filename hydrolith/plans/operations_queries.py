@@ -79,5 +79,6 @@ def run_list(spark, sf_dir):
 def sessions(spark, sf_dir):
     """Sessions of a radar: scans less than half an hour apart."""
     s = scans(spark, sf_dir).withColumn("at", F.timestamp_seconds("t"))
-    w = s.groupBy("radar", F.session_window("at", "30 minutes").alias("w")).agg(F.count("*").alias("scans"))
-    return w.select("radar", F.unix_timestamp("w.start").alias("begins"), F.unix_timestamp("w.end").alias("ends"), "scans")
+    gap = "1799 seconds 999999 microseconds"  # windows that touch are one, and a pause of half an hour parts sessions
+    w = s.groupBy("radar", F.session_window("at", gap)).agg(F.min("t").alias("begins"), (F.max("t") + 1800).alias("ends"), F.count("*").alias("scans"))
+    return w.select("radar", "begins", "ends", "scans")

@@ -1,5 +1,6 @@
 """Values that lie on a limit, or tie, fall on the side that the SQL says."""
 
+import datetime
 import math
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hydrolith.functions import physics
 from hydrolith.operators import grids, objects, signatures
+from hydrolith.plans.operations_queries import sessions
 
 
 def test_first_usable_of_one_sweep_is_the_least(spark):
@@ -48,3 +50,11 @@ def test_axial_deviation_to_the_last_bit(spark):
             before, mean = mean, mean + (x - mean) / n
             squares += (x - mean) * (x - before)
         assert row.axial_std == math.sqrt(squares / n)
+
+
+def test_half_an_hour_parts_sessions(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(k, u, "view", at(s), 1.0) for k, (u, s) in enumerate([(1, 0), (1, 1800), (1, 3599), (2, 0), (2, 1799), (2, 1799)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    t = 1704067200
+    assert sorted(map(tuple, sessions(spark, str(tmp_path)).collect())) == [(1, t, t + 1800, 1), (1, t + 1800, t + 5399, 2), (2, t, t + 3599, 3)]
