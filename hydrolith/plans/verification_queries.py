@@ -8,7 +8,7 @@ from hydrolith.functions import basic as bs
 from hydrolith.operators import flow, kernels, resampling, verification as ver
 from hydrolith.plans.registry import load, query
 from hydrolith.plans.sequence_queries import GATES_SQL
-from hydrolith.plans.views import SCANS_SQL
+from hydrolith.plans.views import SCANS_SQL, spread
 
 #: A case with observation and forecast at a cell of a small grid.
 _PAIR = """c, y, x, CASE WHEN (p + s) % 13 = 0 THEN NULL ELSE CAST(p % 30 AS DOUBLE) END AS observed, CASE WHEN (p * 3 + s) % 17 = 0 THEN NULL ELSE CAST((p + s % 9) % 30 AS DOUBLE) END AS forecast"""
@@ -114,9 +114,11 @@ RECORDS_SQL = "SELECT l_orderkey AS issue, CAST(l_suppkey % 3 AS INTEGER) AS lea
 
 
 def records(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber") % 3
-    return line.groupBy(F.col("l_orderkey").alias("issue"), (F.col("l_suppkey") % 3).cast("int").alias("lead"), F.when(n == 0, "lk").when(n == 1, "steps").otherwise("persistence").alias("algorithm")).agg(F.avg(F.when(F.col("l_partkey") % 19 != 0, F.col("l_quantity"))).alias("value"))
+    line = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("issue"), (F.col("l_suppkey") % 3).cast("int").alias("lead"), F.when(n == 0, "lk").when(n == 1, "steps").otherwise("persistence").alias("algorithm"), F.when(F.col("l_partkey") % 19 != 0, F.col("l_quantity")).alias("value")
+    )
+    return spread(line, "issue").groupBy("issue", "lead", "algorithm").agg(F.avg("value").alias("value"))
 
 
 @query(
