@@ -8,7 +8,7 @@ from hydrolith.functions import basic as bs
 from hydrolith.functions import physics as ph
 from hydrolith.operators import grids
 from hydrolith.plans.registry import load, query
-from hydrolith.plans.views import CELLS_SQL, cells, split_columns
+from hydrolith.plans.views import CELLS_SQL, cells, split_columns, spread
 from hydrolith.profiles import REJECT, Hybrid, Mosaic, flag
 
 _RATE = "CASE WHEN NOT valid OR dbzh IS NULL THEN NULL WHEN dbzh < 10 THEN 0.0 ELSE least(exp((dbzh / 10 * ln(10.0) - ln(200.0)) / 1.6), 300.0) END"
@@ -183,7 +183,8 @@ _LEADS = "l_orderkey AS run, CAST(l_linenumber AS INTEGER) AS member, unnest([6,
 
 
 def leads(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("int").alias("member")).agg(F.min("l_partkey").alias("p"))
+    line = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("int").alias("member"), F.col("l_partkey").alias("p"))
+    line = spread(line, "run").groupBy("run", "member").agg(F.min("p").alias("p"))
     e = line.withColumn("lead_min", F.explode(F.array(*[F.lit(x) for x in (6, 12, 18, 24, 30)])))
     return e.selectExpr("run", "member", "lead_min", "CASE WHEN (p + lead_min) % 23 = 0 THEN NULL ELSE CAST((p * lead_min) % 40 AS DOUBLE) END AS rate")
 

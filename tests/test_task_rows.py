@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hydrolith.plans import verification_queries, views
+from hydrolith.plans import grid_queries, verification_queries, views
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("rows", [verification_queries.records], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("rows", [verification_queries.records, grid_queries.leads], ids=lambda f: f.__name__)
 def test_partitions_follow_rows(spark, monkeypatch, rows):
     monkeypatch.setattr(views, "TASK_ROWS", 500)
     df = rows(spark, SF)
