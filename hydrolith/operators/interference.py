@@ -10,6 +10,7 @@ sweep, which the instrument bounds. What comes out are the columns that
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,16 +98,24 @@ class Echo:
     rough_weights: tuple[float, ...] = (1.0, 2.0, 1.0, 1.0)
 
 
+def _placed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that have the keys. Asked by plain conditions, which a join by the keys adds
+    too: so frames made of the same gates keep the same plan, and Spark deals them once."""
+    return rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+
+
 def beside(gates: DataFrame, sweep: list[str], rays: int) -> DataFrame:
-    """Adds ``baseline``: the mean of the two rays beside at the same gate, or
-    the one that has a value. Each gate is sent to its neighbours and meets
-    their own gates in one aggregate, around the circle."""
-    to = F.explode(F.array(*[F.struct(F.lit(d).alias("d")) for d in (0, -1, 1)])).alias("x")
-    g = gates.filter("dbzh IS NOT NULL").select(*sweep, "ray", "gate", "range_m", "dbzh", to)
-    g = g.withColumn("ray", F.pmod(F.col("ray") + F.col("x.d"), F.lit(rays)))
-    own = F.col("x.d") == 0
-    met = g.groupBy(*sweep, "ray", "gate").agg(F.max(F.when(own, F.col("range_m"))).alias("range_m"), F.max(F.when(own, F.col("dbzh"))).alias("dbzh"), F.avg(F.when(~own, F.col("dbzh"))).alias("baseline"))
-    return met.filter("dbzh IS NOT NULL")
+    """Adds ``baseline``: the mean of the two rays beside at the same gate, around the
+    circle, or the one that has a value. Rows without a sweep key, ray or gate are left
+    out; a gate has one row."""
+    ray = F.col("ray")
+    o = Window.partitionBy(*sweep, "gate").orderBy("ray")
+    whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = lambda k: F.max(F.when(ray == k, F.col("dbzh"))).over(whole)
+    low = F.when(ray == 0, at(rays - 1)).when(F.lag("ray").over(o) == ray - 1, F.lag("dbzh").over(o))
+    high = F.when(ray == rays - 1, at(0)).when(F.lead("ray").over(o) == ray + 1, F.lead("dbzh").over(o))
+    g = _placed(gates, *sweep, "ray", "gate").withColumns({"_l": low, "_h": high})
+    return g.withColumn("baseline", F.coalesce((F.col("_l") + F.col("_h")) / 2, "_l", "_h")).drop("_l", "_h")
 
 
 def runs(gates: DataFrame, ray: list[str], where: Column) -> DataFrame:
@@ -116,12 +125,55 @@ def runs(gates: DataFrame, ray: list[str], where: Column) -> DataFrame:
     return gates.filter(where).withColumn("_run", F.col("gate") - F.row_number().over(w))
 
 
-def _half(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
+def with_rays(rows: DataFrame, rays: DataFrame, sweep: list[str], *columns: str) -> DataFrame:
+    """Adds columns of their ray to rows with sweep keys and ``ray``; null where the ray
+    has no row. The rays of a sweep, one row each, come as one map, so rows that are
+    dealt by sweep stay where they are."""
+    known = _placed(rays, *sweep, "ray").groupBy(*sweep).agg(F.map_from_entries(F.collect_list(F.struct("ray", F.struct(*columns)))).alias("_rays"))
+    return rows.join(known, sweep, "left").withColumn("_own", F.col("_rays")[F.col("ray")]).withColumns({c: F.col("_own")[c] for c in columns}).drop("_rays", "_own")
+
+
+def by_ray(gates: DataFrame, sweep: list[str]) -> DataFrame:
+    """A row for each ray: ``own``, its valid gates outwards. The instrument bounds a
+    ray, and all that is asked of one is then asked of its array."""
+    own = F.struct(F.col("gate").cast("long").alias("gate"), *[c for c in ("range_m", "dbzh", "baseline") if c in gates.columns])
+    return _placed(gates, *sweep, "ray", "gate").groupBy(*sweep, "ray").agg(F.sort_array(F.collect_list(F.when(F.col("dbzh").isNotNull(), own))).alias("own"))
+
+
+def _sorted(own: Column, value, where=None) -> Column:
+    return F.sort_array(F.transform(own if where is None else F.filter(own, where), value))
+
+
+def _quantile(values: str, q: float = 0.5) -> Column:
+    """Of a sorted array, weighed between two values as ``percentile`` weighs them."""
+    place = F.lit(q) * (F.size(values) - 1)
+    a, b = F.floor(place), F.ceil(place)
+    low, high = F.get(values, a.cast("int")), F.get(values, b.cast("int"))
+    return F.when(F.size(values) > 0, F.when(low == high, low).otherwise((b - place) * low + (place - a) * high))
 
 
-def _longest(gates: DataFrame, ray: list[str], where: Column, name: str) -> DataFrame:
-    return runs(gates, ray, where).groupBy(*ray, "_run").agg(F.count("*").alias("n")).groupBy(*ray).agg(F.max("n").alias(name))
+def _longest(own: Column) -> Column:
+    """The most gates of an array that follow each other."""
+    n = lambda s, x: F.when(x["gate"] == s["at"] + 1, s["n"] + 1).otherwise(1)
+    step = lambda s, x: F.struct(x["gate"].alias("at"), n(s, x).alias("n"), F.greatest(s["most"], n(s, x)).alias("most"))
+    long = lambda v, name: F.lit(v).cast("long").alias(name)
+    return F.aggregate(own, F.struct(long(-2, "at"), long(0, "n"), long(0, "most")), step, lambda s: s["most"])
+
+
+def _segments(own: Column, least: int) -> Column:
+    """Of the runs of at least so many gates that follow each other: how many, the
+    number of their gates and their farthest range."""
+
+    def step(s: Column, x: Column) -> Column:
+        on = x["gate"] == s["at"] + 1
+        n = F.when(on, s["n"] + 1).otherwise(1)
+        reach = F.when(on, F.greatest(s["reach"], x["range_m"])).otherwise(x["range_m"])
+        more = F.when(n == least, least).when(n > least, 1).otherwise(0)
+        far = F.when(n >= least, F.greatest(s["far_m"], reach)).otherwise(s["far_m"])
+        return F.struct(x["gate"].alias("at"), n.alias("n"), reach.alias("reach"), (s["segments"] + F.when(n == least, 1).otherwise(0)).alias("segments"), (s["gates"] + more).alias("gates"), far.alias("far_m"))
+
+    long, none = (lambda v, name: F.lit(v).cast("long").alias(name)), (lambda name: F.lit(None).cast("double").alias(name))
+    return F.aggregate(own, F.struct(long(-2, "at"), long(0, "n"), none("reach"), long(0, "segments"), long(0, "gates"), none("far_m")), step)
 
 
 def radial_evidence(gates: DataFrame, sweep: list[str], p: Radial = Radial(), context: DataFrame | None = None) -> DataFrame:
@@ -138,20 +190,29 @@ def radial_evidence(gates: DataFrame, sweep: list[str], p: Radial = Radial(), co
     ``context`` (sweep, ray, persistence in time, consistency with other radars, median
     vertical support of its evidence; null: unknown) a candidate is promoted to a flag
     by enough independent evidence, and a consistent one is vetoed."""
-    ray = [*sweep, "ray"]
-    b = beside(gates, sweep, p.rays)
+    r = _evidence(by_ray(beside(gates, sweep, p.rays), sweep).filter(F.size("own") > 0), sweep, p, context)
+    return r.select(*sweep, "ray", *EVIDENCE)
+
+
+EVIDENCE = ("valid_gates", "longest_run", "difference", "segments", "evidence_gates", "drop", "type", "probability", "dense", "promoted", "vetoed")
+
+
+def _evidence(rays: DataFrame, sweep: list[str], p: Radial, context: DataFrame | None) -> DataFrame:
+    """Adds ``EVIDENCE`` to rays with ``own``."""
     quarter = max(p.gates // 4, 1)
-    near, far = F.when(F.col("gate") < quarter, F.col("dbzh")), F.when(F.col("gate") >= p.gates - quarter, F.col("dbzh"))
-    power = F.col("dbzh") - F.lit(20.0) * F.log10((F.col("gate") + 1) / 1000.0)  # by the gate's number, as the signature has it
-    base = b.groupBy(*ray).agg(
-        F.count("*").alias("valid_gates"), _half(F.abs(F.col("dbzh") - F.col("baseline"))).alias("difference"), (_half(near) - _half(far)).alias("drop"),
-        F.count_if(F.col("dbzh") >= p.broad_dbz).alias("_high"), (F.percentile(power, F.lit(0.75)) - F.percentile(power, F.lit(0.25))).alias("_iqr"),
-    )
-    parts = runs(b, ray, F.col("dbzh") - F.col("baseline") >= p.candidate_db).groupBy(*ray, "_run").agg(F.count("*").alias("n"), F.max("range_m").alias("far")).filter(F.col("n") >= p.segment)
-    segments = parts.groupBy(*ray).agg(F.count("*").alias("segments"), F.sum("n").alias("evidence_gates"), F.max("far").alias("far_m"))
-    r = base.join(_longest(b, ray, F.lit(True), "longest_run"), ray).join(segments, ray, "left").join(_longest(b, ray, F.col("dbzh") >= p.broad_dbz, "_high_run"), ray, "left").na.fill(0, ["segments", "evidence_gates", "_high_run"])
+    own, value = F.col("own"), (lambda x: x["dbzh"])
+    power = lambda x: x["dbzh"] - F.lit(20.0) * F.log10((x["gate"] + 1) / 1000.0)  # noqa: E731  by the gate's number, as the signature has it
+    r = rays.withColumns({
+        "_d": _sorted(own, lambda x: F.abs(x["dbzh"] - x["baseline"]), lambda x: x["baseline"].isNotNull()),
+        "_near": _sorted(own, value, lambda x: x["gate"] < quarter), "_far": _sorted(own, value, lambda x: x["gate"] >= p.gates - quarter), "_power": _sorted(own, power),
+        "_high": F.filter(own, lambda x: x["dbzh"] >= p.broad_dbz), "_seg": _segments(F.filter(own, lambda x: x["dbzh"] - x["baseline"] >= p.candidate_db), p.segment), "longest_run": _longest(own),
+    })
+    r = r.withColumns({
+        "valid_gates": F.size("own").cast("long"), "difference": _quantile("_d"), "drop": _quantile("_near") - _quantile("_far"), "_iqr": _quantile("_power", 0.75) - _quantile("_power", 0.25),
+        "_high_run": _longest(F.col("_high")), "_high": F.size("_high"), "segments": F.col("_seg.segments"), "evidence_gates": F.col("_seg.gates"), "far_m": F.col("_seg.far_m"),
+    }).drop("_d", "_near", "_far", "_power", "_seg")
     filled = F.col("valid_gates") / F.lit(p.gates)
-    broad = (filled >= p.broad_valid) & (F.col("_high") / F.col("valid_gates") >= p.broad_fraction) & (F.col("_high_run") >= p.broad_run) & F.coalesce(F.col("drop") <= -p.broad_growth_db, F.lit(False)) & (F.col("valid_gates") > 1) & (F.col("_iqr") <= p.broad_iqr_db)
+    broad = (filled >= p.broad_valid) & (F.try_divide("_high", F.col("valid_gates")) >= p.broad_fraction) & (F.col("_high_run") >= p.broad_run) & F.coalesce(F.col("drop") <= -p.broad_growth_db, F.lit(False)) & (F.col("valid_gates") > 1) & (F.col("_iqr") <= p.broad_iqr_db)
     dense = (filled >= p.valid_fraction) & (F.col("longest_run") >= p.run) & F.coalesce(F.col("difference") >= p.difference_db, F.lit(False))
     kind = (
         F.when(broad, "broad").when((F.col("segments") == 1) & (F.col("evidence_gates") >= 0.5 * F.col("valid_gates")) & F.coalesce(F.col("drop") >= p.drop_db, F.lit(False)), "reverse")
@@ -163,23 +224,32 @@ def radial_evidence(gates: DataFrame, sweep: list[str], p: Radial = Radial(), co
         r = r.withColumns({"promoted": F.lit(False), "vetoed": F.lit(False)})
     else:
         known = lambda c: F.coalesce(c, F.lit(False))
-        r = r.join(context.select(*ray, "persistence", "consistency", "vertical"), ray, "left")
+        r = with_rays(r, context, sweep, "persistence", "consistency", "vertical")
         veto = known(F.col("consistency") >= p.veto_consistency)
         votes = F.lit(1) + known(F.col("vertical") <= p.vertical_support).cast("int") + known(F.col("persistence") >= p.persistence).cast("int") + known(F.col("consistency") <= p.promotion_consistency).cast("int")
         r = r.withColumns({"vetoed": F.col("weak") & veto, "promoted": F.col("weak") & ~veto & (votes >= p.context_evidence)})
     level = F.when(F.col("dense") | F.col("promoted"), p.flagged).when(F.col("weak"), p.diagnostic).otherwise(0.0)
-    return r.select(*ray, "valid_gates", "longest_run", "difference", "segments", "evidence_gates", F.coalesce("drop", F.lit(0.0)).alias("drop"), "type", level.alias("probability"), "dense", "promoted", "vetoed")
+    return r.withColumns({"drop": F.coalesce("drop", F.lit(0.0)), "probability": level})
+
+
+def marked(gates: DataFrame, rays: DataFrame, sweep: list[str], p: Radial = Radial(), *more: str) -> DataFrame:
+    """Adds to valid gates type and probability of the rays' evidence that marks them,
+    null where none does: it marks all valid gates of a dense ray, of others those of
+    their segments only. ``more`` are columns of the rays that the gates get besides."""
+    ray = [*sweep, "ray"]
+    over = F.coalesce(F.col("dbzh") - F.col("baseline") >= p.candidate_db, F.lit(False))
+    so_far = Window.partitionBy(*ray).orderBy("gate").rowsBetween(Window.unboundedPreceding, 0)
+    b = beside(gates, sweep, p.rays).filter("dbzh IS NOT NULL").withColumn("_run", F.when(over, F.col("gate") - F.count_if(over).over(so_far)))
+    b = b.withColumn("_in", F.col("_run").isNotNull() & (F.count("*").over(Window.partitionBy(*ray, "_run")) >= p.segment)).drop("_run", "baseline")
+    marks = (F.col("probability") > 0) & (F.col("dense") | F.col("_in"))
+    x = with_rays(b, rays, sweep, "type", "probability", "dense", *more)
+    return x.withColumns({c: F.when(marks, F.col(c)) for c in ("type", "probability")}).drop("dense", "_in")
 
 
 def evidence_gates(gates: DataFrame, rays: DataFrame, sweep: list[str], p: Radial = Radial()) -> DataFrame:
     """The gates that rays' evidence marks, with type and probability: all valid ones
     of a dense ray, of others those of their segments only."""
-    ray = [*sweep, "ray"]
-    b = beside(gates, sweep, p.rays)
-    over = runs(b, ray, F.col("dbzh") - F.col("baseline") >= p.candidate_db)
-    inside = over.withColumn("_n", F.count("*").over(Window.partitionBy(*ray, "_run"))).filter(F.col("_n") >= p.segment).select(*ray, "gate", F.lit(True).alias("_in"))
-    kinds = rays.filter("probability > 0").select(*ray, "type", "probability", "dense")
-    return b.join(inside, [*ray, "gate"], "left").join(kinds, ray).filter("dense OR _in").select(*ray, "gate", "type", "probability")
+    return marked(gates, rays, sweep, p).filter("probability IS NOT NULL").select(*sweep, "ray", "gate", "type", "probability")
 
 
 def boundary(gates: DataFrame, sweep: list[str], gates_in_ray: int, reach_m: float, p: Fans = Fans()) -> DataFrame:
@@ -187,27 +257,48 @@ def boundary(gates: DataFrame, sweep: list[str], gates_in_ray: int, reach_m: flo
     ``reach_m``), like_fan (full, strong, in a long strong run, growing outwards),
     fills (measured enough, in a long run, and growing) and edge_like (that, strong and
     of a source's power with range, but for its extent)."""
-    ray = [*sweep, "ray"]
+    r = _bounds(by_ray(gates, sweep).filter(F.size("own") > 0), gates_in_ray, reach_m, p)
+    return r.select(*sweep, "ray", "extent", "like_fan", "fills", "edge_like")
+
+
+def _bounds(rays: DataFrame, gates_in_ray: int, reach_m: float, p: Fans) -> DataFrame:
+    """Adds what ``boundary`` has to rays with ``own``."""
     quarter = max(gates_in_ray // 4, 1)
-    o = Window.partitionBy(*ray)
-    valid = gates.filter("dbzh IS NOT NULL").withColumns({"_i": F.row_number().over(o.orderBy("gate")), "_n": F.count("*").over(o)})
-    high = F.col("dbzh") >= p.high_dbz
-    fourth = F.greatest(F.floor(F.col("_n") / 4), F.lit(1))
-    power = F.when(F.col("range_m") >= p.edge_range_m, F.col("dbzh") - F.lit(20.0) * F.log10(F.greatest(F.col("range_m"), F.lit(1.0)) / 1000.0))
-    base = valid.groupBy(*ray).agg(
-        F.count("*").alias("n"), F.count_if(high).alias("high"), (F.max("range_m") / reach_m).alias("extent"),
-        (_half(F.when(F.col("gate") >= gates_in_ray - quarter, F.col("dbzh"))) - _half(F.when(F.col("gate") < quarter, F.col("dbzh")))).alias("growth"),
-        (_half(F.when(F.col("_i") > F.col("_n") - fourth, F.col("dbzh"))) - _half(F.when(F.col("_i") <= fourth, F.col("dbzh")))).alias("own_growth"),
-        F.when(F.count(power) > 1, F.percentile(power, F.lit(0.75)) - F.percentile(power, F.lit(0.25))).alias("iqr"),
-    )
-    r = base.join(_longest(valid, ray, high, "run"), ray, "left").join(_longest(valid, ray, F.lit(True), "all_run"), ray).na.fill(0, ["run"])
-    share, strong = F.col("n") / F.lit(gates_in_ray), F.col("high") / F.col("n")
-    looks = (share >= p.valid_fraction) & (strong >= p.high_fraction) & (F.col("run") >= p.high_run) & (F.col("growth") >= p.growth_db)
-    grows = (F.col("n") > 1) & (F.col("own_growth") >= p.growth_db)
-    fills = (share >= p.extent_valid_fraction) & (F.col("all_run") >= p.extent_run) & grows
-    edge = (share >= p.edge_valid_fraction) & (F.col("all_run") >= p.extent_run) & (strong >= p.edge_high_fraction) & (F.col("run") >= p.high_run) & grows & (F.col("iqr") <= p.edge_iqr_db)
+    own, value = F.col("own"), (lambda x: x["dbzh"])
+    fourth = F.greatest(F.lit(1), F.floor(F.size("own") / 4).cast("int"))
+    power = lambda x: x["dbzh"] - F.lit(20.0) * F.log10(F.greatest(x["range_m"], F.lit(1.0)) / 1000.0)
+    r = rays.withColumns({
+        "_b_high": F.filter(own, lambda x: x["dbzh"] >= p.high_dbz), "_b_run": _longest(own), "_b_far": F.array_max(F.transform(own, lambda x: x["range_m"])),
+        "_b_near": _sorted(own, value, lambda x: x["gate"] < quarter), "_b_outer": _sorted(own, value, lambda x: x["gate"] >= gates_in_ray - quarter),
+        "_b_first": _sorted(F.slice(own, F.lit(1), fourth), value), "_b_last": _sorted(F.slice(own, -fourth, fourth), value), "_b_power": _sorted(own, power, lambda x: x["range_m"] >= p.edge_range_m),
+    })
+    r = r.withColumns({
+        "_b_n": F.size("own"), "_b_strong": F.size("_b_high"), "_b_high_run": _longest(F.col("_b_high")), "_b_growth": _quantile("_b_outer") - _quantile("_b_near"),
+        "_b_own": _quantile("_b_last") - _quantile("_b_first"), "_b_iqr": F.when(F.size("_b_power") > 1, _quantile("_b_power", 0.75) - _quantile("_b_power", 0.25)),
+    })
+    n = F.col("_b_n")
+    share, strong = n / F.lit(gates_in_ray), F.try_divide("_b_strong", n)
+    looks = (share >= p.valid_fraction) & (strong >= p.high_fraction) & (F.col("_b_high_run") >= p.high_run) & (F.col("_b_growth") >= p.growth_db)
+    grows = (n > 1) & (F.col("_b_own") >= p.growth_db)
+    fills = (share >= p.extent_valid_fraction) & (F.col("_b_run") >= p.extent_run) & grows
+    edge = (share >= p.edge_valid_fraction) & (F.col("_b_run") >= p.extent_run) & (strong >= p.edge_high_fraction) & (F.col("_b_high_run") >= p.high_run) & grows & (F.col("_b_iqr") <= p.edge_iqr_db)
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return r.select(*ray, "extent", yes(looks).alias("like_fan"), yes(fills).alias("fills"), yes(edge).alias("edge_like"))
+    r = r.withColumns({"extent": F.col("_b_far") / reach_m, "like_fan": yes(looks), "fills": yes(fills), "edge_like": yes(edge)})
+    return r.drop(*[c for c in r.columns if c.startswith("_b_")])
+
+
+def described(gates: DataFrame, sweep: list[str], reach_m: float, p: Radial = Radial(), fans: Fans = Fans(), context: DataFrame | None = None) -> DataFrame:
+    """A row for every ray (0 to ``p.rays`` - 1) of a sweep that has gates, valid or
+    not: type, probability and dense of ``radial_evidence`` (null without valid gates),
+    hard (it is flagged) and what ``boundary`` has, in one pass over the gates."""
+    columns = ("type", "probability", "dense", "hard", "extent", "like_fan", "fills", "edge_like")
+    own = by_ray(beside(gates, sweep, p.rays), sweep)
+    r = _evidence(_bounds(own, p.gates, reach_m, fans), sweep, p, context).withColumn("hard", F.col("probability") >= p.flagged)
+    some = F.col("valid_gates") > 0
+    known = r.groupBy(*sweep).agg(F.map_from_entries(F.collect_list(F.struct("ray", F.struct(*[F.when(some, F.col(c)).alias(c) for c in columns])))).alias("_rays"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(p.rays - 1)).cast(f"array<{dict(gates.dtypes)['ray']}>"))
+    r = known.select(*sweep, every.alias("ray"), "_rays").withColumn("_own", F.col("_rays")[F.col("ray")])
+    return r.select(*sweep, "ray", *[F.col("_own")[c].alias(c) for c in columns]).na.fill(False, ["hard", "like_fan", "fills", "edge_like"])
 
 
 def closed_fans(rays: DataFrame, sweep: list[str], n_rays: int, p: Fans = Fans()) -> DataFrame:
@@ -234,19 +325,19 @@ def extended_fans(rays: DataFrame, sweep: list[str], n_rays: int, p: Fans = Fans
     far as the ray at its end, ``p.edge_rays`` at most. The circle is laid out twice, so
     a fan goes over its seam; one pass of windows, without a step for each ray."""
     r = rays.withColumn("_at", F.explode(F.array(F.col("ray"), F.col("ray") + n_rays)))
-    out = None
-    for back in (False, True):
-        o = Window.partitionBy(*sweep).orderBy(F.desc("_at") if back else F.asc("_at"))
-        end = F.last(F.when(F.col("hard"), F.struct("_at", "extent")), ignorenulls=True).over(o)
-        x = r.withColumn("_end", end).filter("_end IS NOT NULL AND NOT hard")
-        distance = F.abs(F.col("_at") - F.col("_end._at"))
-        reaches = F.col("extent") >= F.greatest(F.lit(p.edge_extent_fraction), F.col("_end.extent") * p.edge_extent_ratio)
-        like = F.coalesce(F.col("edge_like") & reaches, F.lit(False))
-        from_end = Window.partitionBy(*sweep, F.col("_end._at")).orderBy(F.desc("_at") if back else F.asc("_at"))
-        x = x.withColumn("_broken", F.max((~like).cast("int")).over(from_end)).filter((F.col("_broken") == 0) & (distance <= p.edge_rays))
-        found = x.select(*sweep, "ray")
-        out = found if out is None else out.union(found)
-    return rays.join(out.distinct().withColumn("extended", F.lit(True)), [*sweep, "ray"], "left").na.fill(False, ["extended"])
+    taken = F.lit(False)
+    for name, order in (("_f", F.asc("_at")), ("_b", F.desc("_at"))):
+        end = F.last(F.when(F.col("hard"), F.struct("_at", "extent")), ignorenulls=True).over(Window.partitionBy(*sweep).orderBy(order))
+        r = r.withColumn(name, end)
+        at, extent = F.col(name)["_at"], F.col(name)["extent"]
+        reaches = F.col("extent") >= F.greatest(F.lit(p.edge_extent_fraction), extent * p.edge_extent_ratio)
+        unlike = ~F.col("hard") & ~F.coalesce(F.col("edge_like") & reaches, F.lit(False))
+        r = r.withColumns({f"{name}_at": at, f"{name}_no": unlike})
+        broken = F.max(f"{name}_no").over(Window.partitionBy(*sweep, f"{name}_at").orderBy(order))
+        r = r.withColumn(f"{name}_ok", at.isNotNull() & ~broken & (F.abs(F.col("_at") - at) <= p.edge_rays))
+        taken = taken | F.col(f"{name}_ok")
+    either = F.max(~F.col("hard") & F.coalesce(taken, F.lit(False))).over(Window.partitionBy(*sweep, "ray"))
+    return r.withColumn("extended", either).filter(F.col("_at") == F.col("ray")).select(*rays.columns, "extended")
 
 
 def range_signatures(gates: DataFrame, sweep: list[str], p: Signature = Signature()) -> DataFrame:

@@ -28,11 +28,18 @@ GATES_SQL = f"""g0 AS (SELECT {_AT.format(div="//")}, max(l_orderkey) AS o, max(
 gates AS (SELECT sweep, ray, gate, {_RANGE} AS range_m, {_VALUE} AS dbzh, {_MOMENTS} FROM g0), v AS (SELECT * FROM gates WHERE dbzh IS NOT NULL)"""
 
 
-def gates(spark, sf_dir):
+def _lines(spark, sf_dir):
     from hydrolith.plans.views import split_columns
 
-    line = load(spark, sf_dir, "lineitem").selectExpr(*split_columns(_AT.format(div="DIV")), "l_orderkey AS o", "l_partkey * 3 + l_suppkey AS p")
-    g = line.groupBy("sweep", "ray", "gate").agg(F.max("o").alias("o"), F.max("p").alias("p"))
+    return load(spark, sf_dir, "lineitem").selectExpr(*split_columns(_AT.format(div="DIV")), "l_orderkey AS o", "l_partkey * 3 + l_suppkey AS p")
+
+
+def gates(spark, sf_dir):
+    """The gates, dealt by sweep."""
+    from hydrolith.plans.views import split_columns, spread
+
+    line = _lines(spark, sf_dir)
+    g = spread(line.groupBy("sweep", "ray", "gate").agg(F.max("o").alias("o"), F.max("p").alias("p")), "sweep", of=line)
     return g.selectExpr("sweep", "ray", "gate", f"{_RANGE} AS range_m", f"{_VALUE} AS dbzh", *split_columns(_MOMENTS))
 
 
@@ -41,9 +48,10 @@ _CONTEXT = "sweep, ray, CASE WHEN (ray + sweep) % 5 <> 0 THEN CAST((ray * 7 + sw
 
 
 def context(spark, sf_dir):
-    from hydrolith.plans.views import split_columns
+    from hydrolith.plans.views import split_columns, spread
 
-    return gates(spark, sf_dir).select("sweep", "ray").distinct().selectExpr(*split_columns(_CONTEXT))
+    line = _lines(spark, sf_dir)
+    return spread(line.select("sweep", "ray").distinct(), "sweep", of=line).selectExpr(*split_columns(_CONTEXT))
 
 
 def _run_sql(source: str, where: str) -> str:
@@ -96,17 +104,14 @@ fans AS (SELECT c.*, xt.ray IS NOT NULL AS extended FROM closed c LEFT JOIN xt U
 
 
 def fans(spark, sf_dir):
-    g = gates(spark, sf_dir)
-    found = evidence_rays(spark, sf_dir).select("sweep", "ray", (F.col("probability") >= RADIAL.flagged).alias("hard"))
-    every = g.select("sweep").distinct().withColumn("ray", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RAYS - 1).cast("long"))))
-    r = every.join(found, ["sweep", "ray"], "left").join(interference.boundary(g, ["sweep"], GATES, 80_000.0, FANS), ["sweep", "ray"], "left").na.fill(False, ["hard", "like_fan", "fills", "edge_like"])
+    r = interference.described(gates(spark, sf_dir), ["sweep"], 80_000.0, RADIAL, FANS, context(spark, sf_dir))
     return interference.extended_fans(interference.closed_fans(r, ["sweep"], RAYS, FANS), ["sweep"], RAYS, FANS)
 
 
 @query("radial_fan_closure", f"WITH {_FANS_SQL} SELECT * FROM fans")
 def radial_fan_closure(spark, sf_dir):
     """Gaps in fans of flagged rays that are closed, and rays at their ends taken in."""
-    return fans(spark, sf_dir)
+    return fans(spark, sf_dir).drop("type", "probability", "dense")
 
 
 @query(
@@ -159,10 +164,9 @@ def echo_formula(spark, sf_dir):
 def interference_decision(spark, sf_dir):
     """What the detectors find, gate by gate, feeds the decision with the other
     moments of each gate."""
-    g = gates(spark, sf_dir)
-    e = interference.echo_formula(g, ["sweep"], GATES)
-    f = fans(spark, sf_dir).select("sweep", "ray", (F.col("closed") | F.col("extended")).alias("_fan"))
-    m = interference.evidence_gates(g, evidence_rays(spark, sf_dir), ["sweep"], RADIAL).filter(F.col("probability") >= RADIAL.flagged).select("sweep", "ray", "gate", F.lit(True).alias("_marked"))
-    d = e.join(f, ["sweep", "ray"]).join(m, ["sweep", "ray", "gate"], "left").withColumns({"radial": F.coalesce("_marked", F.lit(False)) | F.col("_fan"), "structure": F.coalesce(F.col("score") >= 0.6, F.lit(False)), "quality_cap": F.lit(None).cast("double")})
+    f = fans(spark, sf_dir).withColumn("_fan", F.col("closed") | F.col("extended"))
+    m = interference.marked(gates(spark, sf_dir), f, ["sweep"], RADIAL, "_fan")
+    e = interference.echo_formula(m, ["sweep"], GATES)
+    d = e.withColumns({"radial": F.coalesce(F.col("probability") >= RADIAL.flagged, F.lit(False)) | F.col("_fan"), "structure": F.coalesce(F.col("score") >= 0.6, F.lit(False)), "quality_cap": F.lit(None).cast("double")})
     d = evidence.decide(d).filter("dbzh >= -10")
     return d.groupBy("sweep").agg(F.count("*").alias("gates"), F.count_if("radial").alias("radial"), F.count_if("structure").alias("structure"), F.count_if(F.col("action") == "REJECT").alias("rejected"))
